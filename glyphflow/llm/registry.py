@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphflow.llm import bpe, cover_tree, exact_dedup, language_id, licenses, packing, quality, simhash
+from glyphflow.llm import bpe, cover_tree, exact_dedup, html_text, language_id, licenses, packing, pii, quality, simhash
 from glyphflow.llm.common import held_out, table
 
 
@@ -13,6 +13,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -21,6 +25,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -45,7 +53,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_exact_dedup, op4_packing, op6_byte_bpe, op7_simhash_near_dedup, op8_quality, op9_embedding_near_dedup, op10_language_id)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_license_scan, op2_html_text, op3_exact_dedup, op4_packing, op5_pii, op6_byte_bpe, op7_simhash_near_dedup, op8_quality,
+        op9_embedding_near_dedup, op10_language_id,
+    )
+}
 
 _OP3_SQL = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
