@@ -1,4 +1,375 @@
-"""The engine's registered queries and their SQL twins."""
+"""The engine's registered queries and their SQL twins.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+The driver's tables hold no Han text, so each document's is made from its key
+and length: two of SEEDS, one after the other. The SQL has its dictionaries as
+VALUES and matches with a recursive query, on the distinct texts.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glyphflow.functions import conversion, detection
+from glyphflow.operators import dictionary_etl as etl
+from glyphflow.operators import tools
+from glyphflow.plans import configs
+from glyphflow.sources import arpa
+from glyphflow.sources.dictionaries import Registry
+
+SEEDS = [
+    "裏面純喫茶喫飯，請你喫完再走", "他感染了A型肝炎", "A型肝炎在羣衆中傳播", "我買了新的滑鼠很好用", "弁護士と弁当と予備の万年筆", "国際電話の会議に参与する", "鄰居着急地爲衆人說話", "核心內容與軟體網路",
+    "hello world 123", "", "這裏的臺灣羣島，那裡的台灣群島", "線上遊戲的伺服器設定", "他去了西維珍尼亞州", "𠮷野家の牛丼，並盛\n二つ", "脣齒相依，牀前明月光", "爲什麼，為甚麼", "汉字计算机软件打印机", "床前的粧奩，鉢裡的麪",
+    "東京都の学校で体験する", "資訊科技與程式設計", "SQL注入攻擊", "煙囪與香菸，才剛纔說", "戲院の戯曲、演劇の沢山", "123漢字abc着裝，着陸",
+]
+#: Configs that the shipped dictionaries resolve in full.
+RESOLVABLE = [c for c in configs.CONFIGS if not configs.missing(c)]
+CUSTOM = [("軟體", "軟件"), ("滑鼠很", "鼠標真"), ("明月", "明日")]
+ARPA = "\\data\\\n\\1-grams:\n-1.0\t出\n-1.2\t齣\n\\2-grams:\n-0.5\t一 齣\n-0.9\t一 出\n-0.3\t演 出\n-0.7\t<s> 出\n\\end\\\n"
+
+
+def _seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "n_chars")
+    at = lambda c: F.element_at(F.array(*map(F.lit, SEEDS)), (F.col(c) % len(SEEDS)).cast("int") + 1)
+    return docs.select("doc_id", "lang", "source", F.concat(at("doc_id"), at("n_chars")).alias("han"))
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(_quoted(x) if isinstance(x, str) else str(x) for x in row) + ")" for row in rows)
+
+
+_LIST = "[" + ", ".join(map(_quoted, SEEDS)) + "]"
+_SEEDED = f"seeded AS (SELECT doc_id, lang, source, list_extract({_LIST}, (doc_id % {len(SEEDS)})::INT + 1) || list_extract({_LIST}, (n_chars % {len(SEEDS)})::INT + 1) AS han FROM documents), texts AS (SELECT DISTINCT han FROM seeded)"
+
+
+def _match_sql(layers: list[dict[str, str]]) -> str:
+    """tok(han, pos, piece, out, hit): each text cut into matches and single characters, by layer, then length."""
+    rows = [(k, v, n) for n, layer in enumerate(layers) for k, v in layer.items()]
+    longest = max(len(k) for k, _, _ in rows)
+    return f"""dict(k, v, layer) AS (VALUES {_values(rows)}),
+chars AS (SELECT han, unnest(range(1, length(han) + 1)) AS pos FROM texts),
+cand AS (SELECT han, pos, k, v, layer FROM chars, range(1, {longest + 1}) r(l) JOIN dict ON k = substr(han, pos, l) AND length(k) = l),
+best AS (SELECT han, pos, arg_max(k, (-layer, length(k))) AS k, arg_max(v, (-layer, length(k))) AS v FROM cand GROUP BY han, pos),
+walk(han, pos, piece, out, hit) AS (
+  SELECT t.han, 1, coalesce(b.k, substr(t.han, 1, 1)), coalesce(b.v, substr(t.han, 1, 1)), b.k IS NOT NULL
+  FROM texts t LEFT JOIN best b ON b.han = t.han AND b.pos = 1 WHERE length(t.han) > 0
+  UNION ALL
+  SELECT w.han, w.pos + length(w.piece), coalesce(b.k, substr(w.han, w.pos + length(w.piece), 1)), coalesce(b.v, substr(w.han, w.pos + length(w.piece), 1)), b.k IS NOT NULL
+  FROM walk w LEFT JOIN best b ON b.han = w.han AND b.pos = w.pos + length(w.piece) WHERE w.pos + length(w.piece) <= length(w.han))"""
+
+
+def _convert_query(config: str, custom=None):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _seeded(spark, sf_dir).select("doc_id", conversion.convert("han", config, custom=custom).alias("converted"))
+
+    return run
+
+
+def _convert_sql(config: str, custom=None) -> str:
+    """One pass of longest matches: right for one-stage configs whose segments no match can cross."""
+    plan = configs.resolve(config, custom=custom)
+    return f"""WITH RECURSIVE {_SEEDED}, {_match_sql([layer.values for layer in plan.chain[0].layers])},
+done AS (SELECT han, string_agg(out, '' ORDER BY pos) AS converted FROM walk GROUP BY han)
+SELECT doc_id, coalesce(converted, '') AS converted FROM seeded LEFT JOIN done USING (han)"""
+
+
+def segments_jp2t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _seeded(spark, sf_dir).select("doc_id", F.explode(conversion.segments("han", "jp2t")).alias("s"))
+    return rows.select("doc_id", "s.seg_no", "s.seg", "s.matched")
+
+
+def _segments_sql(config: str) -> str:
+    group = configs.resolve(config).segmentation
+    return f"""WITH RECURSIVE {_SEEDED}, {_match_sql([group.layers[0].values])},
+cut AS (SELECT *, CASE WHEN hit OR lag(hit, 1, true) OVER (PARTITION BY han ORDER BY pos) THEN 1 ELSE 0 END AS starts FROM walk),
+numbered AS (SELECT *, sum(starts) OVER (PARTITION BY han ORDER BY pos) - 1 AS seg_no FROM cut),
+seg AS (SELECT han, seg_no::INT AS seg_no, string_agg(piece, '' ORDER BY pos) AS seg, bool_or(hit) AS matched FROM numbered GROUP BY han, seg_no)
+SELECT doc_id, seg_no, seg, matched FROM seeded JOIN seg USING (han)"""
+
+
+def character_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detection.tallies("han")
+    return _seeded(spark, sf_dir).select("doc_id", *(c.cast("int").alias(k) for k, c in found.items()))
+
+
+def _tally_sql(t: str) -> dict[str, str]:
+    out = {k: f"(length({t}) - length(translate({t}, {_quoted(v)}, '')))" if v else "0" for k, v in detection.signatures().items()}
+    return out | {"cjk": f"length(regexp_replace({t}, '[^一-鿿]', '', 'g'))", "kana": f"length(regexp_replace({t}, '[^぀-ヿ]', '', 'g'))"}
+
+
+def detect_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _seeded(spark, sf_dir).select("doc_id", detection.detect("han").alias("d"))
+    return rows.select("doc_id", "d.region", "d.confidence")
+
+
+def _detected_sql() -> str:
+    """detected(han, region, confidence)."""
+    tallies = ", ".join(f"({x})::INT AS {k}" for k, x in _tally_sql("han").items())
+    names = ("p_tw", "p_hk", "p_both")
+    scores = ", ".join(
+        f"(SELECT coalesce(sum(w), 0) FROM (VALUES {_values(ws) if ws else '(NULL, 0)'}) p(phrase, w) WHERE contains(texts.han, phrase))::INT AS {n}"
+        for n, ws in zip(names, detection.regional_phrases(), strict=True)
+    )
+    pct = lambda part, total: f"(CASE WHEN {total} = 0 THEN 0 ELSE floor({part} * 100 / {total})::INT & 255 END)"
+    tw, hk = pct("(cn_t + cn_tw)", "cjk"), pct("(cn_t + cn_hk)", "cjk")
+    rules = [
+        ("kana > 0 AND jp_n + jp_t = 0", "jp-n", "50"),
+        ("kana > 0 AND jp_n >= jp_t", "jp-n", pct("jp_n", "(jp_n + jp_t)")),
+        ("kana > 0", "jp-t", pct("jp_t", "(jp_n + jp_t)")),
+        ("cjk = 0", None, "NULL"),
+        ("p_tw > p_hk", "cn-tw", f"greatest(50, {tw})"),
+        ("p_hk > p_tw", "cn-hk", f"greatest(50, {hk})"),
+        ("p_tw = p_hk AND (p_both > 0 OR p_tw > 0)", "cn-tw", f"greatest(40, {tw})"),
+        ("cn_s > cn_t + cn_tw + cn_hk", "cn-s", pct("cn_s", "cjk")),
+        ("cn_tw >= cn_hk AND 2 * cn_tw >= cn_t + cn_tw AND cn_tw > 0", "cn-tw", tw),
+        ("cn_hk > cn_tw AND 2 * cn_hk >= cn_t + cn_hk AND cn_hk > 0", "cn-hk", hk),
+        ("TRUE", "cn-t", pct("(cn_t + cn_tw + cn_hk)", "cjk")),
+    ]
+    region = " ".join(f"WHEN {c} THEN {_quoted(r) if r else 'NULL'}" for c, r, _ in rules)
+    confidence = " ".join(f"WHEN {c} THEN {x}" for c, _, x in rules)
+    return f"""tallied AS (SELECT han, {tallies}, {scores} FROM texts),
+detected AS (SELECT han, CASE {region} END AS region, (CASE {confidence} END)::INT AS confidence FROM tallied)"""
+
+
+def variant_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _seeded(spark, sf_dir).select("source", "lang", F.coalesce(detection.detect("han")["region"], F.lit("unknown")).alias("region"))
+    return rows.groupBy("source", "lang", "region").agg(F.count("*").alias("n"))
+
+
+def region_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections as the file sink has them: unknown and 0 where nothing is detected."""
+    rows = _seeded(spark, sf_dir).select("doc_id", detection.detect("han").alias("d"))
+    return rows.select(F.coalesce("d.region", F.lit("unknown")).alias("region"), F.coalesce("d.confidence", F.lit(0)).alias("confidence"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"))
+
+
+def auto_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The configs that each document would pass on its way to Simplified Chinese."""
+    rows = _seeded(spark, sf_dir).select("doc_id", detection.detect("han")["region"].alias("region"))
+    chains = spark.createDataFrame([(r, "+".join(configs.route(r, "cn-s") or [])) for r in configs.REGIONS], "region string, chain string")
+    return rows.join(F.broadcast(chains), "region", "left").select("doc_id", "region", F.coalesce("chain", F.lit("")).alias("chain"))
+
+
+def auto_convert_permissive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detected and converted towards cn-t; rows without a way, or whose dictionaries are missing, stay."""
+    return _seeded(spark, sf_dir).select("doc_id", conversion.convert_auto("han", "cn-t", permissive=True).alias("converted"))
+
+
+def _auto_sql() -> str:
+    plan = configs.resolve("jp2t")
+    return f"""WITH RECURSIVE {_SEEDED}, {_match_sql([plan.chain[0].layers[0].values])}, {_detected_sql()},
+done AS (SELECT han, string_agg(out, '' ORDER BY pos) AS converted FROM walk GROUP BY han)
+SELECT doc_id, CASE WHEN region = 'jp-n' THEN coalesce(converted, '') ELSE han END AS converted FROM seeded JOIN detected USING (han) LEFT JOIN done USING (han)"""
+
+
+def _lines_sql(*names: str) -> str:
+    registry = Registry()
+    return f"lines(dict, ord, line) AS (VALUES {_values((n, k, x) for n in names for k, x in enumerate(registry.lines(n), 1))})"
+
+
+_ENTRIES = """entries AS (SELECT dict, max(ord) AS ord, k AS key, arg_max(vs, ord) AS vs FROM (
+  SELECT dict, ord, split_part(line, chr(9), 1) AS k, string_split(trim(split_part(line, chr(9), 2)), ' ') AS vs FROM lines
+  WHERE NOT starts_with(line, '#') AND contains(line, chr(9))) GROUP BY dict, k)"""
+_ALL = Registry().names()
+
+
+def dictionary_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entries of all dictionaries, values space-joined."""
+    rows = etl.parse(Registry().table(spark))
+    return rows.select("dict", "ord", "key", F.array_join("values", " ").alias("vals"))
+
+
+def dictionary_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = etl.parse(Registry().table(spark))
+    return rows.groupBy("dict").agg(
+        F.count("*").alias("entries"), F.count_if(F.size("values") > 1).alias("several"), F.count_if(F.length("key") == 1).alias("single"), F.max(F.length("key")).alias("longest")
+    )
+
+
+def _reverse_query(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lines = Registry().table(spark, name)
+        return etl.reverse(etl.parse(lines), etl.preferences(lines)).select("key", F.array_join("values", " ").alias("vals"))
+
+    return run
+
+
+def _reverse_sql(name: str) -> str:
+    return f"""WITH {_lines_sql(name)}, {_ENTRIES},
+each AS (SELECT ord, key, unnest(vs) AS value, generate_subscripts(vs, 1) AS pos FROM entries),
+prefer AS (SELECT split_part(trim(split_part(line, '@reverse-prefer:', 2)), ' ', 1) AS value, split_part(trim(split_part(line, '@reverse-prefer:', 2)), ' ', -1) AS first FROM lines WHERE starts_with(line, '#') AND contains(line, '@reverse-prefer:'))
+SELECT e.value AS key, string_agg(e.key, ' ' ORDER BY CASE WHEN e.key = p.first THEN 0 ELSE 1 END, e.ord, e.pos) AS vals
+FROM each e LEFT JOIN prefer p ON p.value = e.value GROUP BY e.value"""
+
+
+_GROUP = ["TWPhrasesRev", "TWVariantsRevPhrases", "TWVariants"]
+
+
+def merged_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = etl.merge(etl.parse(Registry().table(spark, *_GROUP)), _GROUP)
+    return rows.select("key", "value", F.array_join("candidates", " ").alias("candidates"), "dict")
+
+
+def _merged_sql() -> str:
+    rank = "CASE dict " + " ".join(f"WHEN '{n}' THEN {k}" for k, n in enumerate(_GROUP)) + " END"
+    return f"""WITH {_lines_sql(*_GROUP)}, {_ENTRIES}, ranked AS (SELECT *, ({rank}, ord) AS place FROM entries)
+SELECT key, arg_max(vs[1], place) AS value, array_to_string(coalesce(arg_max(vs, place) FILTER (len(vs) > 1), arg_max(vs, place)), ' ') AS candidates, arg_max(dict, place) AS dict FROM ranked GROUP BY key"""
+
+
+_BASE = ["一出戏\t一齣戲", "一出\t一齣 一出", "出门\t出門"]
+
+
+def patch_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    registry = Registry(extra={"base": _BASE})
+    base, patch = etl.parse(registry.table(spark, "base")), etl.parse(registry.table(spark, "STPhrases.patch"))
+    return etl.overlay(base, patch).select("key", F.array_join("values", " ").alias("vals"))
+
+
+def _overlay_sql() -> str:
+    rows = [("base", k, x) for k, x in enumerate(_BASE, 1)] + [("patch", k, x) for k, x in enumerate(Registry().lines("STPhrases.patch"), 1)]
+    return f"""WITH lines(dict, ord, line) AS (VALUES {_values(rows)}), {_ENTRIES}
+SELECT key, array_to_string(vs, ' ') AS vals FROM entries e WHERE dict = 'patch' OR key NOT IN (SELECT key FROM entries WHERE dict = 'patch')"""
+
+
+def find_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return etl.find_targets(etl.parse(Registry().table(spark)), "電").select("dict", "key", F.array_join("values", " ").alias("vals"))
+
+
+def project_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hong Kong and Taiwan phrase keys by the form that the variant table gives them."""
+    table = configs.resolve("t2tw").chain[0].layers[0].values
+    single = {k: v for k, v in table.items() if len(k) == len(v) == 1}
+    rows = etl.parse(Registry().table(spark, "HKPhrases", "TWPhrases")).select("key").distinct()
+    return etl.project_phrases(rows, lambda c: F.translate(c, "".join(single), "".join(single.values())))
+
+
+def _project_sql() -> str:
+    single = {k: v for k, v in configs.resolve("t2tw").chain[0].layers[0].values.items() if len(k) == len(v) == 1}
+    return f"""WITH {_lines_sql("HKPhrases", "TWPhrases")}, {_ENTRIES}, k AS (SELECT DISTINCT key FROM entries)
+SELECT translate(key, '{"".join(single)}', '{"".join(single.values())}') AS key, min(key) AS value FROM k WHERE length(key) >= 3 GROUP BY 1"""
+
+
+def config_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(n, d, s, t, "+".join(seg or []), " > ".join("+".join(g) for g in chain)) for n, (d, s, t, seg, chain) in configs.CONFIGS.items()]
+    return spark.createDataFrame(rows, "name string, description string, source string, target string, segmentation string, chain string")
+
+
+def region_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(s, t, c) for (s, t), c in configs.PAIRS.items()], "source string, target string, config string")
+
+
+_CASES = [(0, "一", ["出", "齣"]), (1, "演", ["齣", "出"]), (2, "", ["齣", "出"]), (3, "x", ["齣", "出"]), (4, "一", ["出"])]
+
+
+def ngram_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = spark.createDataFrame(_CASES, "id int, prev string, candidates array<string>")
+    return arpa.pick(cases, arpa.table(spark, arpa.parse(ARPA)))
+
+
+def _ngram_sql() -> str:
+    cases = [(n, p or "<s>", c, k) for n, p, cs in _CASES for k, c in enumerate(cs)]
+    grams = [(*w, p) for w, p in arpa.parse(ARPA).orders[2].items()]
+    return f"""SELECT c.id, arg_max(cand, (coalesce(lp, -1e300), -pos)) AS pick FROM (VALUES {_values(cases)}) c(id, prev, cand, pos)
+LEFT JOIN (VALUES {_values(grams)}) g(a, b, lp) ON g.a = c.prev AND g.b = c.cand GROUP BY c.id"""
+
+
+def parity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Arrow strategy held against the one that stays in the JVM, by config."""
+    rows, report = _seeded(spark, sf_dir), None
+    for config in ("t2tw", "t2hk", "jp2t", "t2jp"):
+        sides = [rows.select(F.lit(config).alias("config"), "doc_id", conversion.convert("han", config, strategy=s).alias("converted")) for s in ("arrow", "regex")]
+        part = tools.parity(*sides, ["config", "doc_id"])
+        report = part if report is None else report.unionByName(part)
+    return report
+
+
+_PARITY_SQL = "SELECT config, 'pass' AS status, count(*) AS n FROM documents, (VALUES ('t2tw'), ('t2hk'), ('jp2t'), ('t2jp')) c(config) GROUP BY config"
+
+
+def cjk_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far conversion to Japanese forms leaves the Han characters as they are."""
+    rows = _seeded(spark, sf_dir).withColumn("jp", conversion.convert("han", "t2jp"))
+    lost = F.array_join(tools.lost_cjk(F.col("han"), F.col("jp")), "")
+    return rows.select("doc_id", F.round(tools.cjk_agreement(F.col("han"), F.col("jp")), 6).alias("agreement"), lost.alias("lost"))
+
+
+def _agreement_sql() -> str:
+    table = configs.resolve("t2jp").translation()
+    cjk = lambda t: f"regexp_replace({t}, '[^一-鿿]', '', 'g')"
+    return f"""WITH {_SEEDED}, both_ AS (SELECT han, {cjk("han")} AS a, {cjk(f"translate(han, '{''.join(table)}', '{''.join(table.values())}')")} AS b FROM texts),
+pos AS (SELECT han, a, b, unnest(range(1, length(a) + 1)) AS k FROM both_),
+agg AS (SELECT han, sum(CASE WHEN substr(a, k, 1) = substr(b, k, 1) THEN 1 ELSE 0 END)::DOUBLE / max(greatest(length(a), length(b))) AS agreement,
+  coalesce(string_agg(DISTINCT CASE WHEN contains(b, substr(a, k, 1)) THEN NULL ELSE substr(a, k, 1) END, '' ORDER BY CASE WHEN contains(b, substr(a, k, 1)) THEN NULL ELSE substr(a, k, 1) END), '') AS lost FROM pos GROUP BY han)
+SELECT doc_id, round(coalesce(agreement, 1.0), 6) AS agreement, coalesce(lost, '') AS lost FROM seeded LEFT JOIN agg USING (han)"""
+
+
+def strided_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tools.strided(etl.parse(Registry().table(spark)), 7, 20).select("dict", "ord", "key")
+
+
+_STRIDED_SQL = f"""WITH {_lines_sql(*_ALL)}, {_ENTRIES}, n AS (SELECT *, row_number() OVER (PARTITION BY dict ORDER BY ord) AS rn FROM entries)
+SELECT dict, ord, key FROM n WHERE (rn - 1) % 7 = 0 AND (rn - 1) / 7.0 < 20"""
+
+
+def repeated_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tools.repeated(spark, SEEDS, 50)
+
+
+def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", tools.markdown("html").alias("markdown"))
+
+
+def variant_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detected variants of the events' texts by hour (the batch twin of the streaming count)."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts")
+    text = F.element_at(F.array(*map(F.lit, SEEDS)), (F.col("event_id") % len(SEEDS)).cast("int") + 1)
+    rows = events.select(F.date_trunc("hour", "ts").alias("hour"), F.coalesce(detection.detect(text)["region"], F.lit("unknown")).alias("region"))
+    return rows.groupBy("hour", "region").agg(F.count("*").alias("n"))
+
+
+def _windows_sql() -> str:
+    return f"""WITH said AS (SELECT date_trunc('hour', ts) AS hour, list_extract({_LIST}, (event_id % {len(SEEDS)})::INT + 1) AS han FROM events), texts AS (SELECT DISTINCT han FROM said), {_detected_sql()}
+SELECT hour::TIMESTAMP AS hour, coalesce(region, 'unknown') AS region, count(*) AS n FROM said JOIN detected USING (han) GROUP BY ALL"""
+
+
+QUERIES = {f"convert_{c}": _convert_query(c) for c in RESOLVABLE}
+QUERIES |= {"convert_custom": _convert_query("t2tw", CUSTOM)}
+QUERIES |= {f"reverse_{n}": _reverse_query(n) for n in ("TWVariants", "HKVariants", "JPShinjitaiCharacters")}
+QUERIES |= {
+    f.__name__: f
+    for f in (
+        segments_jp2t, character_tallies, detect_variant, variant_share, region_tsv, auto_route, auto_convert_permissive, dictionary_entries, dictionary_summary, merged_group,
+        patch_overlay, find_targets, project_phrases, config_list, region_pairs, ngram_pick, parity_report, cjk_agreement, strided_keys, repeated_corpus, page_markdown, variant_windows,
+    )
+}
+
+ORACLE_SQL = {f"convert_{c}": _convert_sql(c) for c in RESOLVABLE}
+ORACLE_SQL |= {f"reverse_{n}": _reverse_sql(n) for n in ("TWVariants", "HKVariants", "JPShinjitaiCharacters")}
+ORACLE_SQL |= {
+    "convert_custom": _convert_sql("t2tw", CUSTOM),
+    "segments_jp2t": _segments_sql("jp2t"),
+    "character_tallies": f"WITH {_SEEDED} SELECT doc_id, {', '.join(f'({x})::INT AS {k}' for k, x in _tally_sql('han').items())} FROM seeded",
+    "detect_variant": f"WITH {_SEEDED}, {_detected_sql()} SELECT doc_id, region, confidence FROM seeded JOIN detected USING (han)",
+    "variant_share": f"WITH {_SEEDED}, {_detected_sql()} SELECT source, lang, coalesce(region, 'unknown') AS region, count(*) AS n FROM seeded JOIN detected USING (han) GROUP BY ALL",
+    "region_tsv": f"WITH {_SEEDED}, {_detected_sql()} SELECT coalesce(region, 'unknown') AS region, coalesce(confidence, 0) AS confidence, 'doc/' || doc_id AS path FROM seeded JOIN detected USING (han)",
+    "auto_route": f"WITH {_SEEDED}, {_detected_sql()} SELECT doc_id, region, coalesce(chain, '') AS chain FROM seeded JOIN detected USING (han) LEFT JOIN (VALUES {_values((r, '+'.join(configs.route(r, 'cn-s') or [])) for r in configs.REGIONS)}) c(region, chain) USING (region)",
+    "auto_convert_permissive": _auto_sql(),
+    "dictionary_entries": f"WITH {_lines_sql(*_ALL)}, {_ENTRIES} SELECT dict, ord, key, array_to_string(vs, ' ') AS vals FROM entries",
+    "dictionary_summary": f"WITH {_lines_sql(*_ALL)}, {_ENTRIES} SELECT dict, count(*) AS entries, count(*) FILTER (len(vs) > 1) AS several, count(*) FILTER (length(key) = 1) AS single, max(length(key))::INT AS longest FROM entries GROUP BY dict",
+    "merged_group": _merged_sql(),
+    "patch_overlay": _overlay_sql(),
+    "find_targets": f"WITH {_lines_sql(*_ALL)}, {_ENTRIES} SELECT dict, key, array_to_string(vs, ' ') AS vals FROM entries WHERE len(list_filter(vs, lambda x: contains(x, '電'))) > 0",
+    "project_phrases": _project_sql(),
+    "config_list": f"SELECT * FROM (VALUES {_values((n, d, s, t, '+'.join(seg or []), ' > '.join('+'.join(g) for g in chain)) for n, (d, s, t, seg, chain) in configs.CONFIGS.items())}) c(name, description, source, target, segmentation, chain)",
+    "region_pairs": f"SELECT * FROM (VALUES {_values((s, t, c) for (s, t), c in configs.PAIRS.items())}) c(source, target, config)",
+    "ngram_pick": _ngram_sql(),
+    "parity_report": _PARITY_SQL,
+    "cjk_agreement": _agreement_sql(),
+    "strided_keys": _STRIDED_SQL,
+    "repeated_corpus": f"SELECT n::INT AS n, k::INT AS k, sentence FROM range(50) r(n), (VALUES {_values(enumerate(SEEDS))}) s(k, sentence)",
+    "variant_windows": _windows_sql(),
+}

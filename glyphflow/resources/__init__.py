@@ -1,0 +1 @@
+"""Files that ship with the package."""
