@@ -43,7 +43,9 @@ def heavy_digests(digests: DataFrame, key: str = "digest", tracked: int = TRACKE
         F.expr(f"approx_top_k_accumulate({key}, {tracked})").alias("sketch")
     )
     candidates = (
-        sketches.agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
+        # Grouped, as a global aggregate would also merge the states of empty partitions, which have no type.
+        sketches.groupBy((F.col("bucket") * 0).alias("all"))
+        .agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
         .select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {tracked})")).alias("item"))
         .select(F.col("item.item").alias("hot_digest"))
     )
