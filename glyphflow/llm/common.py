@@ -78,16 +78,28 @@ def held_out(doc_id) -> F.Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4) == 2
 
 
+def _to_roots(move: DataFrame) -> DataFrame:
+    """Pointers u to m, all m < u, doubled until no m points on."""
+    while True:
+        on = move.select(F.col("u").alias("o_u"), F.col("m").alias("o_m"))
+        jumped = written(move.join(on, move.m == F.col("o_u"), "left").select("u", F.coalesce("o_m", "m").alias("m"), F.col("o_m").isNotNull().alias("open")))
+        dropped(move)
+        if jumped.where("open").isEmpty():
+            return jumped
+        move = written(jumped.select("u", "m"))
+        dropped(jumped)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(vertex, component) for each vertex of edges(u, v) that isn't its component's minimum.
 
     Min-label contraction: in each round every vertex that has a smaller
-    neighbour merges into its least one. The vertices that remain are local
-    minima, which no edge joins, so each round at least halves the vertices of
-    every component and the number of rounds is logarithmic. Each round is two
-    aggregations with map-side minima, so a hub of any degree costs one row per
-    task, and joins whose skewed side AQE splits. Nothing reaches the driver
-    but whether edges remain.
+    neighbour points to its least one, and pointers are doubled until all end
+    at local minima. Those remain; no edge joins two of them, so each round at
+    least halves the vertices of every component, and rounds and doublings are
+    logarithmic in number. Minima are taken map-side, so a hub of any degree
+    costs one row per task; joins' skewed sides are split by AQE. Nothing
+    reaches the driver but whether edges or open pointers remain.
     """
     left = written(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
@@ -95,7 +107,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     moves: list[DataFrame] = []
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        move = written(both.groupBy("u").agg(F.min("v").alias("m")).where("m < u"))
+        move = _to_roots(written(both.groupBy("u").agg(F.min("v").alias("m")).where("m < u")))
         moves.append(move)
         a = move.select(F.col("u").alias("a_u"), F.col("m").alias("a_m"))
         b = move.select(F.col("u").alias("b_u"), F.col("m").alias("b_m"))
