@@ -73,8 +73,9 @@ def phrase_score(text: Column, weighted: list[tuple[str, int]]) -> Column:
     """Summed weights of the phrases that the text contains, however often."""
     if not weighted:
         return F.lit(0)
-    table = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(w).alias("w")) for p, w in weighted])
-    return F.aggregate(table, F.lit(0), lambda a, x: a + F.when(text.contains(x["p"]), x["w"]).otherwise(0))
+    # A phrase stands as often as its weight has its length; the split folds to one array literal.
+    listed = F.split(F.lit("|".join(p for p, w in weighted for _ in range(w // len(p)))), "\\|")
+    return F.aggregate(listed, F.lit(0), lambda a, p: a + F.when(text.contains(p), F.length(p)).otherwise(0))
 
 
 def percent(part: Column, total: Column) -> Column:
@@ -111,13 +112,21 @@ def detect(text: Column | str, registry: Registry | None = None, allow_missing:
     allow_missing=False their absence is an error.
     """
     text = F.col(text) if isinstance(text, str) else text
-    counted = tallies(text, registry, allow_missing)
-    # Phrases matter only to texts with Han characters and no kana.
-    scored = {n: F.when((counted["kana"] == 0) & (counted["cjk"] > 0), phrase_score(text, w)).otherwise(0) for n, w in zip(("tw", "hk", "both"), regional_phrases(registry), strict=True)}
-    # The one-element array binds each figure once; the rules name them many times.
-    bound = F.array(F.struct(*(c.alias(k) for k, c in (counted | scored).items())))
-    found = F.transform(bound, lambda x: decide({k: x[k] for k in counted}, x["tw"], x["hk"], x["both"]))
-    return F.when(text.isNotNull(), found[0])
+
+    def of(t: Column) -> Column:
+        counted = tallies(t, registry, allow_missing)
+        # Phrases matter only to texts with Han characters and no kana.
+        telling = (counted["kana"] == 0) & (counted["cjk"] > 0)
+        scored = {n: F.when(telling, phrase_score(t, w)).otherwise(0) for n, w in zip(("tw", "hk", "both"), regional_phrases(registry), strict=True)}
+        figures = F.struct(*(c.alias(k) for k, c in (counted | scored).items()))
+        return _bound(figures, lambda x: decide({k: x[k] for k in counted}, x["tw"], x["hk"], x["both"]))
+
+    return F.when(text.isNotNull(), _bound(text, of))
+
+
+def _bound(value: Column, body) -> Column:
+    """body(value) with value evaluated once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def sample_text(content: Column | str) -> Column:
