@@ -127,8 +127,11 @@ def threshold(model: Model, quantiles: list[float]) -> float:
     y, s = model.labels, model.scores
     if not quantiles or not (y == 1).any() or not (y == 0).any():
         return 0.0
-    gain = [((s >= q) & (y == 1)).sum() / (y == 1).sum() + ((s < q) & (y == 0)).sum() / (y == 0).sum() for q in quantiles]
-    return float(quantiles[int(np.argmax(gain))])
+    cuts = sorted(set(quantiles))
+    cuts = [(a + b) / 2 for a, b in zip(cuts, cuts[1:], strict=False)] or cuts  # between neighbours, so that no document lies on a cut
+    gain = np.array([((s >= q) & (y == 1)).sum() / (y == 1).sum() + ((s < q) & (y == 0)).sum() / (y == 0).sum() for q in cuts])
+    best = np.flatnonzero(gain >= gain.max() - 1e-12)
+    return float(cuts[best[len(best) // 2]])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
