@@ -3,12 +3,11 @@
 A text of more than CHUNK characters is cut into chunks that overlap by
 OVERLAP; the chunks are dealt to all tasks and pre-tokenised in parallel. Two
 neighbours are stitched at the first position in their overlap where both have
-a pre-token boundary: from there on the right chunk's boundaries are the true
-ones, as matching has no memory of what lies before a boundary. A boundary near
-a chunk's end counts only if the match before it ended inside the chunk, as a
-longer chunk might have lengthened it. Where an overlap has no common boundary
-(one pre-token longer than it) the left chunk's matching goes on through the
-right one. The pieces are then encoded, each distinct one once, and decoding
+a pre-token boundary. Only boundaries between a character that isn't white
+space and one that is serve: no pre-token holds such a pair, so they hold in
+the whole text, wherever a chunk began and whatever a Unicode version counts as
+a letter. Where an overlap has none (one pre-token longer than it) the chunks
+are joined. The stretches between stitches are encoded one by one, and decoding
 concatenates the ids' raw bytes.
 
 Texts of one chunk, nearly all, need no shuffle; of longer ones only chunks and
@@ -36,8 +35,6 @@ from glyphflow.llm.common import written
 
 CHUNK, OVERLAP = 1 << 15, 1 << 9
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Distinct pieces whose ids a worker remembers.
-REMEMBERED = 400_000
 
 _coders: dict[str, Coder] = {}
 
@@ -53,31 +50,18 @@ class Coder:
         self.bytes = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes[rank] = token
-        self.known: dict[str, list[int]] = {}
-
-    def ends(self, text: str) -> list[int]:
-        return [m.end() for m in self.pattern.finditer(text)]
-
-    def encode_piece(self, piece: str) -> list[int]:
-        ids = self.known.get(piece)
-        if ids is None:
-            ids = self.bpe._core_bpe.encode_single_piece(piece.encode("utf-8", "replace"))
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            if len(piece) < 64:
-                self.known[piece] = ids
-        return ids
-
-    def encode_pieces(self, pieces) -> list[int]:
+
+    def boundaries(self, text: str) -> list[int]:
+        """Ends of pre-tokens that white space follows and that don't end in it."""
+        ends = (m.end() for m in self.pattern.finditer(text))
+        return [e for e in ends if e < len(text) and text[e] in " \n\t\r" and not text[e - 1].isspace()]
+
+    def encode(self, stretches: list[str]) -> list[int]:
         out: list[int] = []
-        known, encode = self.known.get, self.encode_piece
-        for piece in pieces:
-            out += known(piece) or encode(piece)
+        for text in stretches:
+            out += self.bpe.encode_ordinary(text)
         return out
 
-    def encode(self, text: str) -> list[int]:
-        return self.encode_pieces(self.pattern.findall(text))
-
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
@@ -92,38 +76,22 @@ def chunk_starts(n: int, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int
     return list(range(0, max(n - overlap, 1), chunk - overlap))
 
 
-def stitch(chunks: list[tuple[int, str, np.ndarray]], ends) -> list[str]:
-    """The pre-tokens of the text whose overlapping chunks are (start, text, boundaries within it), in order.
-
-    ends(text) gives boundaries; it is called again only where neighbours share none.
-    """
-    pieces: list[str] = []
+def stitch(chunks: list[tuple[int, str, np.ndarray]]) -> list[str]:
+    """The stretches of the text whose overlapping chunks are (start, text, boundaries within it), in order."""
+    stretches: list[str] = []
     start, text, bounds = chunks[0]
-    at = 0  # a true boundary in the present chunk
+    at = 0  # where the present stretch begins
     for next_start, next_text, next_bounds in chunks[1:]:
         offset = next_start - start
-        mine = bounds[(bounds >= offset) & (bounds < len(text))]
-        # A chunk's last match may be cut short by its end; earlier boundaries are true.
-        common = np.intersect1d(mine, next_bounds + offset)
-        common = common[common < len(text)]
-        if len(common) and common[0] >= at:
+        common = np.intersect1d(bounds[bounds >= max(at, offset)], next_bounds + offset)
+        if len(common):
             to = int(common[0])
-            own = bounds[(bounds > at) & (bounds <= to)]
-            pieces += _cut(text, at, own)
+            stretches.append(text[at:to])
             start, text, bounds, at = next_start, next_text, next_bounds, to - offset
         else:
-            text = text + next_text[len(text) - offset :]
-            found = np.asarray(ends(text[at:]), np.int64) + at
-            bounds = np.concatenate([bounds[bounds <= at], found])
-    return pieces + _cut(text, at, bounds[bounds > at])
-
-
-def _cut(text: str, at: int, bounds) -> list[str]:
-    out = []
-    for to in bounds.tolist():
-        out.append(text[at:to])
-        at = to
-    return out
+            text += next_text[len(text) - offset :]
+            bounds = np.union1d(bounds, next_bounds + offset)
+    return [*stretches, text[at:]]
 
 
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -155,7 +123,7 @@ def _each(docs, id_col, text_col, vocabulary, chunk, overlap, kind, of) -> DataF
         c = coder(path)
         for batch in batches:
             for part in (batch.slice(k, 500) for k in range(0, batch.num_rows, 500)):
-                yield batch_of(part["doc_id"], [of(c, c.encode(x.as_py())) for x in part["text"]])
+                yield batch_of(part["doc_id"], [of(c, c.encode([x.as_py()])) for x in part["text"]])
 
     def cut(batches):
         for batch in batches:
@@ -171,7 +139,7 @@ def _each(docs, id_col, text_col, vocabulary, chunk, overlap, kind, of) -> DataF
     def bounded(batches):
         c = coder(path)
         for batch in batches:
-            bounds = [np.array(c.ends(x.as_py()), "<i4").tobytes() for x in batch["chunk"]]
+            bounds = [np.array(c.boundaries(x.as_py()), "<i4").tobytes() for x in batch["chunk"]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bounds, pa.binary())], [*batch.schema.names, "bounds"])
 
     def joined(batches):
@@ -180,7 +148,7 @@ def _each(docs, id_col, text_col, vocabulary, chunk, overlap, kind, of) -> DataF
             got = []
             for x in batch["chunks"]:
                 chunks = sorted(((r["start"], r["chunk"], np.frombuffer(r["bounds"], "<i4").astype(np.int64)) for r in x.as_py()), key=lambda r: r[0])
-                got.append(of(c, c.encode_pieces(stitch(chunks, c.ends))))
+                got.append(of(c, c.encode(stitch(chunks))))
             yield batch_of(batch["doc_id"], got)
 
     out = T.StructType([id_field, *fields.fields])
