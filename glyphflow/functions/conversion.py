@@ -117,14 +117,16 @@ def segments(text: Column | str, config: str, custom=None, registry: Registry |
     return run(text)
 
 
-def convert_auto(text: Column | str, target: str = "cn-s", registry: Registry | None = None, permissive: bool = False) -> Column:
+def convert_auto(
+    text: Column | str, target: str = "cn-s", registry: Registry | None = None, permissive: bool = False, custom=None, ngrams: Ngrams | None = None, mode: str = "off"
+) -> Column:
     """Detects each text's region and converts it on the way to target.
 
     A region from which there is no way, or whose dictionaries are missing, is
     an error of the row; with permissive such rows stay unchanged.
     """
     text = F.col(text) if isinstance(text, str) else text
-    region = detect(text, registry)["region"]
+    region, words = detect(text, registry)["region"], custom_entries(custom)
     out = None
     for code in configs.REGIONS:
         chain = configs.route(code, target)
@@ -135,7 +137,7 @@ def convert_auto(text: Column | str, target: str = "cn-s", registry: Registry |
         else:
             done = text
             for config in chain:
-                done = convert(done, config, registry=registry)
+                done = convert_with(done, configs.resolve(config, registry, words, ngrams, mode))
         out = F.when(region == code, done) if out is None else out.when(region == code, done)
     return out.otherwise(text)
 

@@ -223,7 +223,8 @@ def resolve_json(source: str, registry: Registry | None = None, custom: Custom |
     def lines_of(node) -> list[str]:
         kind = node.get("type")
         if kind == "inline":
-            return [f"{k}\t{v if isinstance(v, str) else ' '.join(v)}".split(" ")[0] for k, v in node["entries"].items()]
+            first = lambda v: (v if isinstance(v, str) else " ".join(v)).split()[:1]
+            return [f"{k}\t{value}" for k, v in node["entries"].items() for value in first(v)]
         if kind in ("text", "ocd", "ocd2") and "file" in node:
             name = node["file"]
             for end in (".ocd2", ".ocd", ".txt"):

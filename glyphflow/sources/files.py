@@ -28,6 +28,27 @@ def read_texts(spark: SparkSession, *paths: str, recursive: bool = True, strict:
     return read_bytes(spark, *paths, recursive=recursive).select("path", F.when(F.is_valid_utf8(text), text).otherwise(bad).alias("text"))
 
 
+def qualified(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """The path as Spark's readers name it, and whether there is such a file or folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store.makeQualified(at).toString(), store.exists(at)
+
+
+def in_order(found: DataFrame, paths: list[str]) -> DataFrame:
+    """The files with place, the number of the given path that each is or lies under, and shown, the path in its terms.
+
+    A file under several of the paths comes once for each. Folders' files
+    follow in order of path.
+    """
+    spark = found.sparkSession
+    given = spark.createDataFrame([(k, qualified(spark, p)[0], p.rstrip("/")) for k, p in enumerate(paths)], "place int, above string, given string")
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    placed = found.withColumn("above", F.explode(above)).join(F.broadcast(given), "above")
+    return placed.withColumn("shown", F.concat("given", F.expr("substr(path, length(above) + 1)"))).drop("above", "given")
+
+
 def listed_paths(spark: SparkSession, path: str, null_separated: bool = False) -> list[str]:
     """Paths named in a file, one per line or separated by NUL; blanks are dropped."""
     rows = spark.read.option("lineSep", "\0" if null_separated else "\n").text(path).select(F.trim("value").alias("p")).where("p <> ''")
