@@ -52,7 +52,7 @@ def converting_parser() -> argparse.ArgumentParser:
     parser.add_argument("--auto", action="store_true", help="detect each input's variant and convert it to --target")
     parser.add_argument("--target", metavar="REGION", help="with --auto; default cn-s")
     parser.add_argument("--dict", action="append", default=[], metavar="FILE", help="custom words, key<TAB>value; may be repeated")
-    parser.add_argument("--dictionaries", metavar="DIR", help="folder of <name>.txt dictionaries beyond those shipped")
+    parser.add_argument("--dictionaries", metavar="DIR", help="folder of <name>.txt dictionaries; default: $GLYPHFLOW_DICTIONARIES")
     parser.add_argument("--ngram", metavar="FILE", help="ARPA model; by itself it means --trigram")
     for mode, value in (("--fast", "off"), ("--bigram", "bigram"), ("--trigram", "trigram")):
         parser.add_argument(mode, dest="mode", action="store_const", const=value)

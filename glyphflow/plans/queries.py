@@ -15,15 +15,18 @@ from glyphflow.operators import dictionary_etl as etl
 from glyphflow.operators import tools
 from glyphflow.plans import configs
 from glyphflow.sources import arpa
-from glyphflow.sources.dictionaries import Registry
+from glyphflow.plans.excerpts import EXCERPTS
+from glyphflow.sources.dictionaries import Registry, default_root
 
 SEEDS = [
     "裏面純喫茶喫飯，請你喫完再走", "他感染了A型肝炎", "A型肝炎在羣衆中傳播", "我買了新的滑鼠很好用", "弁護士と弁当と予備の万年筆", "国際電話の会議に参与する", "鄰居着急地爲衆人說話", "核心內容與軟體網路",
     "hello world 123", "", "這裏的臺灣羣島，那裡的台灣群島", "線上遊戲的伺服器設定", "他去了西維珍尼亞州", "𠮷野家の牛丼，並盛\n二つ", "脣齒相依，牀前明月光", "爲什麼，為甚麼", "汉字计算机软件打印机", "床前的粧奩，鉢裡的麪",
     "東京都の学校で体験する", "資訊科技與程式設計", "SQL注入攻擊", "煙囪與香菸，才剛纔說", "戲院の戯曲、演劇の沢山", "123漢字abc着裝，着陸",
 ]
-#: Configs that the shipped dictionaries resolve in full.
-RESOLVABLE = [c for c in configs.CONFIGS if not configs.missing(c)]
+#: A folder of dictionaries serves whole where one is set; excerpts have all that SEEDS meet.
+REGISTRY = Registry(extra={} if default_root() else {n: lines.strip("\n").split("\n") for n, lines in EXCERPTS.items()})
+#: Configs that these dictionaries resolve in full.
+RESOLVABLE = [c for c in configs.CONFIGS if not configs.missing(c, REGISTRY)]
 CUSTOM = [("軟體", "軟件"), ("滑鼠很", "鼠標真"), ("明月", "明日")]
 ARPA = "\\data\\\n\\1-grams:\n-1.0\t出\n-1.2\t齣\n\\2-grams:\n-0.5\t一 齣\n-0.9\t一 出\n-0.3\t演 出\n-0.7\t<s> 出\n\\end\\\n"
 
@@ -64,26 +67,26 @@ walk(han, pos, piece, out, hit) AS (
 
 def _convert_query(config: str, custom=None):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _seeded(spark, sf_dir).select("doc_id", conversion.convert("han", config, custom=custom).alias("converted"))
+        return _seeded(spark, sf_dir).select("doc_id", conversion.convert("han", config, custom=custom, registry=REGISTRY).alias("converted"))
 
     return run
 
 
 def _convert_sql(config: str, custom=None) -> str:
     """One pass of longest matches: right for one-stage configs whose segments no match can cross."""
-    plan = configs.resolve(config, custom=custom)
+    plan = configs.resolve(config, REGISTRY, custom)
     return f"""WITH RECURSIVE {_SEEDED}, {_match_sql([layer.values for layer in plan.chain[0].layers])},
 done AS (SELECT han, string_agg(out, '' ORDER BY pos) AS converted FROM walk GROUP BY han)
 SELECT doc_id, coalesce(converted, '') AS converted FROM seeded LEFT JOIN done USING (han)"""
 
 
 def segments_jp2t(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _seeded(spark, sf_dir).select("doc_id", F.explode(conversion.segments("han", "jp2t")).alias("s"))
+    rows = _seeded(spark, sf_dir).select("doc_id", F.explode(conversion.segments("han", "jp2t", registry=REGISTRY)).alias("s"))
     return rows.select("doc_id", "s.seg_no", "s.seg", "s.matched")
 
 
 def _segments_sql(config: str) -> str:
-    group = configs.resolve(config).segmentation
+    group = configs.resolve(config, REGISTRY).segmentation
     return f"""WITH RECURSIVE {_SEEDED}, {_match_sql([group.layers[0].values])},
 cut AS (SELECT *, CASE WHEN hit OR lag(hit, 1, true) OVER (PARTITION BY han ORDER BY pos) THEN 1 ELSE 0 END AS starts FROM walk),
 numbered AS (SELECT *, sum(starts) OVER (PARTITION BY han ORDER BY pos) - 1 AS seg_no FROM cut),
@@ -92,17 +95,17 @@ SELECT doc_id, seg_no, seg, matched FROM seeded JOIN seg USING (han)"""
 
 
 def character_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detection.tallies("han")
+    found = detection.tallies("han", REGISTRY)
     return _seeded(spark, sf_dir).select("doc_id", *(c.cast("int").alias(k) for k, c in found.items()))
 
 
 def _tally_sql(t: str) -> dict[str, str]:
-    out = {k: f"(length({t}) - length(translate({t}, {_quoted(v)}, '')))" if v else "0" for k, v in detection.signatures().items()}
+    out = {k: f"(length({t}) - length(translate({t}, {_quoted(v)}, '')))" if v else "0" for k, v in detection.signatures(REGISTRY).items()}
     return out | {"cjk": f"length(regexp_replace({t}, '[^一-鿿]', '', 'g'))", "kana": f"length(regexp_replace({t}, '[^぀-ヿ]', '', 'g'))"}
 
 
 def detect_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _seeded(spark, sf_dir).select("doc_id", detection.detect("han").alias("d"))
+    rows = _seeded(spark, sf_dir).select("doc_id", detection.detect("han", REGISTRY).alias("d"))
     return rows.select("doc_id", "d.region", "d.confidence")
 
 
@@ -112,7 +115,7 @@ def _detected_sql() -> str:
     names = ("p_tw", "p_hk", "p_both")
     scores = ", ".join(
         f"(SELECT coalesce(sum(w), 0) FROM (VALUES {_values(ws) if ws else '(NULL, 0)'}) p(phrase, w) WHERE contains(texts.han, phrase))::INT AS {n}"
-        for n, ws in zip(names, detection.regional_phrases(), strict=True)
+        for n, ws in zip(names, detection.regional_phrases(REGISTRY), strict=True)
     )
     pct = lambda part, total: f"(CASE WHEN {total} = 0 THEN 0 ELSE floor({part} * 100 / {total})::INT & 255 END)"
     tw, hk = pct("(cn_t + cn_tw)", "cjk"), pct("(cn_t + cn_hk)", "cjk")
@@ -136,54 +139,54 @@ detected AS (SELECT han, CASE {region} END AS region, (CASE {confidence} END)::I
 
 
 def variant_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _seeded(spark, sf_dir).select("source", "lang", F.coalesce(detection.detect("han")["region"], F.lit("unknown")).alias("region"))
+    rows = _seeded(spark, sf_dir).select("source", "lang", F.coalesce(detection.detect("han", REGISTRY)["region"], F.lit("unknown")).alias("region"))
     return rows.groupBy("source", "lang", "region").agg(F.count("*").alias("n"))
 
 
 def region_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections as the file sink has them: unknown and 0 where nothing is detected."""
-    rows = _seeded(spark, sf_dir).select("doc_id", detection.detect("han").alias("d"))
+    rows = _seeded(spark, sf_dir).select("doc_id", detection.detect("han", REGISTRY).alias("d"))
     return rows.select(F.coalesce("d.region", F.lit("unknown")).alias("region"), F.coalesce("d.confidence", F.lit(0)).alias("confidence"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"))
 
 
 def auto_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The configs that each document would pass on its way to Simplified Chinese."""
-    rows = _seeded(spark, sf_dir).select("doc_id", detection.detect("han")["region"].alias("region"))
+    rows = _seeded(spark, sf_dir).select("doc_id", detection.detect("han", REGISTRY)["region"].alias("region"))
     chains = spark.createDataFrame([(r, "+".join(configs.route(r, "cn-s") or [])) for r in configs.REGIONS], "region string, chain string")
     return rows.join(F.broadcast(chains), "region", "left").select("doc_id", "region", F.coalesce("chain", F.lit("")).alias("chain"))
 
 
 def auto_convert_permissive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detected and converted towards cn-t; rows without a way, or whose dictionaries are missing, stay."""
-    return _seeded(spark, sf_dir).select("doc_id", conversion.convert_auto("han", "cn-t", permissive=True).alias("converted"))
+    return _seeded(spark, sf_dir).select("doc_id", conversion.convert_auto("han", "cn-t", registry=REGISTRY, permissive=True).alias("converted"))
 
 
 def _auto_sql() -> str:
-    plan = configs.resolve("jp2t")
+    plan = configs.resolve("jp2t", REGISTRY)
     return f"""WITH RECURSIVE {_SEEDED}, {_match_sql([plan.chain[0].layers[0].values])}, {_detected_sql()},
 done AS (SELECT han, string_agg(out, '' ORDER BY pos) AS converted FROM walk GROUP BY han)
 SELECT doc_id, CASE WHEN region = 'jp-n' THEN coalesce(converted, '') ELSE han END AS converted FROM seeded JOIN detected USING (han) LEFT JOIN done USING (han)"""
 
 
 def _lines_sql(*names: str) -> str:
-    registry = Registry()
+    registry = REGISTRY
     return f"lines(dict, ord, line) AS (VALUES {_values((n, k, x) for n in names for k, x in enumerate(registry.lines(n), 1))})"
 
 
 _ENTRIES = """entries AS (SELECT dict, max(ord) AS ord, k AS key, arg_max(vs, ord) AS vs FROM (
   SELECT dict, ord, split_part(line, chr(9), 1) AS k, string_split(trim(split_part(line, chr(9), 2)), ' ') AS vs FROM lines
   WHERE NOT starts_with(line, '#') AND contains(line, chr(9))) GROUP BY dict, k)"""
-_ALL = Registry().names()
+_ALL = REGISTRY.names()
 
 
 def dictionary_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All entries of all dictionaries, values space-joined."""
-    rows = etl.parse(Registry().table(spark))
+    rows = etl.parse(REGISTRY.table(spark))
     return rows.select("dict", "ord", "key", F.array_join("values", " ").alias("vals"))
 
 
 def dictionary_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = etl.parse(Registry().table(spark))
+    rows = etl.parse(REGISTRY.table(spark))
     return rows.groupBy("dict").agg(
         F.count("*").alias("entries"), F.count_if(F.size("values") > 1).alias("several"), F.count_if(F.length("key") == 1).alias("single"), F.max(F.length("key")).alias("longest")
     )
@@ -191,7 +194,7 @@ def dictionary_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _reverse_query(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        lines = Registry().table(spark, name)
+        lines = REGISTRY.table(spark, name)
         return etl.reverse(etl.parse(lines), etl.preferences(lines)).select("key", F.array_join("values", " ").alias("vals"))
 
     return run
@@ -209,7 +212,7 @@ _GROUP = ["TWPhrasesRev", "TWVariantsRevPhrases", "TWVariants"]
 
 
 def merged_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = etl.merge(etl.parse(Registry().table(spark, *_GROUP)), _GROUP)
+    rows = etl.merge(etl.parse(REGISTRY.table(spark, *_GROUP)), _GROUP)
     return rows.select("key", "value", F.array_join("candidates", " ").alias("candidates"), "dict")
 
 
@@ -229,25 +232,25 @@ def patch_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _overlay_sql() -> str:
-    rows = [("base", k, x) for k, x in enumerate(_BASE, 1)] + [("patch", k, x) for k, x in enumerate(Registry().lines("STPhrases.patch"), 1)]
+    rows = [("base", k, x) for k, x in enumerate(_BASE, 1)] + [("patch", k, x) for k, x in enumerate(REGISTRY.lines("STPhrases.patch"), 1)]
     return f"""WITH lines(dict, ord, line) AS (VALUES {_values(rows)}), {_ENTRIES}
 SELECT key, array_to_string(vs, ' ') AS vals FROM entries e WHERE dict = 'patch' OR key NOT IN (SELECT key FROM entries WHERE dict = 'patch')"""
 
 
 def find_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return etl.find_targets(etl.parse(Registry().table(spark)), "電").select("dict", "key", F.array_join("values", " ").alias("vals"))
+    return etl.find_targets(etl.parse(REGISTRY.table(spark)), "群").select("dict", "key", F.array_join("values", " ").alias("vals"))
 
 
 def project_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hong Kong and Taiwan phrase keys by the form that the variant table gives them."""
-    table = configs.resolve("t2tw").chain[0].layers[0].values
+    table = configs.resolve("t2tw", REGISTRY).chain[0].layers[0].values
     single = {k: v for k, v in table.items() if len(k) == len(v) == 1}
-    rows = etl.parse(Registry().table(spark, "HKPhrases", "TWPhrases")).select("key").distinct()
+    rows = etl.parse(REGISTRY.table(spark, "HKPhrases", "TWPhrases")).select("key").distinct()
     return etl.project_phrases(rows, lambda c: F.translate(c, "".join(single), "".join(single.values())))
 
 
 def _project_sql() -> str:
-    single = {k: v for k, v in configs.resolve("t2tw").chain[0].layers[0].values.items() if len(k) == len(v) == 1}
+    single = {k: v for k, v in configs.resolve("t2tw", REGISTRY).chain[0].layers[0].values.items() if len(k) == len(v) == 1}
     return f"""WITH {_lines_sql("HKPhrases", "TWPhrases")}, {_ENTRIES}, k AS (SELECT DISTINCT key FROM entries)
 SELECT translate(key, '{"".join(single)}', '{"".join(single.values())}') AS key, min(key) AS value FROM k WHERE length(key) >= 3 GROUP BY 1"""
 
@@ -280,7 +283,7 @@ def parity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The Arrow strategy held against the one that stays in the JVM, by config."""
     rows, report = _seeded(spark, sf_dir), None
     for config in ("t2tw", "t2hk", "jp2t", "t2jp"):
-        sides = [rows.select(F.lit(config).alias("config"), "doc_id", conversion.convert("han", config, strategy=s).alias("converted")) for s in ("arrow", "regex")]
+        sides = [rows.select(F.lit(config).alias("config"), "doc_id", conversion.convert("han", config, strategy=s, registry=REGISTRY).alias("converted")) for s in ("arrow", "regex")]
         part = tools.parity(*sides, ["config", "doc_id"])
         report = part if report is None else report.unionByName(part)
     return report
@@ -291,13 +294,13 @@ _PARITY_SQL = "SELECT config, 'pass' AS status, count(*) AS n FROM documents, (V
 
 def cjk_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far conversion to Japanese forms leaves the Han characters as they are."""
-    rows = _seeded(spark, sf_dir).withColumn("jp", conversion.convert("han", "t2jp"))
+    rows = _seeded(spark, sf_dir).withColumn("jp", conversion.convert("han", "t2jp", registry=REGISTRY))
     lost = F.array_join(tools.lost_cjk(F.col("han"), F.col("jp")), "")
     return rows.select("doc_id", F.round(tools.cjk_agreement(F.col("han"), F.col("jp")), 6).alias("agreement"), lost.alias("lost"))
 
 
 def _agreement_sql() -> str:
-    table = configs.resolve("t2jp").translation()
+    table = configs.resolve("t2jp", REGISTRY).translation()
     cjk = lambda t: f"regexp_replace({t}, '[^一-鿿]', '', 'g')"
     return f"""WITH {_SEEDED}, both_ AS (SELECT han, {cjk("han")} AS a, {cjk(f"translate(han, '{''.join(table)}', '{''.join(table.values())}')")} AS b FROM texts),
 pos AS (SELECT han, a, b, unnest(range(1, length(a) + 1)) AS k FROM both_),
@@ -307,7 +310,7 @@ SELECT doc_id, round(coalesce(agreement, 1.0), 6) AS agreement, coalesce(lost, '
 
 
 def strided_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tools.strided(etl.parse(Registry().table(spark)), 7, 20).select("dict", "ord", "key")
+    return tools.strided(etl.parse(REGISTRY.table(spark)), 7, 20).select("dict", "ord", "key")
 
 
 _STRIDED_SQL = f"""WITH {_lines_sql(*_ALL)}, {_ENTRIES}, n AS (SELECT *, row_number() OVER (PARTITION BY dict ORDER BY ord) AS rn FROM entries)
@@ -327,7 +330,7 @@ def variant_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detected variants of the events' texts by hour (the batch twin of the streaming count)."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts")
     text = F.element_at(F.array(*map(F.lit, SEEDS)), (F.col("event_id") % len(SEEDS)).cast("int") + 1)
-    rows = events.select(F.date_trunc("hour", "ts").alias("hour"), F.coalesce(detection.detect(text)["region"], F.lit("unknown")).alias("region"))
+    rows = events.select(F.date_trunc("hour", "ts").alias("hour"), F.coalesce(detection.detect(text, REGISTRY)["region"], F.lit("unknown")).alias("region"))
     return rows.groupBy("hour", "region").agg(F.count("*").alias("n"))
 
 
@@ -362,7 +365,7 @@ ORACLE_SQL |= {
     "dictionary_summary": f"WITH {_lines_sql(*_ALL)}, {_ENTRIES} SELECT dict, count(*) AS entries, count(*) FILTER (len(vs) > 1) AS several, count(*) FILTER (length(key) = 1) AS single, max(length(key))::INT AS longest FROM entries GROUP BY dict",
     "merged_group": _merged_sql(),
     "patch_overlay": _overlay_sql(),
-    "find_targets": f"WITH {_lines_sql(*_ALL)}, {_ENTRIES} SELECT dict, key, array_to_string(vs, ' ') AS vals FROM entries WHERE len(list_filter(vs, lambda x: contains(x, '電'))) > 0",
+    "find_targets": f"WITH {_lines_sql(*_ALL)}, {_ENTRIES} SELECT dict, key, array_to_string(vs, ' ') AS vals FROM entries WHERE len(list_filter(vs, lambda x: contains(x, '群'))) > 0",
     "project_phrases": _project_sql(),
     "config_list": f"SELECT * FROM (VALUES {_values((n, d, s, t, '+'.join(seg or []), ' > '.join('+'.join(g) for g in chain)) for n, (d, s, t, seg, chain) in configs.CONFIGS.items())}) c(name, description, source, target, segmentation, chain)",
     "region_pairs": f"SELECT * FROM (VALUES {_values((s, t, c) for (s, t), c in configs.PAIRS.items())}) c(source, target, config)",

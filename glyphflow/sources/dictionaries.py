@@ -1,19 +1,20 @@
 """Dictionary lines as a table, and the registry of dictionaries by name.
 
 A dictionary comes from, in this order: a registered list of lines, a folder of
-``<name>.txt`` files, the table shipped with the package. A name found nowhere
-raises MissingDictionary; nothing is ever made up for it.
+``<name>.txt`` files (a parameter; by default what the environment variable
+GLYPHFLOW_DICTIONARIES names), the small tables that the package states. A name
+found nowhere raises MissingDictionary; nothing is ever made up for it.
 """
 
 from __future__ import annotations
 
-import functools
-from importlib import resources
+import os
 from pathlib import Path
 
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 
+from glyphflow.sources.fixed_tables import FIXED
+
 LINE_SCHEMA = "dict string, line_no int, line string"
 #: What conversions draw on; the last five are derived (see operators.dictionary_etl).
 SOURCES = (
@@ -28,29 +29,23 @@ class MissingDictionary(LookupError):
     """A dictionary that no source has."""
 
 
-@functools.cache
-def shipped() -> dict[str, tuple[str, ...]]:
-    with resources.as_file(resources.files("glyphflow.resources") / "dictionaries.parquet") as path:
-        table = pq.read_table(path).to_pydict()
-    out: dict[str, list[str]] = {}
-    for name, line in zip(table["dict"], table["line"], strict=True):
-        out.setdefault(name, []).append(line)
-    return {k: tuple(v) for k, v in out.items()}
+def default_root() -> str | None:
+    return os.environ.get("GLYPHFLOW_DICTIONARIES") or None
 
 
 class Registry:
     """Lines of dictionaries by name."""
 
     def __init__(self, root: str | None = None, extra: dict[str, list[str]] | None = None):
-        self.root, self.extra = root, {k: tuple(v) for k, v in (extra or {}).items()}
+        self.root, self.extra = root or default_root(), {k: tuple(v) for k, v in (extra or {}).items()}
 
     def lines(self, name: str) -> tuple[str, ...]:
         if name in self.extra:
             return self.extra[name]
         if self.root and (path := Path(self.root, f"{name}.txt")).exists():
             return tuple(path.read_text(encoding="utf-8").split("\n"))
-        if name in shipped():
-            return shipped()[name]
+        if name in FIXED:
+            return tuple(FIXED[name].strip("\n").split("\n"))
         raise MissingDictionary(f"no dictionary {name}: give a folder that has {name}.txt, or register its lines")
 
     def has(self, name: str) -> bool:

@@ -1,4 +1,6 @@
+import os
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -6,6 +8,13 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).parent.parent))
 
+from glyphflow.plans.excerpts import EXCERPTS  # noqa: E402
+
+_FOLDER = tempfile.TemporaryDirectory()
+for _name, _lines in EXCERPTS.items():
+    Path(_FOLDER.name, f"{_name}.txt").write_text(_lines.strip("\n") + "\n", encoding="utf-8")
+os.environ.setdefault("GLYPHFLOW_DICTIONARIES", _FOLDER.name)
+
 
 @pytest.fixture(scope="session")
 def spark():

@@ -116,7 +116,7 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("out").collect())) == sorted(map(tuple, converted(rows, "t2tw").collect()))
 
 
-@pytest.mark.parametrize("name", ["convert_t2tw", "convert_jp2t", "convert_custom", "segments_jp2t", "character_tallies", "auto_route", "merged_group", "reverse_HKVariants", "ngram_pick"])
+@pytest.mark.parametrize("name", ["convert_t2tw", "convert_jp2t", "convert_custom", "segments_jp2t", "character_tallies", "find_targets", "auto_route", "merged_group", "reverse_HKVariants", "ngram_pick"])
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{SMALL}/documents.parquet'")
