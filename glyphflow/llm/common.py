@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 
@@ -12,7 +11,8 @@ from pyspark.sql import functions as F
 #: ASCII white space, as the contracts define it (space, tab to carriage return).
 ASCII_SPACE = "[\\x20\\x09-\\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
+#: Paths of intermediates that are still there, in the order they were written.
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,55 +22,69 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the cluster names none (tests in local mode) a temporary folder
-    is set, for the life of the session.
+    Only in local mode (tests), and where it is unset, a temporary folder is
+    set for the life of the session; on a cluster its absence is an error, as
+    executors don't share the driver's disk.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that the driver and the executors of {master} share")
         at = "file://" + tempfile.mkdtemp(prefix="glyphflow-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def _drop_all() -> None:
-    for spark, path in _written:
-        try:
-            drop_path(spark, path)
-        except Exception:  # the session is gone already; nothing is left to tidy with
-            return
-
-
-atexit.register(_drop_all)
+def _store(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def written(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back.
 
     This cuts the lineage in a way that survives lost executors, and gives a
-    deterministic input to steps that would otherwise run twice.
+    deterministic input to steps that would otherwise run twice. The table goes
+    when the driver's JVM ends, or earlier by dropped() or dropped_since().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/glyphflow/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
+    at, store = _store(spark, path)
+    store.deleteOnExit(at)
+    _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._glyphflow_path = path
     return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Removes a table made by written() that nothing will read again."""
-    path = df._glyphflow_path
-    drop_path(df.sparkSession, path)
-    _written.remove((df.sparkSession, path))
+def _drop(spark: SparkSession, path: str) -> None:
+    at, store = _store(spark, path)
+    store.delete(at, True)
+    store.cancelDeleteOnExit(at)
+    _written.remove(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables made by written() that nothing will read again."""
+    for df in tables:
+        if df._glyphflow_path in _written:
+            _drop(df.sparkSession, df._glyphflow_path)
+
+
+def mark() -> int:
+    """A point in the sequence of intermediates, for dropped_since()."""
+    return len(_written)
+
+
+def dropped_since(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Removes all intermediates written after the mark but those to keep."""
+    kept = {df._glyphflow_path for df in keep}
+    for path in [p for p in _written[since:] if p not in kept]:
+        _drop(spark, path)
 
 
 def held_out(doc_id) -> F.Column:
@@ -131,4 +145,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
             F.col("u").alias("vertex"), F.coalesce("l_c", "m").alias("component")
         )
         result = here.unionByName(result)
-    return written(result)
+    final = written(result)
+    dropped(left, *moves)
+    return final

@@ -105,14 +105,14 @@ def test_simhash_tiles_lose_no_link(spark):
     assert [got.get(k, k) for k in range(len(fps))] == want
 
 
-@pytest.mark.parametrize("block", [1024, 16])
-def test_cover_tree(spark, block):
+@pytest.mark.parametrize(("block", "kind"), [(1024, "float"), (16, "float"), (4, "double")])
+def test_cover_tree(spark, block, kind):
     draw = np.random.default_rng(5)
     x = draw.standard_normal((20, 8))
     x = np.concatenate([x, x[:15] + 0.12 * draw.standard_normal((15, 8)), x[:6] + 0.02, x[3:5], 3 * x[:1]])
     rows = [(k, v.tolist(), int(k % 2)) for k, v in enumerate(x.astype(np.float32))]
     bad = [(100, None, 0), (101, [0.0] * 8, 0), (102, [float("nan")] * 8, 0), (103, [None] * 8, 0), (104, rows[0][1], None), (105, [1.0, 2.0], 0), (106, [], 0)]
-    df = spark.createDataFrame([(*r, "x") for r in rows + bad], "vec_id long, embedding array<float>, label int, x string")
+    df = spark.createDataFrame([(*r, "x") for r in rows + bad], f"vec_id long, embedding array<{kind}>, label int, x string")
     got = {r["vec_id"]: r for r in cover_tree.near_dedup(df, block=block).collect()}
     v = np.array([r[1] for r in rows], float)
     v /= np.linalg.norm(v, axis=1, keepdims=True)
@@ -126,6 +126,47 @@ def test_cover_tree(spark, block):
     assert cover_tree.near_dedup(df.limit(0)).count() == 0
 
 
+def test_cover_tree_clusters_in_cells(spark):
+    """Tight clusters, of which one holds a third of the rows, dealt to cells: no link lost, some units never shipped."""
+    draw = np.random.default_rng(9)
+    centre = draw.standard_normal((40, 12))
+    which = np.concatenate([np.zeros(200, int), draw.integers(0, 40, 400)])
+    x = (centre[which] + 0.15 * draw.standard_normal((600, 12))).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist(), "one") for k, v in enumerate(x)], "vec_id long, embedding array<float>, label string")
+    got = {r["vec_id"]: r for r in cover_tree.near_dedup(df, block=50).collect()}
+    v = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    link = v @ v.T >= 0.93
+    np.fill_diagonal(link, False)
+    root = components(600, zip(*np.nonzero(link), strict=True))
+    assert [(got[k]["n_links"], got[k]["component_id"]) for k in range(600)] == [(link[k].sum(), root[k]) for k in range(600)]
+
+
+def test_cover_tree_ids(spark):
+    """Repeated and null ids: copies link, a null id is no minimum."""
+    a, b = [1.0, 0.0], [0.0, 1.0]
+    df = spark.createDataFrame([(5, a, 0), (5, a, 0), (None, a, 0), (None, b, 0), (None, b, 0), (7, None, 0)], "vec_id long, embedding array<float>, label int")
+    got = sorted(map(tuple, cover_tree.near_dedup(df).collect()), key=str)
+    assert got == sorted([(5, 2, 5, True), (5, 2, 5, True), (None, 2, 5, False), (None, 1, None, True), (None, 1, None, True), (7, 0, 7, True)], key=str)
+    with pytest.raises(Exception, match="aren't supported"):
+        cover_tree.near_dedup(spark.createDataFrame([(1 << 62, a, 0)], df.schema)).collect()
+
+
+def test_dual_traversal_is_exact():
+    draw = np.random.default_rng(2)
+    x = draw.standard_normal((700, 6))
+    x = np.concatenate([x, x[:300] + 0.05 * draw.standard_normal((300, 6)), x[:1] + 0.01 * draw.standard_normal((200, 6))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, weight = draw.permutation(len(x)), draw.integers(1, 4, len(x))
+    link = x @ x.T >= 0.93
+    np.fill_diagonal(link, False)
+    _, count, root = cover_tree.join_blocks(ids, x, weight)
+    assert (count == link @ weight).all()
+    want = components(len(x), [(ids[a], ids[b]) for a, b in zip(*np.nonzero(link), strict=True)])
+    assert [want[i] for i in ids] == root.tolist()
+    _, count, _ = cover_tree.join_blocks(ids[:500], x[:500], weight[:500], ids[500:], x[500:], weight[500:])
+    assert (count == np.concatenate([link[:500, 500:] @ weight[500:], link[500:, :500] @ weight[:500]])).all()
+
+
 def encoding(name):
     import base64
 
