@@ -61,6 +61,12 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """Size of a table made by written(), as its files have it."""
+    at, store = _store(df.sparkSession, df._glyphflow_path)
+    return store.getContentSummary(at).getLength()
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     at, store = _store(spark, path)
     store.delete(at, True)

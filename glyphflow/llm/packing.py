@@ -4,7 +4,8 @@
    fixed random projection takes to AXES dimensions; the Hilbert key of that
    point orders the documents. (key, id, ids) is written once.
 2. A range sort by (key, id) puts neighbours into the same partition; the id
-   breaks ties, so a hot key is spread over partitions too.
+   breaks ties, so a hot key is spread over partitions too. The partitions are
+   as many as the written bytes ask for.
 3. Each partition lays its documents end to end into sequences of LENGTH
    tokens. What is left at its end is cut into sequences of power-of-two
    lengths, which aren't padded: no sequence holds padding.
@@ -13,39 +14,38 @@ Ids take two bytes each on disk and in the shuffle (the vocabulary has fewer
 than 65,536). A range of equal (key, id) rows only arises from repeated ids.
 
 Defined cases: a null text is the empty text, one end token; rows repeat as
-they come; an empty table gives an empty result; other columns aren't read.
+they come, also with their ids, and each is laid whole; ties of the key go by
+id; very long texts are cut into as many sequences as they fill; an empty table
+gives an empty result; other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
-import re
+import math
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
+import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphflow.llm.common import written
+from glyphflow.llm.common import stored_bytes, written
 
 LENGTH = 1024
 END = 0
 VOCABULARY = "byte_bpe_50k.json"
 #: Hashed counts of ids, projected to so many axes of 2**BITS cells.
 HASHED, AXES, BITS = 256, 3, 10
-#: Distinct words whose ids a worker remembers.
-REMEMBERED = 300_000
+#: Bytes of ids that one range partition holds, about.
+RANGE_BYTES = 32 << 20
 
-#: A pre-token begins at each space that something other than white space
-#: follows, whatever lies before it, so texts can be cut there before encoding.
-#: This class is within the non-space characters of every regex dialect.
-_WORD_STARTS = re.compile(r" (?=[^\s\x1c-\x1f\x85᠎​﻿])")
-_coders: dict[str, WordCoder] = {}
+_coders: dict[str, Coder] = {}
 
 
 def _byte_letters() -> dict[str, int]:
@@ -55,52 +55,38 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-class WordCoder:
-    """Encodes texts word by word; words met before cost one look-up."""
+class Coder:
+    """One vocabulary in one worker.
+
+    Texts are encoded by merge ranks; one that spells an added token goes to the
+    tokenizers library itself, whose rules for such tokens hold then.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         letters = _byte_letters()
-        special = {t["content"] for t in spec["added_tokens"]}
-        ranks = {bytes(map(letters.__getitem__, k)): v for k, v in spec["model"]["vocab"].items() if k not in special}
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        ranks = {bytes(map(letters.__getitem__, k)): v for k, v in spec["model"]["vocab"].items() if k not in self.added}
         self.bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.size = np.zeros(max(ranks.values()) + 1, np.int64)
-        for token, rank in ranks.items():
-            self.size[rank] = len(token)
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        """Ids of new words (without the space before them), all at once."""
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        ids = np.array(self.bpe.encode_ordinary(" " + " ".join(words)), np.uint16)
-        ends = np.cumsum([1 + len(w.encode("utf-8", "replace")) for w in words])
-        cuts = np.searchsorted(np.cumsum(self.size[ids]), ends)
-        data, at = ids.tobytes(), 0
-        for word, cut in zip(words, cuts.tolist(), strict=True):
-            self.known[word] = data[2 * at : 2 * cut + 2]
-            at = cut + 1
+        self.path, self._whole = path, None
+        if max([*ranks.values(), *(t["id"] for t in spec["added_tokens"])]) >= 1 << 16:
+            raise ValueError("ids take two bytes; this vocabulary has larger ones")
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 16-bit numbers."""
-        first, *words = _WORD_STARTS.split(text)
-        head = np.array(self.bpe.encode_ordinary(first), "<u2").tobytes() if first else b""
-        try:
-            return head + b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            new = list({w for w in words if w not in self.known})
-            if len(new) > REMEMBERED:
-                return np.array(self.bpe.encode_ordinary(text), "<u2").tobytes()
-            self._learn(new)
-            if all(w in self.known for w in words):
-                return head + b"".join(map(self.known.__getitem__, words))
-            return np.array(self.bpe.encode_ordinary(text), "<u2").tobytes()
-
-
-def word_coder(path: str) -> WordCoder:
+        if any(x in text for x in self.added):
+            if self._whole is None:
+                self._whole = tokenizers.Tokenizer.from_file(self.path)
+            ids = self._whole.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.bpe.encode_ordinary(text)
+        return np.array(ids, "<u2").tobytes()
+
+
+def coder(path: str) -> Coder:
     if path not in _coders:
-        _coders[path] = WordCoder(path)
+        _coders[path] = Coder(path)
     return _coders[path]
 
 
@@ -154,10 +140,10 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
     axes, end = projection(), np.array([END], "<u2").tobytes()
 
     def run(batches):
-        coder = word_coder(path)
+        c = coder(path)
         for batch in batches:
             for part in (batch.slice(k, 500) for k in range(0, batch.num_rows, 500)):
-                ids = [coder.encode(x.as_py()) + end for x in part["text"]]
+                ids = [c.encode(x.as_py()) + end for x in part["text"]]
                 keys = [curve_key(np.frombuffer(x, "<u2")[:-1], axes) for x in ids]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(keys, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "curve_key", "ids"])
 
@@ -184,7 +170,8 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     ids holds the piece's ids, little-endian unsigned 32-bit, packed.
     """
     rows = written(tokenised(docs, id_col, text_col, vocabulary))
-    laid = rows.repartitionByRange("curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id")
+    ranges = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(stored_bytes(rows) / RANGE_BYTES))
+    laid = rows.repartitionByRange(ranges, "curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id")
 
     def run(batches):
         base = TaskContext.get().partitionId() << 40

@@ -1,13 +1,16 @@
 """Each operator on a small table with nulls, empty and long texts, ties, repeated rows and extra columns, against brute force."""
 
 import hashlib
+import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import tokenizers
 import xxhash
 
 from glyphflow.llm import bpe, cover_tree, exact_dedup, html_text, language_id, licenses, packing, pii, quality, simhash
@@ -189,22 +192,30 @@ def test_bpe(spark, chunk, overlap):
 
 
 def test_packing(spark):
-    enc, df = encoding("byte_bpe_50k.tiktoken"), table(spark)
-    want = {r["doc_id"]: np.array([*enc.encode_ordinary(r["text"] or ""), 0], "<u4") for r in df.collect()}
-    rows = packing.packed(df.dropDuplicates(["doc_id"])).collect()
+    """Against the tokenizers library: each id of each row in exactly one piece, sequences gapless and full or powers of two."""
+    whole = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [*TEXTS, "a <|endoftext|> b", "<|endoftext|><|endoftext|>\n\n x", "<|endoftext", "  two   spaces \n\n\tand lines\n "]
+    draw = random.Random(4)
+    texts += ["".join(draw.choice(["ab", " ", "\n", "é", "漢", "😀", "'s", "'LL", "12", "\u00a0", "\t", "!?", "\x1c", "\u2003", "<|endoftext|>"]) for _ in range(draw.randint(1, 60))) for _ in range(300)]
+    df = table(spark, texts)
+    want = {r["doc_id"]: np.array([*whole.encode(r["text"] or "", add_special_tokens=False).ids, 0], "<u4") for r in df.collect()}
+    rows = packing.packed(df).collect()
     docs, sequences = {}, {}
     for r in rows:
-        assert r["ids"] == want[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes() and zlib.crc32(r["ids"]) == r["ids_crc32"]
+        assert r["ids"] == want[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes() and zlib.crc32(r["ids"]) == r["ids_crc32"] and r["doc_tokens"] == len(want[r["doc_id"]])
         docs.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
         sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
-    for group, size in [(docs, lambda k: len(want[k])), (sequences, lambda k: None)]:
-        for k, pieces in group.items():
-            at = 0
-            for s, n in sorted(pieces):
-                assert s == at
-                at += n
-            assert at == size(k) if group is docs else at & (at - 1) == 0 and at <= 1024
-    assert set(docs) == set(want)
+    for pieces in sequences.values():
+        at = 0
+        for s, n in sorted(pieces):
+            assert s == at
+            at += n
+        assert at & (at - 1) == 0 and at <= 1024
+    times = Counter(r["doc_id"] for r in df.collect())
+    assert set(docs) == set(times)
+    for k, pieces in docs.items():  # a repeated id has its pieces as often as it has rows
+        covered = Counter(i for s, n in pieces for i in range(s, s + n))
+        assert covered == {i: times[k] for i in range(len(want[k]))}
     assert packing.packed(df.limit(0)).count() == 0
 
 
