@@ -10,9 +10,13 @@ The potentials are learned by exact maximum likelihood from labelled pages
 are parsed and scored per Arrow batch, all trees of a batch at once, without a
 shuffle; the model is a few hundred floats.
 
-Defined cases: a null page is the empty text; a page without any block gives
-the empty text; unclosed or stray tags follow HTML's rules for optional ends;
-rows repeat as they come; other columns aren't read.
+Defined cases: a null page is the empty text; a page without any text gives
+the empty text; unclosed or stray tags follow HTML's rules for optional ends; a
+control that is never closed (button, select, svg, ...) hides nothing, while a
+script, style or comment that is never closed hides the rest, as in a browser;
+elements nested deeper than DEPTH lie beside each other; very long pages take
+linear time; a marginal of exactly one half counts as content; rows repeat as
+they come; other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,22 +35,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_TAG = re.compile(
-    r"<!--(?:.*?-->|.*\Z)"
-    r"|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+)>"
-    r"|<(?P<close2>/?)(?P<tag2>[A-Za-z][^\s/>]*)(?P<attrs2>[^>]*)>"
-    r"|<[!?/][^>]*>",
-    re.S,
-)
-_UNFINISHED = re.compile(r"<[!?/A-Za-z][^>]*\Z")
-_MARKS = re.compile(r"\b(class|id|role|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: What ends a tag, or begins a quoted value in it.
+_STOP = re.compile(r">|=\s*([\"'])")
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_MARKS = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Their content is markup or controls, never text of the page.
-_SKIPPED = set("script style noscript template head title textarea select button svg canvas object iframe audio video math datalist".split())
+_SKIPPED = set("script style noscript template title textarea select button svg canvas object iframe audio video math datalist".split())
+#: Of these, those whose content isn't markup: the first end tag ends them.
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe"}
+#: Unclosed, these last to the end of the page; others are then taken as if their tag weren't there.
+_TO_THE_END = {"script", "style"}
+#: Open elements at most; what is nested deeper lies beside, not within.
+DEPTH = 400
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag closes an open element of these, up to the given container.
 _CLOSES = {
@@ -84,29 +89,100 @@ class Page:
     blocks: list[tuple[int, str, int]] = field(default_factory=list)
 
 
-def parse(source: str | None) -> Page:
-    """The page's block elements as a tree, and its text blocks."""
+class Tags:
+    """The tags of a page from left to right, as (start, end, name, closing, attributes).
+
+    Comments and declarations have no name. Linear in the text: the end of a
+    tag is looked for from where it begins, a quote that never closes is looked
+    for once, and each stretch is passed once. ``at`` may be moved on.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.at = source, 0
+        self._last, self._unclosed = source.rfind(">"), set()
+
+    def next(self):
+        source = self.source
+        while (start := source.find("<", self.at)) >= 0:
+            at = start + 1
+            c = source[at : at + 1]
+            closing = c == "/"
+            name = _NAME.match(source, at + closing)
+            if not name and not closing and c not in ("!", "?") or not c:
+                self.at = at  # a mere less-than sign
+                continue
+            if source.startswith("!--", at):
+                end = source.find("-->", at + 1)
+                self.at = len(source) if end < 0 else end + 3
+                return start, self.at, "", False, ""
+            end = self._end(name.end() if name else at, bool(name)) if at <= self._last else -1
+            self.at = len(source) if end < 0 else end  # else the page is cut short within a tag
+            if end < 0 or not name:
+                return start, self.at, "", False, ""
+            return start, end, name[0].lower(), closing, source[name.end() : end - 1]
+        return None
+
+    def _end(self, at: int, quotes: bool) -> int:
+        if not quotes:
+            return self.source.find(">", at) + 1 or -1
+        while (stop := _STOP.search(self.source, at)) and (quote := stop[1]):
+            at = stop.end()
+            if quote not in self._unclosed:
+                close = self.source.find(quote, at, self._last)
+                if close < 0:
+                    self._unclosed.add(quote)
+                else:
+                    at = close + 1
+        return stop.end() if stop else -1
+
+
+class _Ends:
+    """Ends of skipped elements, found in one pass per name."""
+
+    def __init__(self, source: str):
+        self.source, self.found = source, {}
+
+    def after(self, name: str, start: int) -> int | None:
+        """Where the element whose tag begins at start ends; None if nowhere."""
+        if name not in self.found:
+            ends, open_ = {}, []
+            for m in re.finditer(rf"<(/?){name}(?=[\s/>])", self.source, re.I):
+                if not m[1]:
+                    open_.append(m.start())
+                elif open_:
+                    end = self.source.find(">", m.end())
+                    end = len(self.source) if end < 0 else end + 1
+                    if name in _RAW:  # all that were opened since end here
+                        ends |= dict.fromkeys(open_, end)
+                        open_ = []
+                    else:
+                        ends[open_.pop()] = end
+            self.found[name] = ends
+        return self.found[name].get(start)
+
+
+def parse(source: str | None, label_of=None) -> Page:
+    """The page's block elements as a tree, and its text blocks.
+
+    label_of gives a node's label from its attributes, where pages are labelled.
+    """
     page = Page()
 
     def add(tag: str, attrs: str, parent: int) -> int:
-        marks, label = set(), -1
-        if attrs:
-            for m in _MARKS.finditer(attrs):
-                value = m[2] or m[3] or m[4] or ""
-                if m[1].lower() == "data-y":
-                    label = int(value)
-                else:
-                    for w in value.lower().split():
-                        marks |= {_GROUP[x] for x in {w, *re.split(r"[-_]", w)} if x in _GROUP}
+        marks = set()
+        for m in _MARKS.finditer(attrs) if attrs else ():
+            for w in (m[1] or m[2] or m[3] or "").lower().split():
+                marks |= {_GROUP[x] for x in {w, *re.split(r"[-_]", w)} if x in _GROUP}
         page.parent.append(parent)
         page.tags.append(tag)
         page.marks.append(marks)
-        page.labels.append(label)
+        page.labels.append(label_of(attrs) if label_of else -1)
         return len(page.tags) - 1
 
     if not source:
         return page
     open_: list[tuple[str, int]] = [("html", add("body", "", -1))]
+    count: Counter = Counter()  # open elements by tag
     runs: list[str] = []
     linked = anchors = 0
 
@@ -126,18 +202,24 @@ def parse(source: str | None) -> Page:
             if anchors:
                 linked += len(raw.strip())
 
-    at = 0
-    while m := _TAG.search(source, at):
-        text(source[at : m.start()])
-        at = m.end()
-        tag = m["tag"] or m["tag2"]
+    def pop_to(k: int):
+        for tag, _ in open_[k:]:
+            count[tag] -= 1
+        del open_[k:]
+
+    ends = _Ends(source)
+    tags, at = Tags(source), 0  # all before at is dealt with
+    while found := tags.next():
+        start, at_end, tag, closing, attrs = found
+        text(source[at:start])
+        at = at_end
         if not tag:
             continue
-        tag, closing, attrs = tag.lower(), m["close"] or m["close2"], m["attrs"] or m["attrs2"] or ""
         if tag in _SKIPPED:
             if not closing and not attrs.endswith("/"):
-                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>" if tag in _RAW else rf"</{tag}\s*>|(?=<body[\s>])" if tag == "head" else rf"</{tag}\s*>", re.I).search(source, at)
-                at = end.end() if end else len(source)
+                after = ends.after(tag, start)
+                at = after if after is not None else len(source) if tag in _TO_THE_END else at
+                tags.at = at
             continue
         if tag == "a":
             anchors = 0 if closing else 1
@@ -150,30 +232,29 @@ def parse(source: str | None) -> Page:
                 runs.append(" ")
             continue
         flush()
-        if tag in ("html", "body"):
-            continue
-        if tag in _VOID:
+        if tag in ("html", "body") or tag in _VOID:
             continue
+        anchors = 0 if closing else anchors
         if closing:
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k][0] == tag:
-                    del open_[k:]
-                    break
-            anchors = 0
+            if count[tag]:
+                pop_to(next(k for k in range(len(open_) - 1, 0, -1) if open_[k][0] == tag))
             continue
         if open_[-1][0] == "p":
-            open_.pop()
+            pop_to(len(open_) - 1)
         if tag in _CLOSES:
             ended, until = _CLOSES[tag]
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k][0] in until:
-                    break
-                if open_[k][0] in ended:
-                    del open_[k:]
-        open_.append((tag, add(tag, attrs, open_[-1][1])))
-    rest = source[at:]
-    cut = _UNFINISHED.search(rest)
-    text(rest[: cut.start()] if cut else rest)
+            if any(count[t] for t in ended):
+                for k in range(len(open_) - 1, 0, -1):
+                    if open_[k][0] in until:
+                        break
+                    if open_[k][0] in ended:
+                        pop_to(k)
+        node = add(tag, attrs, open_[-1][1])
+        if len(open_) >= DEPTH:
+            pop_to(DEPTH - 1)
+        open_.append((tag, node))
+        count[tag] += 1
+    text(source[at:])
     flush()
     return page
 
@@ -238,7 +319,7 @@ class Forest:
             joint = cavity[:, :, None] + pair[None] + inside[nodes][:, None, :]
             full[nodes] = np.logaddexp.reduce(joint, axis=1)
             pairs[nodes] = np.exp(joint - np.logaddexp.reduce(joint.reshape(len(nodes), 4), axis=1)[:, None, None])
-        return 1 / (1 + np.exp(full[:, 0] - full[:, 1])), pairs
+        return 1 / (1 + np.exp(np.clip(full[:, 0] - full[:, 1], -700, 700))), pairs
 
 
 @dataclass
@@ -260,7 +341,7 @@ def extract(model: Model, pages: list[Page]) -> list[str]:
     return out
 
 
-def train(pages: list[Page], rounds: int = 300, rate: float = 0.1, ridge: float = 2e-3) -> Model:
+def train(pages: list[Page], rounds: int = 150, rate: float = 0.1, ridge: float = 2e-3) -> Model:
     """Exact maximum likelihood: labels against marginals, by Adam."""
     forest = Forest(pages)
     y = np.concatenate([np.array(p.labels) for p in pages])
@@ -277,8 +358,30 @@ def train(pages: list[Page], rounds: int = 300, rate: float = 0.1, ridge: float
     return Model(w[4:], w[:4].reshape(2, 2))
 
 
+#: Names that sites give their parts, as the generated pages use them: not the features' word lists, and in part misleading or without meaning.
+_SITE_NAMES = {
+    "nav": "main-nav site-navigation topnav nav-primary menu-main breadcrumb-trail mega-menu toc-list pagination-links js-menu",
+    "top": "site-header masthead page-header top-bar header__inner brand logo-wrap hero-banner",
+    "ad": "ad ad-slot ads-top advert dfp-ad adsbygoogle sponsored-box promo-unit native-promo banner-ad commercial",
+    "notice": "cookie-banner cookie-notice consent-dialog gdpr-bar alert alert-info site-message popup modal-body paywall-prompt notice-box",
+    "side": "sidebar widget-area secondary related-posts more-stories rail-right popular-list trending recommended aside-box",
+    "form": "newsletter-signup search-form login-box subscribe contact-form signup",
+    "comments": "comments comment-list disqus_thread replies discussion reader-comments responses",
+    "comment": "comment comment-body reply comment__text depth-1 byuser",
+    "foot": "site-footer footer colophon page-bottom legal-links copyright-line foot",
+    "share": "share-bar social-links tags-list post-meta follow-us sharing author-bio",
+    "content": "entry-content post-body article-text mw-parser-output story-content markdown-body single-post main-content td-post-content body-copy",
+}
+_PLAIN_NAMES = "container wrapper row col-md-8 inner box block css-1a2b3c sc-x9f section-2 grid left clearfix js-root card panel item".split()
+_LABEL = re.compile(r' data-y="([01])"')
+
+
 def labelled_pages(count: int = 500, seed: int = 5) -> list[Page]:
-    """Generated pages of many layouts whose block elements are labelled (data-y)."""
+    """Generated pages of many layouts whose block elements are labelled.
+
+    Which parts a page has, how they nest, and how (or whether) they are named
+    is drawn independently; a third of all parts have a name without meaning.
+    """
     rng = random.Random(seed)
     syllables = "an er th on re he in ed nd ha ou le la de en ti se ri co ma pa zu ge ver ich cion ado ue mente".split()
     pick = rng.choice
@@ -289,9 +392,15 @@ def labelled_pages(count: int = 500, seed: int = 5) -> list[Page]:
     def prose(lo: int = 12, hi: int = 90) -> str:
         return ". ".join(words(4, 18).capitalize() for _ in range(max(1, rng.randint(lo, hi) // 10))) + pick([".", ".", ".", "", "?"])
 
-    def mark(*names: str) -> str:
+    def mark(part: str, sure: bool = False) -> str:
+        """A part's name; it is always telling where nothing else could tell (sure)."""
         kind = rng.random()
-        return "" if kind < 0.15 else f' {pick(["class", "class", "id"])}="{pick(names)}{pick(["", "", "-1", "_box", " wide"])}"'
+        if not sure and kind < 0.2:
+            return ""
+        name = pick(_SITE_NAMES[part].split()) if sure or kind > 0.35 else pick(_PLAIN_NAMES)
+        if rng.random() < 0.2:
+            name = f"{pick(_PLAIN_NAMES)} {name}"
+        return f' {pick(["class", "class", "id"])}="{name}"'
 
     def el(tag: str, y: int, inner: str, attrs: str = "") -> str:
         close = "" if tag in ("p", "li") and rng.random() < 0.1 else f"</{tag}>"
@@ -301,38 +410,38 @@ def labelled_pages(count: int = 500, seed: int = 5) -> list[Page]:
         return el(pick(["ul", "ol", "ul"]), 0, "".join(el("li", 0, f'<a href="/x">{words(1, 4)}</a>') for _ in range(rng.randint(lo, hi))))
 
     def nav() -> str:
-        tag, m = pick([("nav", mark("nav", "menu", "x")), ("nav", ""), ("div", mark("nav", "menu", "navbar", "breadcrumbs")), ("div", ' role="navigation"')])
-        return el(tag, 0, link_list() if rng.random() < 0.8 else " | ".join(f'<a href="/y">{words(1, 2)}</a>' for _ in range(5)), m)
+        tag, m = pick([("nav", mark("nav")), ("nav", ""), ("div", mark("nav", True)), ("div", ' role="navigation"'), ("div", "")])
+        return el(tag, 0, link_list() if m == "" or rng.random() < 0.8 else " | ".join(f'<a href="/y">{words(1, 2)}</a>' for _ in range(5)), m)
 
     def top() -> str:
-        tag, m = pick([("header", ""), ("header", mark("site-header", "masthead")), ("div", mark("header", "masthead", "banner", "topbar"))])
+        tag, m = pick([("header", ""), ("header", mark("top")), ("div", mark("top", True))])
         return el(tag, 0, pick([words(1, 4), el("h1", 0, words(1, 3)) + el("p", 0, words(2, 8)), el("div", 0, words(1, 3)) + nav()]), m)
 
     def ad() -> str:
-        return el(pick(["div", "div", "aside", "section"]), 0, pick([prose(6, 25), el("p", 0, prose(6, 40)), words(3, 12), f'<a href="/b">{words(2, 6)}</a> {words(2, 6)}']), f' class="{pick(["ad", "ads", "advert", "sponsored", "promo", "advertisement", "ad-slot"])}"')
+        return el(pick(["div", "div", "aside", "section"]), 0, pick([prose(6, 25), el("p", 0, prose(6, 40)), words(3, 12), f'<a href="/b">{words(2, 6)}</a> {words(2, 6)}']), mark("ad", True))
 
     def notice() -> str:
-        return el(pick(["div", "section", "aside"]), 0, pick([prose(8, 40), el("p", 0, prose(8, 30)) + f'<a href="/c">{words(1, 2)}</a>']), f' {pick(["class", "id"])}="{pick(["cookie-notice", "cookies", "alert", "consent", "notice", "gdpr", "popup", "message"])}"')
+        return el(pick(["div", "section", "aside"]), 0, pick([prose(8, 40), el("p", 0, prose(8, 30)) + f'<a href="/c">{words(1, 2)}</a>']), mark("notice", True))
 
     def side() -> str:
-        tag, m = pick([("aside", ""), ("aside", mark("sidebar", "related")), ("div", f' class="{pick(["sidebar", "related", "widget", "rail"])}"')])
+        tag, m = pick([("aside", ""), ("aside", mark("side")), ("div", mark("side", True))])
         return el(tag, 0, pick([el("h3", 0, words(1, 4)) + link_list(), el("h2", 0, words(1, 3)) + el("p", 0, prose(8, 50)), link_list()]), m)
 
     def form() -> str:
-        return el("form", 0, pick([el("p", 0, words(2, 9)) + "<input><button>Go</button>", f"<label>{words(1, 3)}</label><input>", el("div", 0, el("label", 0, words(1, 4)) + "<input>")]), mark("search", "newsletter", "login", "subscribe"))
+        return el("form", 0, pick([el("p", 0, words(2, 9)) + "<input><button>Go</button>", f"<label>{words(1, 3)}</label><input>", el("div", 0, el("label", 0, words(1, 4)) + "<input>")]), mark("form"))
 
     def comments() -> str:
-        one = lambda: el(pick(["div", "article", "li", "section"]), 0, pick([el("p", 0, prose(6, 60)), el("h4", 0, words(1, 2)) + el("p", 0, prose(6, 60)), prose(6, 50)]), f' class="{pick(["comment", "comment-body", "reply", "comment"])}"')
-        return el(pick(["section", "div", "ol"]), 0, el("h3", 0, words(1, 2)) + "".join(one() for _ in range(rng.randint(1, 5))), f' {pick(["class", "id"])}="{pick(["comments", "discussion", "replies", "commentlist"])}"')
+        one = lambda: el(pick(["div", "article", "li", "section"]), 0, pick([el("p", 0, prose(6, 60)), el("h4", 0, words(1, 2)) + el("p", 0, prose(6, 60)), prose(6, 50)]), mark("comment"))
+        return el(pick(["section", "div", "ol"]), 0, el("h3", 0, words(1, 2)) + "".join(one() for _ in range(rng.randint(1, 5))), mark("comments", True))
 
     def foot() -> str:
-        tag, m = pick([("footer", ""), ("footer", mark("footer")), ("div", f' {pick(["class", "id"])}="{pick(["footer", "copyright", "legal"])}"')])
+        tag, m = pick([("footer", ""), ("footer", mark("foot")), ("div", mark("foot", True))])
         return el(tag, 0, pick([f"&copy; {words(1, 3)} &middot; {prose(6, 25)}", el("p", 0, f"© 2020 {words(2, 8)}"), link_list() + el("p", 0, words(3, 12)), el("p", 0, prose(8, 30))]), m)
 
     def body_block() -> str:
         kind = rng.random()
         if kind < 0.7:
-            said = words(1, 2).capitalize() + pick([".", ".", ""]) if rng.random() < 0.2 else " | ".join(words(1, 1) for _ in range(rng.randint(3, 30))) if rng.random() < 0.1 else prose(3, 120)
+            said = words(1, 2).capitalize() + pick([".", ".", ""]) if rng.random() < 0.25 else " | ".join(words(1, 1) for _ in range(rng.randint(3, 30))) if rng.random() < 0.1 else prose(3, 120)
             return el("p", 1, pick(["", "", "", "<b>"]) + said + pick(["", "", "<br>"]))
         if kind < 0.78:
             return el(pick(["h2", "h3"]), 1, words(1, 8))
@@ -342,27 +451,30 @@ def labelled_pages(count: int = 500, seed: int = 5) -> list[Page]:
             return el(pick(["blockquote", "pre", "div"]), 1, pick([prose(6, 60), el("p", 1, prose(6, 60))]))
         if kind < 0.94:
             return el("table", 1, "".join(el("tr", 1, "".join(el("td", 1, words(1, 4)) for _ in range(3))) for _ in range(3)))
-        return pick([ad, side, lambda: el("div", 0, f'<a href="/s">{words(1, 2)}</a>', f' class="{pick(["share", "social", "tags"])}"'), form])()
+        return pick([ad, side, lambda: el("div", 0, f'<a href="/s">{words(1, 2)}</a>', mark("share", True)), form])()
 
     def article() -> str:
         head = pick([el("h1", 1, words(2, 12)), el("h1", 1, words(2, 12)), el("h2", 1, words(2, 10)), ""])
         if head and rng.random() < 0.15:
             head = el("header", 1, head)
         blocks = head + "".join(body_block() for _ in range(pick([1, 1, 2, 3, 5, 8, 14, 25])))
-        tag, m = pick([("article", ""), ("article", mark("post", "story")), ("main", ""), ("section", mark("content", "main")), ("div", f' class="{pick(["content", "article-body", "post-content", "entry", "story", "x1"])}"')])
+        tag, m = pick([("article", ""), ("article", mark("content")), ("main", ""), ("section", mark("content", True)), ("div", mark("content", True)), ("div", mark("content"))])
         inner = el(tag, 1, blocks, m)
-        return el(pick(["div", "main"]), 1, inner, mark("wrapper", "page", "content", "x")) if rng.random() < 0.3 else inner
+        return el(pick(["div", "main"]), 1, inner, f' class="{pick(_PLAIN_NAMES)}"') if rng.random() < 0.3 else inner
 
     pages = []
     for _ in range(count):
-        parts = [f() for f, chance in ((top, 0.5), (nav, 0.8), (notice, 0.3), (ad, 0.5)) if rng.random() < chance]
-        parts.append(article())
-        if rng.random() < 0.9:  # else the page ends with its article, as a page cut short does
+        bare = rng.random() < 0.15  # a page that is little but its text
+        parts = [] if bare else [f() for f, chance in ((top, 0.5), (nav, 0.8), (notice, 0.3), (ad, 0.5)) if rng.random() < chance]
+        plain = "".join(el("p", 1, prose(2, 60)) for _ in range(pick([1, 1, 2, 4])))
+        parts.append(pick([plain, el("div", 1, plain), el("div", 1, plain, f' class="{pick(_PLAIN_NAMES)}"'), article()]) if bare else article())
+        if not bare and rng.random() < 0.9:  # else the page ends with its article, as a page cut short does
             parts += [f() for f, chance in ((side, 0.4), (comments, 0.4), (ad, 0.2), (form, 0.3), (notice, 0.15), (foot, 0.85)) if rng.random() < chance]
-        page = parse("<html><head><title>t</title></head><body>" + "".join(parts) + pick(["</body></html>", ""]))
+        source = "<html><head><title>t</title></head><body>" + "".join(parts) + pick(["</body></html>", ""])
+        page = parse(source, lambda attrs: int(m[1]) if (m := _LABEL.search(attrs)) else -1)
         size = np.zeros((len(page.tags), 2))
         for node, text, _ in page.blocks:
-            size[node, page.labels[node] if page.labels[node] >= 0 else 0] += len(text)
+            size[node, max(page.labels[node], 0)] += len(text)
         for k in range(len(page.tags) - 1, 0, -1):
             size[page.parent[k]] += size[k]
         page.labels = [int(size[k, 1] > size[k, 0]) if y < 0 else y for k, y in enumerate(page.labels)]

@@ -13,7 +13,7 @@ import tiktoken
 import tokenizers
 import xxhash
 
-from glyphflow.llm import bpe, cover_tree, exact_dedup, html_text, language_id, licenses, packing, pii, quality, simhash
+from glyphflow.llm import bpe, cover_tree, exact_dedup, language_id, licenses, packing, pii, quality, simhash
 from glyphflow.llm.common import connected_components
 from glyphflow.llm.license_texts import KNOWN
 
@@ -245,21 +245,6 @@ def test_pii(spark):
     assert pii.find(df.limit(0)).count() == 0
 
 
-def test_html(spark):
-    page = '<html><head><title>T</title><script>var a="<p>x</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><article><h1>A &amp; B</h1><p>First  paragraph\n of text, long enough to be one.<p>Second &lt;one&gt; follows here, with more words.</article><div class="comments"><p>I disagree with this.</p></div><footer>&copy; me</footer>'
-    df = spark.createDataFrame([(0, "u", page, 1), (1, None, None, 1), (2, "v", "", 1), (3, "w", "no tags at all", 1)], "page_id long, url string, html string, text int")
-    got = {r["page_id"]: r for r in html_text.main_text(df).collect()}
-    assert got[0]["text"] == "A & B\nFirst paragraph of text, long enough to be one.\nSecond <one> follows here, with more words."
-    assert (got[1]["text"], got[2]["text"], got[1]["n_chars"]) == ("", "", 0)
-    assert html_text.main_text(df.limit(0)).count() == 0
-
-
-def test_html_held_out_layouts():
-    pages = html_text.labelled_pages(60, seed=77)
-    right = [(p[node] >= 0.5) == (page.labels[node] == 1) for page, p in zip(pages, html_text.trained().marginals(pages), strict=True) for node, _, _ in page.blocks]
-    assert np.mean(right) > 0.97
-
-
 def test_language(spark):
     en = ["the cat sat on the mat and the dog ran off with that thing", "this is what they were doing when the rain came over the hill"] * 20
     fr = ["le chat est sur la table et les enfants sont dans la maison", "nous avons vu que les gens du village sont partis avec eux"] * 20
