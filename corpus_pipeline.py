@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphflow.llm import exact_dedup, language_id, packing, pii, simhash
-from glyphflow.llm.common import table, written
+from glyphflow.llm.common import dropped, dropped_since, mark, table, written
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what a stage wrote goes as soon as its output is written."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if k == 0 else written(docs), sf_dir)
-    return docs
+        since = mark()
+        out = stage(spark, docs, sf_dir)
+        if k + 1 == len(STAGES):
+            return out
+        kept = written(out)
+        dropped_since(spark, since, kept)
+        if k:
+            dropped(docs)
+        docs = kept

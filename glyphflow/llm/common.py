@@ -93,6 +93,14 @@ def dropped_since(spark: SparkSession, since: int, *keep: DataFrame) -> None:
         _drop(spark, path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it as long as df has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def held_out(doc_id) -> F.Column:
     """crc32(doc_id as text) mod 4 is 2; a null id counts as the empty text."""
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4) == 2
@@ -143,7 +151,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         dropped(left)
         left = following
     if not moves:
-        return left.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
+        return written(left.select(F.col("u").alias("vertex"), F.col("v").alias("component")))
     result = moves[-1].select(F.col("u").alias("vertex"), F.col("m").alias("component"))
     for move in reversed(moves[:-1]):
         later = result.select(F.col("vertex").alias("l_v"), F.col("component").alias("l_c"))

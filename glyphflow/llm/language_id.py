@@ -2,17 +2,20 @@
 
 Byte 1- to 3-grams of the lower-cased text are hashed to DIMS counts. The
 classifier is fitted on a bounded sample of labelled rows (PER_LANGUAGE rows a
-language, SAMPLE rows in all, chosen by hash of the id): idf weights, and by
-spherical k-means CENTROIDS unit vectors per language. A document takes the
-language of the centroid of greatest cosine; one whose best cosine is below
-that language's reach is rejected.
+language, chosen by a hash of id and text): idf weights, and by spherical
+k-means CENTROIDS unit vectors per language. Each language's centroids are found
+in a task of its own. A document takes the language of the centroid of greatest
+cosine; one whose best cosine is below that language's reach is rejected.
 
-Every whole text is scored in one pass of Arrow batches, without a shuffle. The
-broadcast model has at most MAX_LANGUAGES * CENTROIDS * DIMS floats.
+Every whole text is scored in one pass of Arrow batches, without a shuffle. All
+languages that the labels have are learned; what reaches the driver, and the
+broadcast model, is CENTROIDS * DIMS floats for each of them.
 
 Defined cases: a null text or one without a letter gives ``und``, score 0,
-rejected; without any labelled row all is ``und``; ties go to the language that
-sorts first; rows repeat as they come; other columns aren't inputs.
+rejected; without any labelled row all is ``und``; very long texts are counted
+block by block; ties go to the language that sorts first; rows repeat as they
+come; an empty table gives an empty result; other columns aren't inputs, and
+accepted() returns them as they are.
 """
 
 from __future__ import annotations
@@ -25,13 +28,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphflow.llm.common import held_out
+from glyphflow.llm.common import dropped, held_out, written
 
 DIMS_BITS = 11
 DIMS = 1 << DIMS_BITS
 CENTROIDS = 3
-#: Bounds of the training sample.
-PER_LANGUAGE, SAMPLE, MAX_LANGUAGES = 400, 16_000, 256
+#: Bound on a language's training sample.
+PER_LANGUAGE = 400
 #: A language's reach: this part of the least cosine that its own sample has.
 REACH = 0.5
 UNKNOWN = "und"
@@ -103,29 +106,41 @@ def _spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
+def weights(documents: int, containing: np.ndarray) -> np.ndarray:
+    """Inverse document frequencies, from how many sampled texts contain each n-gram."""
+    return np.log((1 + documents) / (1 + containing)) + 1
+
+
+def centroids_of(counts: np.ndarray, idf: np.ndarray, centroids: int = CENTROIDS) -> tuple[np.ndarray, float]:
+    """One language's centroids, and its reach."""
+    x = _unit(counts * idf)
+    found = _spherical_kmeans(x, centroids)
+    return found, REACH * float((x @ found.T).max(axis=1).min())
+
+
 def train(vectors: np.ndarray, langs: list[str], centroids: int = CENTROIDS) -> Model:
-    """From rows of n-gram counts and their languages."""
-    names = sorted(set(langs))
-    if not names:
-        return Model([], np.ones(DIMS), np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros(0))
-    idf = np.log((1 + len(vectors)) / (1 + (vectors > 0).sum(axis=0))) + 1
-    x, which = _unit(vectors * idf), np.array([names.index(k) for k in langs])
-    found = [_spherical_kmeans(x[which == i], centroids) for i in range(len(names))]
-    reach = [REACH * float((x[which == i] @ c.T).max(axis=1).min()) for i, c in enumerate(found)]
-    owner = np.concatenate([np.full(len(c), i) for i, c in enumerate(found)])
-    return Model(names, idf, np.concatenate(found).astype(np.float32), owner, np.array(reach))
-
-
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """From rows of n-gram counts and their languages, all at hand."""
+    idf = weights(len(vectors), (vectors > 0).sum(axis=0)) if len(vectors) else np.ones(DIMS)
+    which = np.array(langs)
+    return _model(idf, [(name, *centroids_of(vectors[which == name], idf, centroids)) for name in sorted(set(langs))])
+
+
+def _model(idf: np.ndarray, found: list[tuple[str, np.ndarray, float]]) -> Model:
+    if not found:
+        return Model([], idf, np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros(0))
+    owner = np.concatenate([np.full(len(c), i) for i, (_, c, _) in enumerate(found)])
+    return Model([name for name, _, _ in found], idf, np.concatenate([c for _, c, _ in found]).astype(np.float32), owner, np.array([reach for _, _, reach in found]))
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per: int = PER_LANGUAGE) -> Model:
     """Learns from the rows that aren't held out and have a text and a language."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().collect()  # a row for each language
     if not counts:
         return train(np.zeros((0, DIMS)), [])
-    per = min(PER_LANGUAGE, SAMPLE // len(counts))
     part = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], 2.0 * per / r["count"])])
-    order = F.xxhash64("doc_id")
+    order = F.xxhash64("doc_id", "text")
     # The hash thins each language to about 2 * per rows before they are ranked.
     thin = rows.where(F.pmod(order, F.lit(1 << 30)) / float(1 << 30) < part[F.col("lang")])
     ranked = thin.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id")))
@@ -138,10 +153,27 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 ["lang", "vector"],
             )
 
-    got = ranked.where(F.col("n") <= per).select("text", "lang").mapInArrow(vectors, "lang string, vector binary").collect()
-    got.sort(key=lambda r: (r["lang"], bytes(r["vector"])))
-    x = np.stack([np.frombuffer(r["vector"], np.float32) for r in got]).astype(np.float64) if got else np.zeros((0, DIMS))
-    return train(x, [r["lang"] for r in got])
+    sampled = written(ranked.where(F.col("n") <= per).select("text", "lang").mapInArrow(vectors, "lang string, vector binary"))
+
+    def matrix(group: pa.Table) -> np.ndarray:
+        return np.stack([np.frombuffer(v, np.float32) for v in sorted(group["vector"].to_pylist())]).astype(np.float64)
+
+    def containing(group: pa.Table) -> pa.Table:
+        x = matrix(group)
+        return pa.table({"n": pa.array([len(x)], pa.int64()), "df": pa.array([(x > 0).sum(axis=0).astype(np.float64).tobytes()], pa.binary())})
+
+    seen = sampled.groupBy("lang").applyInArrow(containing, "n long, df binary").collect()
+    if not seen:
+        return train(np.zeros((0, DIMS)), [])
+    idf = weights(sum(r["n"] for r in seen), sum(np.frombuffer(r["df"], np.float64) for r in seen))
+
+    def centre(group: pa.Table) -> pa.Table:
+        found, reach = centroids_of(matrix(group), idf)
+        return pa.table({"lang": group["lang"].slice(0, 1), "centroids": pa.array([found.astype(np.float32).tobytes()], pa.binary()), "reach": pa.array([reach], pa.float64())})
+
+    got = sampled.groupBy("lang").applyInArrow(centre, "lang string, centroids binary, reach double").collect()
+    dropped(sampled)
+    return _model(idf, sorted(((r["lang"], np.frombuffer(r["centroids"], np.float32).reshape(-1, DIMS), r["reach"]) for r in got), key=lambda x: x[0]))
 
 
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

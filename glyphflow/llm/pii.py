@@ -12,13 +12,17 @@
    candidates (SAMPLE, by hash). Wider candidates that it accepts are added;
    base spans always stay; a base match that failed its check never comes back.
 
-Defined cases: a null text is the empty text; rows repeat as they come; a
-table without candidates adds nothing; columns other than those named aren't
-read; offsets count code points, ends are exclusive.
+Defined cases: a null text is the empty text (and stays null when redacted);
+very long texts take time in proportion to their length and spans; spans that
+overlap or tie keep the order of kinds, then start; rows repeat as they come; a
+table without candidates adds nothing; an empty table gives an empty result;
+columns other than those named aren't read, and redacted() returns them as they
+are; offsets count code points, ends are exclusive.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -31,13 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphflow.llm.common import written
+from glyphflow.llm.common import fresh, written
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "account", "secret")
 #: Bound on the candidates that train the classifier.
 SAMPLE = 20_000
 ACCEPT = 0.5
+#: A labeler that votes is right at least so often in either class; without this EM could take the classes for each other.
+LEAST_RIGHT = 0.55
 LABELERS = ("pattern", "check", "gazetteer", "context", "edges")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -183,7 +189,7 @@ N_FEATURES = len(KINDS) + 3 * len(LABELERS) + 7
 
 @dataclass
 class Model:
-    #: P(vote | class) by labeler, class (0, 1) and vote (-1, 0, 1), from EM.
+    #: P(vote | class, not abstaining) by labeler, class (0, 1) and vote (-1, 0, 1; 1 for an abstention), from EM.
     reliability: np.ndarray
     prior: dict[str, float]
     weights: np.ndarray
@@ -193,6 +199,7 @@ class Model:
 
 
 def posterior(reliability: np.ndarray, prior: float, vote) -> float:
+    """P(personal | votes); who abstains says nothing."""
     p1, p0 = math.log(prior), math.log(1 - prior)
     for k, v in enumerate(vote):
         p0 += math.log(reliability[k, 0, v + 1])
@@ -201,19 +208,20 @@ def posterior(reliability: np.ndarray, prior: float, vote) -> float:
 
 
 def em(counts: dict[tuple[str, tuple[int, ...]], int], rounds: int = 60) -> tuple[np.ndarray, dict[str, float]]:
-    """Labelers' reliabilities and the kinds' priors from counts of (kind, votes)."""
+    """Labelers' reliabilities, P(vote | class, not abstaining), and the kinds' priors from counts of (kind, votes)."""
     keys = sorted(counts)
     n = np.array([counts[k] for k in keys], float)
     v = np.array([k[1] for k in keys], int).reshape(len(keys), len(LABELERS))
     kind = np.array([KINDS.index(k[0]) for k in keys], int)
     q = 1 / (1 + np.exp(-1.5 * v.sum(axis=1)))  # begins as a soft majority
-    reliability, prior = np.full((len(LABELERS), 2, 3), 1 / 3), np.full(len(KINDS), 0.5)
+    reliability, prior = np.tile([0.5, 1.0, 0.5], (len(LABELERS), 2, 1)), np.full(len(KINDS), 0.5)
     for _ in range(rounds if len(keys) else 0):
         for y, w in ((0, n * (1 - q)), (1, n * q)):
             for k in range(len(LABELERS)):
-                got = np.array([w[v[:, k] == x].sum() for x in (-1, 0, 1)]) + 1
-                reliability[k, y] = got / got.sum()
-        prior = (np.bincount(kind, n * q, len(KINDS)) + 1) / (np.bincount(kind, n, len(KINDS)) + 2)
+                got = np.array([w[v[:, k] == x].sum() for x in (-1, 1)]) + 1
+                right = np.clip(got[y] / got.sum(), LEAST_RIGHT, 1 - 1e-3)
+                reliability[k, y, [0, 2]] = (1 - right, right) if y else (right, 1 - right)
+        prior = np.clip((np.bincount(kind, n * q, len(KINDS)) + 1) / (np.bincount(kind, n, len(KINDS)) + 2), 0.02, 0.98)
         ll = np.log(reliability)
         s = [ll[np.arange(len(LABELERS)), y, v + 1].sum(axis=1) for y in (0, 1)]
         q = 1 / (1 + np.exp(np.clip(s[0] - s[1] + np.log(1 - prior[kind]) - np.log(prior[kind]), -60, 60)))
@@ -245,35 +253,65 @@ def candidates(text: str):
         if passes or (kind != "card" or e - s >= 9):
             vote = votes(text, kind, s, e, True)
             out.append((kind, s, e, "base" if passes else "failed", vote, span_features(kind, vote, text[s:e])))
-    taken = sorted((s, e) for _, s, e, passes in base if passes)
+    taken = Taken((s, e) for _, s, e, passes in base if passes)
     for kind, s, e in wider_matches(text):
-        if not any(a < e and s < b for a, b in taken):
+        if taken.free(s, e):
             vote = votes(text, kind, s, e, False)
             out.append((kind, s, e, "wider", vote, span_features(kind, vote, text[s:e])))
-            taken.append((s, e))
+            taken.add(s, e)
     return out
 
 
+class Taken:
+    """Stretches of a text that spans cover, merged and in order."""
+
+    def __init__(self, spans):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def free(self, s: int, e: int) -> bool:
+        k = bisect.bisect_left(self.starts, e)  # the last stretch that begins before e is the only one that can reach past s
+        return k == 0 or self.ends[k - 1] <= s
+
+    def add(self, s: int, e: int) -> None:
+        """Covers a stretch that was free."""
+        k = bisect.bisect_left(self.starts, s)
+        self.starts.insert(k, s)
+        self.ends.insert(k, e)
+
+
 _FOUND = "array<struct<kind:string,start:long,end:long,state:string,votes:string,x:binary>>"
 _ARROW_FOUND = pa.list_(
     pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("state", pa.string()), ("votes", pa.string()), ("x", pa.binary())])
 )
 
 
+def _found(batch, text_col: str) -> pa.Array:
+    return pa.array(
+        [
+            [
+                {"kind": k, "start": s, "end": e, "state": state, "votes": ",".join(map(str, v)), "x": x.astype(np.float32).tobytes()}
+                for k, s, e, state, v, x in candidates(t.as_py() or "")
+            ]
+            for t in batch[text_col]
+        ],
+        _ARROW_FOUND,
+    )
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id and its candidates."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
         for batch in batches:
-            got = [
-                [
-                    {"kind": k, "start": s, "end": e, "state": state, "votes": ",".join(map(str, v)), "x": x.astype(np.float32).tobytes()}
-                    for k, s, e, state, v, x in candidates(t.as_py())
-                ]
-                for t in batch["text"]
-            ]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(got, _ARROW_FOUND)], ["doc_id", "found"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], _found(batch, "text")], ["doc_id", "found"])
 
     return rows.mapInArrow(run, T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType)]).add("found", T._parse_datatype_string(_FOUND)))
 
@@ -337,25 +375,31 @@ def redact_text(text: str, found) -> str:
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """The rows of docs, with their columns, with personal data replaced in the text (and its length renewed)."""
-    model = fit(written(scan(docs, id_col, text_col)))
+    """The rows of docs, with their columns, with personal data replaced in the text (and its length renewed).
+
+    Texts are scanned once: rows are written with their candidates, which then
+    train the model and, by it, are replaced.
+    """
+    name, names, schema = fresh(docs, "found"), docs.columns, docs.schema
+
+    def scanned(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, _found(batch, text_col)], [*names, name])
+
+    held = written(docs.mapInArrow(scanned, T.StructType([*schema.fields, T.StructField(name, T._parse_datatype_string(_FOUND))])))
+    model = fit(held.select(F.col(id_col).alias("doc_id"), F.col(name).alias("found")))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
 
-    def run(batches):
+    def replaced(batches):
         for batch in batches:
             texts = []
-            for x in batch[text_col]:
-                text = x.as_py()
-                if text:
-                    got = [(k, s, e) for k, s, e, state, _, f in candidates(text) if state == "base" or state == "wider" and shared.value.accepts(f.astype(np.float32))]
-                    text = redact_text(text, got) if got else text
-                texts.append(text)
+            for x, found in zip(batch[text_col].to_pylist(), batch[name].to_pylist(), strict=True):
+                got = [(f["kind"], f["start"], f["end"]) for f in found if f["state"] == "base" or f["state"] == "wider" and shared.value.accepts(np.frombuffer(f["x"], np.float32))]
+                texts.append(redact_text(x, got) if got else x)
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
             columns[text_col] = pa.array(texts, batch.schema.field(text_col).type)
             if length_col in columns:
                 columns[length_col] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field(length_col).type)
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
 
-    return docs.mapInArrow(run, docs.schema)
-
+    return held.mapInArrow(replaced, schema)

@@ -11,9 +11,12 @@ PAIRS pairs. Scoring is one pass of Arrow batches over the whole texts; only
 (id, score) rows are written, and one row of percentiles reaches the driver.
 
 Defined cases: a null text counts as the empty text, which is scored like any
-other; labels that are null are ignored, of several for one id the least
-counts; without labels of both kinds every score is 0.7; rows repeat as they
-come; columns other than the ones named aren't read.
+other; very long texts are measured block by block; labels that are null or
+belong to a null id are ignored, of several for one id the least counts, and of
+several texts of one id one is learned from; without labels of both kinds every
+score is 0.7; a score equal to the cut is predicted 1; rows repeat as they come;
+an empty table gives an empty result; columns other than the ones named aren't
+read.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ from glyphflow.llm.common import held_out, written
 SAMPLE, PAIRS = 8_000, 40_000
 CUT = 0.7
 RIDGE = 1e-3
+#: Standardised features beyond this many deviations are drawn in to it.
+CLIP = 8.0
 #: Classes of bytes; their frequencies and those of their pairs are features.
 _GROUPS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\r\v\f", "\n", ".,;:?'\"()-", "!", "|", "#$%&*+=<>@^_~`/\\[]{}"]
 N_CLASSES = len(_GROUPS) + 2
@@ -79,7 +84,12 @@ class Model:
     labels: np.ndarray
 
     def raw(self, text: str | None) -> float:
-        return float(((features(text) - self.mean) / self.scale) @ self.weights)
+        return float(standardised(features(text), self.mean, self.scale) @ self.weights)
+
+
+def standardised(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Features as training and scoring alike see them, far outliers drawn in."""
+    return np.clip((x - mean) / scale, -CLIP, CLIP)
 
 
 def train(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = 7, rounds: int = 20) -> Model:
@@ -89,7 +99,7 @@ def train(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = 7, round
     scale = np.maximum(x.std(axis=0), 1e-3) if len(x) else np.ones(N_FEATURES)
     w = np.zeros(N_FEATURES)
     if len(good) and len(bad):
-        z, draw = np.clip((x - mean) / scale, -8, 8), np.random.default_rng(seed)
+        z, draw = standardised(x, mean, scale), np.random.default_rng(seed)
         d = z[draw.choice(good, pairs)] - z[draw.choice(bad, pairs)]
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
@@ -99,7 +109,7 @@ def train(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = 7, round
             w -= step
             if np.abs(step).max() < 1e-6:
                 break
-    return Model(mean, scale, w, (x - mean) / scale @ w if len(x) else np.zeros(0), y)
+    return Model(mean, scale, w, standardised(x, mean, scale) @ w if len(x) else np.zeros(0), y)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
@@ -110,7 +120,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     thin = known.where(F.pmod(order, F.lit(1 << 30)) / float(1 << 30) < 2.0 * sample / total)
     chosen = thin.orderBy(order, "l_id").limit(sample)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("doc_id", "l_label", "text")
+    rows = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))
+    # One text of each id, however often the id repeats, so rows are bounded as ids are.
+    rows = rows.groupBy("doc_id", "l_label").agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text"))
 
     def measured(batches):
         for batch in batches:

@@ -16,8 +16,10 @@
 
 Defined cases: a null text is the empty text; texts without words have
 fingerprint zero and link like any other; texts of fewer words than a shingle
-hash as one sequence; a null doc_id is ignored as a component's minimum; rows
-repeat as they come; an empty table gives an empty result.
+hash as one sequence; very long texts are hashed block by block; a null doc_id is
+ignored as a component's minimum; doc_id is read as a 64-bit integer below
+2**62; rows repeat as they come; an empty table gives an empty result; other
+columns aren't read, and keep_one returns them as they are.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphflow.llm.common import connected_components, written
+from glyphflow.llm.common import connected_components, dropped_since, fresh, mark, written
 
 RADIUS = 2
 SHINGLE = 3
@@ -184,7 +186,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     vertices = written(fps.groupBy("fp").agg(F.min("doc_id").cast("long").alias("vertex")))
     # Only vertices with an id can be a minimum, so an id stands in where there is none.
     known = vertices.select("fp", F.coalesce("vertex", F.lit(_NO_ID) + F.pmod(F.col("fp"), F.lit(_NO_ID))).alias("vertex"))
+    since = mark()
     components = connected_components(links(known, radius, tile))
+    dropped_since(docs.sparkSession, since, components)
     named = known.join(components, "vertex", "left").select(F.col("fp").alias("v_fp"), F.coalesce("component", "vertex").alias("c"))
     return fps.join(named, fps.fp == F.col("v_fp")).select(
         "doc_id",
@@ -198,6 +202,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     A row without an id is never dropped.
     """
-    found = near_dedup(docs, id_col, text_col)
-    gone = found.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    found, name = near_dedup(docs, id_col, text_col), fresh(docs, "gone")
+    gone = found.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")

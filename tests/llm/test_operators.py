@@ -13,7 +13,7 @@ import tiktoken
 import tokenizers
 import xxhash
 
-from glyphflow.llm import bpe, cover_tree, exact_dedup, language_id, licenses, packing, pii, quality, simhash
+from glyphflow.llm import bpe, common, cover_tree, exact_dedup, language_id, licenses, packing, pii, quality, simhash
 from glyphflow.llm.common import connected_components
 from glyphflow.llm.license_texts import KNOWN
 
@@ -281,9 +281,15 @@ def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     pieces = corpus_pipeline.run(spark, sf).collect()
+    assert {p["doc_id"] for p in pieces} == surviving(docs)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "exact_dedup", "simhash_dedup", "pii", "packing"]
+
+
+def surviving(docs):
+    """Ids that language ID, exact and SimHash dedup leave, by brute force."""
     norm, first, fps = set(), [], {}
     model = language_id.fit(docs)
-    for r in sorted(docs.collect(), key=lambda r: r["doc_id"]):
+    for r in sorted(docs.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"])):
         key = re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or "")
         if not model.predict(r["text"])[2] and key not in norm:
             norm.add(key)
@@ -291,5 +297,44 @@ def test_pipeline(spark):
             fps[r["doc_id"]] = slow_fingerprint(r["text"])
     ids = [r["doc_id"] for r in first]
     root = components(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if (fps[ids[a]] ^ fps[ids[b]]).bit_count() <= 2])
-    assert {p["doc_id"] for p in pieces} == {ids[k] for k in root}
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "exact_dedup", "simhash_dedup", "pii", "packing"]
+    return {ids[k] for k in root}
+
+
+def test_pipeline_over_odd_tables(spark, tmp_path):
+    """Nulls in any column, repeated rows, long and empty texts, clashing columns, and an empty table."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    en = [f"the cat number {k} sat on the mat and the dog of the house ran off with that {'very ' * (k % 9)}thing" for k in range(60)]
+    texts = [None, "", " ", "12 34", *en, en[3], en[3].replace("cat", "cat "), BASE * 2_000, "write to a@b.org or to the other one that was there"]
+    rows = [(k, t, None if k % 7 == 0 else "en", None, None, 1, "d", 5, b"x") for k, t in enumerate(texts)]
+    rows += [rows[10], rows[10], (None, en[5], "en", "s", 3, 1, "d", 5, b"x"), (None, "a text of its own without an id in the table", "en", "s", 3, 1, "d", 5, b"x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row int, digest string, gone long, found binary").coalesce(2)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {p["doc_id"] for p in pieces} == surviving(docs)
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.schema == docs.schema, name
+    docs.limit(0).write.parquet(str(tmp_path / "empty" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_shared_folder_is_named_off_local_masters(spark, monkeypatch):
+    class Away:
+        conf = type("", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("", (), {"master": "spark://host:7077", "getConf": staticmethod(lambda: type("", (), {"get": staticmethod(lambda *a: None)}))})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Away())
+
+
+def test_intermediates_are_dropped(spark):
+    since = common.mark()
+    a, b = common.written(spark.range(3)), common.written(spark.range(4))
+    common.dropped_since(spark, since, b)
+    assert b.count() == 4 and common.mark() == since + 1
+    with pytest.raises(Exception, match="PATH|path|exist"):
+        spark.read.parquet(a._glyphflow_path)
+    common.dropped(b)
+    common.dropped(b)
+    assert common.mark() == since
