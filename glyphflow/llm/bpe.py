@@ -1,20 +1,22 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
-A text of more than CHUNK characters is cut into chunks that overlap by
-OVERLAP; the chunks are dealt to all tasks and pre-tokenised in parallel. Two
-neighbours are stitched at the first position in their overlap where both have
-a pre-token boundary. Only boundaries between a character that isn't white
-space and one that is serve: no pre-token holds such a pair, so they hold in
-the whole text, wherever a chunk began and whatever a Unicode version counts as
-a letter. Where an overlap has none (one pre-token longer than it) the chunks
-are joined. The stretches between stitches are encoded one by one, and decoding
-concatenates the ids' raw bytes.
-
-Texts of one chunk, nearly all, need no shuffle; of longer ones only chunks and
-their boundaries move.
+Every text is cut into chunks of about CHUNK characters that overlap by OVERLAP
+or more; a text of one chunk is encoded where it lies, chunks of longer ones are
+dealt to all tasks. Each task pre-tokenises the overlaps at its chunk's two
+ends and stitches at the first boundary where both neighbours' pre-tokens
+resynchronise. Only boundaries between a character that isn't white space and
+one that is serve: no pre-token holds such a pair, so they hold in the whole
+text, wherever a chunk began and whatever a Unicode version counts as a letter,
+and two neighbours find the same one without hearing of each other. An overlap
+without any is made longer until it has one or the text ends, so a chunk grows
+only with its longest run of text that has no such boundary.
+
+The pieces between stitches are encoded in parallel; of a text only its pieces'
+ids meet again, in order. Decoding concatenates the ids' raw bytes.
 
 Defined cases: a null text is the empty text with no ids; rows repeat as they
-come (long ones are told apart by a row number); other columns aren't read.
+come (long ones are told apart by a row number); texts without white space are
+one piece; an empty table gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -50,21 +52,26 @@ class Coder:
         self.bytes = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes[rank] = token
+        self.decimals = list(map(str, range(len(self.bytes))))
 
-    def boundaries(self, text: str) -> list[int]:
-        """Ends of pre-tokens that white space follows and that don't end in it."""
-        ends = (m.end() for m in self.pattern.finditer(text))
-        return [e for e in ends if e < len(text) and text[e] in " \n\t\r" and not text[e - 1].isspace()]
+    def boundary(self, overlap: str) -> int | None:
+        """End of the first pre-token that white space follows and that doesn't end in it."""
+        for m in self.pattern.finditer(overlap):
+            e = m.end()
+            if e < len(overlap) and overlap[e] in " \n\t\r" and not overlap[e - 1].isspace():
+                return e
+        return None
 
-    def encode(self, stretches: list[str]) -> list[int]:
-        out: list[int] = []
-        for text in stretches:
-            out += self.bpe.encode_ordinary(text)
-        return out
+    def encode(self, text: str) -> list[int]:
+        return self.bpe.encode_ordinary(text)
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
+    def spelt(self, ids) -> str:
+        """The ids as decimal numbers, joined by commas."""
+        return ",".join(map(self.decimals.__getitem__, ids))
+
 
 def coder(path: str) -> Coder:
     if path not in _coders:
@@ -72,26 +79,28 @@ def coder(path: str) -> Coder:
     return _coders[path]
 
 
-def chunk_starts(n: int, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-    return list(range(0, max(n - overlap, 1), chunk - overlap))
+def chunks_of(text: str, c: Coder, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
+    """(begin, end, length of the overlap with the next; 0 for the last) of a text's chunks."""
+    out, begin = [], 0
+    while True:
+        end = begin + chunk
+        after, reach = end - overlap, overlap  # where the next chunk begins
+        while end < len(text) and (at := c.boundary(text[after : after + reach])) is None:
+            reach *= 2
+            end = after + reach
+        if end >= len(text):
+            return [*out, (begin, len(text), 0)]
+        if reach > overlap:  # the next chunk begins an overlap before the boundary that was found
+            end = after + at + 1
+            after = max(after, end - overlap)
+        out.append((begin, end, end - after))
+        begin = after
 
 
-def stitch(chunks: list[tuple[int, str, np.ndarray]]) -> list[str]:
-    """The stretches of the text whose overlapping chunks are (start, text, boundaries within it), in order."""
-    stretches: list[str] = []
-    start, text, bounds = chunks[0]
-    at = 0  # where the present stretch begins
-    for next_start, next_text, next_bounds in chunks[1:]:
-        offset = next_start - start
-        common = np.intersect1d(bounds[bounds >= max(at, offset)], next_bounds + offset)
-        if len(common):
-            to = int(common[0])
-            stretches.append(text[at:to])
-            start, text, bounds, at = next_start, next_text, next_bounds, to - offset
-        else:
-            text += next_text[len(text) - offset :]
-            bounds = np.union1d(bounds, next_bounds + offset)
-    return [*stretches, text[at:]]
+def piece(chunk: str, before: int, after: int, c: Coder) -> str:
+    """A chunk's own piece, between the stitches in its overlaps with the chunk before and after it (0: none)."""
+    first = c.boundary(chunk[:before]) if before else 0
+    return chunk[first : len(chunk) - after + c.boundary(chunk[len(chunk) - after :])] if after else chunk[first:]
 
 
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -103,7 +112,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
     """Per document: doc_id, n_tokens, ids_sha256 (of the comma-joined ids), decoded_sha256."""
 
     def of(c: Coder, ids: list[int]):
-        return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()
+        return len(ids), hashlib.sha256(c.spelt(ids).encode()).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()
 
     return _each(docs, id_col, text_col, vocabulary, chunk, overlap, "n_tokens long, ids_sha256 string, decoded_sha256 string", of)
 
@@ -119,43 +128,44 @@ def _each(docs, id_col, text_col, vocabulary, chunk, overlap, kind, of) -> DataF
         columns = [pa.array([r[k] for r in results], t) for k, t in enumerate(arrow)]
         return pa.RecordBatch.from_arrays([ids, *columns], ["doc_id", *fields.names])
 
-    def short(batches):
+    def whole(batches):
         c = coder(path)
         for batch in batches:
             for part in (batch.slice(k, 500) for k in range(0, batch.num_rows, 500)):
-                yield batch_of(part["doc_id"], [of(c, c.encode([x.as_py()])) for x in part["text"]])
+                yield batch_of(part["doc_id"], [of(c, c.encode(x.as_py())) for x in part["text"]])
 
     def cut(batches):
+        c = coder(path)
         for batch in batches:
             for k in range(batch.num_rows):
-                text = batch["text"][k].as_py()
-                starts = chunk_starts(len(text), chunk, overlap)
-                for s in starts:
-                    yield pa.RecordBatch.from_arrays(
-                        [batch["doc_id"].slice(k, 1), batch["row"].slice(k, 1), pa.array([s], pa.int64()), pa.array([text[s : s + chunk]])],
-                        ["doc_id", "row", "start", "chunk"],
-                    )
-
-    def bounded(batches):
+                text, before = batch["text"][k].as_py(), 0
+                for n, (begin, end, after) in enumerate(chunks_of(text, c, chunk, overlap)):
+                    columns = [batch["doc_id"].slice(k, 1), batch["row"].slice(k, 1), *(pa.array([x], pa.int64()) for x in (n, before, after)), pa.array([text[begin:end]])]
+                    yield pa.RecordBatch.from_arrays(columns, dealt.names)
+                    before = after
+
+    def pieces(batches):
         c = coder(path)
         for batch in batches:
-            bounds = [np.array(c.boundaries(x.as_py()), "<i4").tobytes() for x in batch["chunk"]]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bounds, pa.binary())], [*batch.schema.names, "bounds"])
+            ids = [
+                np.array(c.encode(piece(text, before, after, c)), "<u4").tobytes()
+                for text, before, after in zip(batch["chunk"].to_pylist(), batch["before"].to_pylist(), batch["after"].to_pylist(), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row"], batch["n"], pa.array(ids, pa.binary())], encoded_pieces.names)
 
     def joined(batches):
         c = coder(path)
         for batch in batches:
-            got = []
-            for x in batch["chunks"]:
-                chunks = sorted(((r["start"], r["chunk"], np.frombuffer(r["bounds"], "<i4").astype(np.int64)) for r in x.as_py()), key=lambda r: r[0])
-                got.append(of(c, c.encode(stitch(chunks))))
-            yield batch_of(batch["doc_id"], got)
+            for k in range(batch.num_rows):
+                parts = sorted(batch["pieces"][k].as_py(), key=lambda r: r["n"])
+                yield batch_of(batch["doc_id"].slice(k, 1), [of(c, np.frombuffer(b"".join(r["ids"] for r in parts), "<u4").tolist())])
 
     out = T.StructType([id_field, *fields.fields])
-    pieces = T.StructType([id_field]).add("row", "long").add("start", "long").add("chunk", "string")
-    is_long = F.length("text") > chunk
-    long = rows.where(is_long).withColumn("row", F.monotonically_increasing_id()).mapInArrow(cut, pieces)
+    dealt = T.StructType([id_field]).add("row", "long").add("n", "long").add("before", "long").add("after", "long").add("chunk", "string")
+    encoded_pieces = T.StructType([id_field]).add("row", "long").add("n", "long").add("ids", "binary")
+    several = F.length("text") > chunk
+    long = rows.where(several).withColumn("row", F.monotonically_increasing_id()).mapInArrow(cut, dealt)
     # The row numbers are fixed before they are dealt, so a task that runs again can't give others.
-    long = written(long).repartition("row", "start").mapInArrow(bounded, T.StructType(pieces.fields).add("bounds", "binary"))
-    long = long.groupBy("row").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), F.collect_list(F.struct("start", "chunk", "bounds")).alias("chunks"))
-    return rows.where(~is_long).mapInArrow(short, out).unionByName(long.select("doc_id", "chunks").mapInArrow(joined, out))
+    long = written(long).repartition("row", "n").mapInArrow(pieces, encoded_pieces)
+    long = long.groupBy("row").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), F.collect_list(F.struct("n", "ids")).alias("pieces"))
+    return rows.where(~several).mapInArrow(whole, out).unionByName(long.select("doc_id", "pieces").mapInArrow(joined, out))

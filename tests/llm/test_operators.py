@@ -180,7 +180,7 @@ def encoding(name):
 
 @pytest.mark.parametrize(("chunk", "overlap"), [(1 << 15, 1 << 9), (64, 16)])
 def test_bpe(spark, chunk, overlap):
-    enc, df = encoding(bpe.VOCABULARY), table(spark, [*TEXTS[:11], "x " * 300 + " " * 200 + "b\n\n c  d" * 40])
+    enc, df = encoding(bpe.VOCABULARY), table(spark, [*TEXTS, "x " * 300 + " " * 200 + "b\n\n c  d" * 40, "漢字かな" * 9_000, " " * 40_000, "\n \t" * 12_000 + "x", "b " * 20_000 + "z" * 150_000 + " c" * 40_000])
     rows = bpe.digests(df, chunk=chunk, overlap=overlap).collect()
     assert len(rows) == df.count()
     texts = {r["doc_id"]: r["text"] or "" for r in df.collect()}
@@ -191,6 +191,19 @@ def test_bpe(spark, chunk, overlap):
     assert bpe.digests(df.limit(0)).count() == 0
 
 
+def test_bpe_pieces_of_random_texts():
+    """Pieces of chunks, each by itself, give the library's ids of the whole text."""
+    draw, c = random.Random(6), bpe.Coder(public_tokenizers.path(bpe.VOCABULARY))
+    enc = encoding(bpe.VOCABULARY)
+    for _ in range(3_000):
+        text = "".join(draw.choice(["ab", "The", " ", "  ", "\n", "\r\n", "é", "漢", "😀", "'s", "'LL", "12", "\u00a0", "\t", "!?", "\x1c", "\u2003", "\u200b", "z" * 70]) for _ in range(draw.randint(1, 120)))
+        ids, before = [], 0
+        for begin, end, after in bpe.chunks_of(text, c, chunk=24, overlap=6):
+            ids += c.encode(bpe.piece(text[begin:end], before, after, c))
+            before = after
+        assert ids == enc.encode_ordinary(text) and c.decode(ids) == text.encode()
+
+
 def test_packing(spark):
     """Against the tokenizers library: each id of each row in exactly one piece, sequences gapless and full or powers of two."""
     whole = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
