@@ -1,4 +1,4 @@
-"""Public licence texts (their standard wording) and one-line notices, by SPDX identifier."""
+"""Public licence texts (their standard wording), digests of longer ones, and one-line notices, by SPDX identifier."""
 
 _MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
@@ -98,3 +98,28 @@ NOTICES = {
     "BSD-3-Clause": "Released under the BSD 3-Clause License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+
+# SHA-256 of the canonical form (licenses.canonical) of the whole public text, and of the text
+# without the appendix that follows its "END OF TERMS AND CONDITIONS".
+DIGESTS = {
+    "7f0f1086750ea5cae71a90724a09654602afb135180095b5dc7d38219248384d": "Apache-2.0",
+    "55511d1b60f368d6c15950e59dece361bd409a7b1938be69eaf55ea89db33248": "Apache-2.0",
+    "3009c128edc3dee8ec27bd1403e34a6ccd067bdef8ddf616d4000c6a9866cb8b": "Artistic-1.0-Perl",
+    "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651": "BSD-3-Clause-UC",
+    "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f": "CC0-1.0",
+    "d7b4fa98c0201b101d2035c8ce5216ecd9d6468e8c8027a7ca54c3340f919d08": "GFDL-1.2",
+    "438ae846690e15ae7957a7e816e4b191e39c6de2a061ce3d3573ba5a22d5e15a": "GFDL-1.3",
+    "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224": "GPL-1.0",
+    "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc": "GPL-1.0",
+    "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821": "GPL-2.0",
+    "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34": "GPL-2.0",
+    "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a": "GPL-3.0",
+    "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636": "GPL-3.0",
+    "77a17c8586ad4a15f4c4a26f2d3ce87ea2e9ddfba1f8d2b714dd33eb7a1f65f6": "LGPL-2.0",
+    "75ed261a505d357a83b4dd9cec29dca2425f7140b563f720c6509db059a62d5d": "LGPL-2.0",
+    "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891": "LGPL-2.1",
+    "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4": "LGPL-2.1",
+    "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be": "LGPL-3.0",
+    "f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6": "MPL-1.1",
+    "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9": "MPL-2.0",
+}

@@ -5,22 +5,26 @@ lines, one spelling of words that are spelt in several ways), hashed whole, and
 hash-joined to the digests of known licences. The same lookup runs over the
 documents' single lines for known one-line notices.
 
-The known digests are as many as KNOWN and NOTICES have entries, so their table
-is broadcast; no text is shuffled.
-
-Defined cases: a null text is the empty text and matches nothing; rows repeat
-as they come; an empty table gives an empty result; other columns aren't read.
+The known digests are as many as the tables of texts, digests and notices have
+entries, so their table is broadcast; no text is shuffled. Further licences and
+notices are parameters.
+
+Defined cases: a null text is the empty text and matches nothing; very long
+texts are hashed whole; of two names with one digest a text's own goes before a
+stated digest's; rows repeat as they come; an empty table gives an empty result;
+other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphflow.llm.license_texts import KNOWN, NOTICES
+from glyphflow.llm.license_texts import DIGESTS, KNOWN, NOTICES
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Replaced in this order, in lower-cased text; the syntax means the same to Java, RE2 and Python.
@@ -64,12 +68,25 @@ def digest_column(text) -> F.Column:
     return F.sha2(canonical_column(text).cast("binary"), 256)
 
 
-def known_digests(spark, pairs: dict[str, str]) -> DataFrame:
-    rows = sorted({digest(text): name for name, text in pairs.items()}.items())
+def known_digests(spark, texts: dict[str, str], digests: dict[str, str]) -> DataFrame:
+    """(known_digest, known_name) of licences given as texts by name, and as names by digest."""
+    rows = sorted((digests | {digest(text): name for name, text in texts.items()}).items())
     return spark.createDataFrame(rows, "known_digest string, known_name string")
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[str, str] = KNOWN, notices: dict[str, str] = NOTICES) -> DataFrame:
+#: Words that contain these may be spelt otherwise in a text (see STEPS).
+_RESPELT = ("license", "http", "authorization", "organization", "favor", "noncommercial", "merchantability", "willful", "percent", "whilst")
+
+
+def telling_words(notice: str, most: int = 3) -> list[str]:
+    """The longest words of a notice that stand in every line which equals it, as they are but for case."""
+    words = {w for w in canonical(notice).split(" ") if w.isascii() and w.isalnum() and not any(x in w for x in _RESPELT)}
+    return sorted(words, key=lambda w: (-len(w), w))[:most]
+
+
+def license_scan(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[str, str] = KNOWN, notices: dict[str, str] = NOTICES, digests: dict[str, str] = DIGESTS
+) -> DataFrame:
     """Per document: doc_id, license_digest, license_id (null: no known licence), notices.
 
     license_id names the licence that the whole text is; notices lists, sorted
@@ -77,12 +94,21 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     whole = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    pairs = F.create_map(*[F.lit(x) for name, text in notices.items() for x in (digest(text), name)])
-    # A line can equal a notice only if it has this word; most lines needn't be hashed.
-    lines = F.filter(F.split("text", "\n"), lambda x: F.lower(x).rlike("licen[cs]e"))
-    named = F.array_sort(F.array_distinct(F.filter(F.transform(lines, lambda x: pairs[digest_column(x)]), lambda x: x.isNotNull())))
+    pairs = F.create_map(*[F.lit(x) for name, text in notices.items() for x in (digest(text), name)]) if notices else None
+
+    def may_be(line):
+        """Whether all telling words of some notice are in the line; most lines needn't be hashed."""
+        low, out = F.lower(line), F.lit(False)
+        for notice in notices.values():
+            out = out | functools.reduce(lambda a, w: a & low.contains(w), telling_words(notice), F.lit(True))
+        return out
+
+    def name_of(line):
+        return F.when(may_be(line), pairs[digest_column(line)])
+
+    named = F.array_sort(F.array_distinct(F.filter(F.transform(F.split("text", "\n"), name_of), lambda x: x.isNotNull()))) if notices else F.array().cast("array<string>")
     found = whole.select("doc_id", digest_column(F.col("text")).alias("license_digest"), F.array_join(named, ",").alias("notices"))
-    table = F.broadcast(known_digests(spark, known))
+    table = F.broadcast(known_digests(spark, known, digests))
     return found.join(table, found.license_digest == table.known_digest, "left").select(
         "doc_id", "license_digest", F.col("known_name").alias("license_id"), "notices"
     )
@@ -99,14 +125,15 @@ def oracle() -> str:
             out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(by)}, 'g')"
         return f"sha256(trim({out}, ' '))"
 
-    values = lambda pairs: ", ".join(f"({quoted(digest(t))}, {quoted(n)})" for n, t in pairs.items())
+    values = lambda pairs, more={}: ", ".join(f"({quoted(d)}, {quoted(n)})" for d, n in (more | {digest(t): n for n, t in pairs.items()}).items())
+    may_be = " OR ".join("(" + " AND ".join(f"contains(lower(line), {quoted(w)})" for w in telling_words(t)) + ")" for t in NOTICES.values())
     return f"""
-WITH known(d, name) AS (VALUES {values(KNOWN)}),
+WITH known(d, name) AS (VALUES {values(KNOWN, DIGESTS)}),
 notice(d, name) AS (VALUES {values(NOTICES)}),
 lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
 named AS (
   SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS notices
-  FROM (SELECT doc_id, {form('line')} AS d FROM lines WHERE regexp_matches(line, '(?i)licen[cs]e')) JOIN notice USING (d)
+  FROM (SELECT doc_id, {form('line')} AS d FROM lines WHERE {may_be}) JOIN notice USING (d)
   GROUP BY doc_id),
 whole AS (SELECT doc_id, {form("coalesce(text, '')")} AS d FROM documents)
 SELECT doc_id, d AS license_digest, name AS license_id, coalesce(notices, '') AS notices

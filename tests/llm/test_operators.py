@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -49,11 +50,37 @@ def test_connected_components(spark):
 
 def test_licenses(spark):
     mit = KNOWN["MIT"].replace("sublicense", "sub-licence").upper()
-    df = table(spark, ["Copyright (c) 2020 Me\n" + mit, KNOWN["Zlib"], "x\nReleased under the MIT licence!\n", None, ""])
+    df = table(spark, ["Copyright (c) 2020 Me\n" + mit, KNOWN["Zlib"], "x\nReleased under the MIT licence!\n", None, "", KNOWN["ISC"] + "\nmore", "licensed UNDER cc by-nc 4.0"])
     got = {r["doc_id"]: (r["license_id"], r["notices"], r["license_digest"]) for r in licenses.license_scan(df).collect()}
-    assert got[0][0] == "MIT" and got[1][0] == "Zlib" and got[2][:2] == (None, "MIT") and got[3][:2] == (None, "")
+    assert got[0][0] == "MIT" and got[1][0] == "Zlib" and got[2][:2] == (None, "MIT") and got[3][:2] == (None, "") and got[5][0] is None and got[6][:2] == (None, "CC-BY-NC-4.0")
     assert got[0][2] == licenses.digest("Copyright (c) 2020 Me\n" + mit)
-    assert licenses.license_scan(df.limit(0)).count() == 0
+    assert licenses.license_scan(df).count() == df.count() and licenses.license_scan(df.limit(0)).count() == 0
+    assert {r["notices"] for r in licenses.license_scan(df, notices={}).collect()} == {""}
+
+
+def test_notices_of_ones_own(spark):
+    """Notices that don't speak of a licence, and one without any telling word, are found too."""
+    df = table(spark, ["Do what you like with it\nx", "free of charge - use it", "2.0", "a\n(2) 0\nb", "LICENCE"])
+    notices = {"A": "Do what you like with it.", "B": "Free of charge; use it!", "C": "2.0", "D": "license"}
+    got = {r["doc_id"]: r["notices"] for r in licenses.license_scan(df, notices=notices).collect()}
+    assert [got[k] for k in range(5)] == ["A", "B", "C", "C", "D"]
+
+
+FOLDER = Path("/usr/share/common-licenses")
+
+
+@pytest.mark.skipif(not FOLDER.exists(), reason="the system keeps no licence texts")
+def test_whole_public_licences(spark):
+    """Whole texts of long licences, as they are and with case, spacing and copyright lines changed, hit their digests."""
+    names = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "GFDL-1.3": "GFDL-1.3"}
+    texts = {n: (FOLDER / f).read_text() for f, n in names.items() if (FOLDER / f).exists()}
+    rows = []
+    for n, t in texts.items():
+        rows += [(n, t), (n, "Copyright (C) 1999 Somebody\n" + t.upper().replace("\n", "  \r\n")), (n, t.replace("license", "licence").replace("*", ""))]
+        rows += [(None, t[: len(t) // 2]), (None, t + " more")]
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license_id"] for r in licenses.license_scan(df).collect()}
+    assert [got[k] for k in range(len(rows))] == [n for n, _ in rows]
 
 
 def test_exact_dedup(spark):
