@@ -42,8 +42,8 @@ END = 0
 VOCABULARY = "byte_bpe_50k.json"
 #: Hashed counts of ids, projected to so many axes of 2**BITS cells.
 HASHED, AXES, BITS = 256, 3, 10
-#: Bytes of ids that one range partition holds, about.
-RANGE_BYTES = 32 << 20
+#: Bytes of ids that one range partition holds, about, while there are no more than RANGES of them.
+RANGE_BYTES, RANGES = 16 << 20, 100_000
 
 _coders: dict[str, Coder] = {}
 
@@ -170,7 +170,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     ids holds the piece's ids, little-endian unsigned 32-bit, packed.
     """
     rows = written(tokenised(docs, id_col, text_col, vocabulary))
-    ranges = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(stored_bytes(rows) / RANGE_BYTES))
+    ranges = max(docs.sparkSession.sparkContext.defaultParallelism, min(RANGES, math.ceil(stored_bytes(rows) / RANGE_BYTES)))
     laid = rows.repartitionByRange(ranges, "curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id")
 
     def run(batches):
