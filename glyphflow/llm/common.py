@@ -52,7 +52,7 @@ def written(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/glyphflow/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     at, store = _store(spark, path)
     store.deleteOnExit(at)
     _written.append(path)

@@ -105,6 +105,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hot, _, rest = _split(digests, tracked, hot_rows)
     groups = _groups(rest).where("hot_rows > 1").select(F.col("hot_digest").alias("g_digest"), F.col("hot_first.row").alias("g_row"))
     gone = rest.join(groups, (F.col("digest") == F.col("g_digest")) & (F.col("first.row") != F.col("g_row"))).select(F.col("first.row").alias("gone_row"))
+    # Written, its size is known before the texts are joined with it, so they stay in place if it is small.
+    gone = written(gone)
     winners = hot.select(F.unhex("hot_digest").alias("hot_bytes"), F.col("hot_first.row").alias("hot_row"))
     hot_bytes, hot_row, gone_row = fresh(numbered, "hot_bytes"), fresh(numbered, "hot_row"), fresh(numbered, "gone_row")
     winners, gone = winners.toDF(hot_bytes, hot_row), gone.toDF(gone_row)

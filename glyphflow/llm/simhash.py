@@ -203,5 +203,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     A row without an id is never dropped.
     """
     found, name = near_dedup(docs, id_col, text_col), fresh(docs, "gone")
-    gone = found.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
+    # Written, its size is known before the texts are joined with it, so they stay in place if it is small.
+    gone = written(found.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias(name)).distinct())
     return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
