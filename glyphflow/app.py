@@ -5,8 +5,9 @@
     detect [-0] [--files-from PATH] [FILE...]
 
 Files and folders lie in any store that Spark reads; "-", or none, is standard
-input. As Spark's readers do, folders leave out names that begin with a dot or
-an underscore. Every error ends with status 1.
+input. In folders links are skipped, and, as by Spark's readers, names that
+begin with a dot or an underscore. Every error ends with status 1; detect logs
+files that can't be read, and goes on.
 """
 
 from __future__ import annotations
@@ -53,6 +54,7 @@ def converting_parser() -> argparse.ArgumentParser:
     parser.add_argument("--target", metavar="REGION", help="with --auto; default cn-s")
     parser.add_argument("--dict", action="append", default=[], metavar="FILE", help="custom words, key<TAB>value; may be repeated")
     parser.add_argument("--dictionaries", metavar="DIR", help="folder of <name>.txt dictionaries; default: $GLYPHFLOW_DICTIONARIES")
+    parser.add_argument("--stand-ins", action="store_true", help="for dictionaries between Simplified and Traditional that are lacking, take CLDR's rules")
     parser.add_argument("--ngram", metavar="FILE", help="ARPA model; by itself it means --trigram")
     for mode, value in (("--fast", "off"), ("--bigram", "bigram"), ("--trigram", "trigram")):
         parser.add_argument(mode, dest="mode", action="store_const", const=value)
@@ -126,11 +128,11 @@ def _once(paths: list[str]) -> list[str]:
     return [p for k, p in enumerate(paths) if p != "-" or k == first] or ["-"]
 
 
-def _contents(spark: SparkSession, paths: list[str], stdin) -> DataFrame:
+def _contents(spark: SparkSession, paths: list[str], stdin, lenient: bool = False) -> DataFrame:
     """(place, path, shown, content) of the paths' files, "-" being standard input."""
     out, named = None, [p for p in paths if p != "-"]
     if named:
-        found = files.in_order(files.read_bytes(spark, *dict.fromkeys(named)), paths)
+        found = files.in_order(files.read_bytes(spark, *dict.fromkeys(named), lenient=lenient), paths)
         out = found.select("place", "path", "shown", "content")
     if "-" in paths:
         said = spark.createDataFrame([(paths.index("-"), "-", "-", bytearray(stdin.read()))], "place int, path string, shown string, content binary")
@@ -147,7 +149,7 @@ def detect(spark: SparkSession, argv: list[str], stdin, stdout, stderr) -> int:
         print(f"glyphflow detect: {p}: no such file or folder", file=stderr)
     paths = [p for p in paths if p not in gone]
     if paths:
-        found = _contents(spark, paths, stdin).select("place", "path", "shown", detect_bytes("content").alias("d"))
+        found = _contents(spark, paths, stdin, lenient=True).select("place", "path", "shown", detect_bytes("content").alias("d"))
         found = found.orderBy("place", "path").select("shown", F.coalesce("d.region", F.lit("unknown")).alias("r"), F.coalesce("d.confidence", F.lit(0)).alias("c"))
         for row in found.toLocalIterator():
             stdout.write(f"{row['r']}\t{row['c']}\t{row['shown']}\n".encode())
@@ -155,7 +157,7 @@ def detect(spark: SparkSession, argv: list[str], stdin, stdout, stderr) -> int:
 
 
 def convert(spark: SparkSession, args: argparse.Namespace, stdin, stdout) -> int:
-    registry, custom = Registry(root=args.dictionaries), custom_words(spark, args.dict) or None
+    registry, custom = Registry(root=args.dictionaries, stand_ins=args.stand_ins), custom_words(spark, args.dict) or None
     ngrams = arpa.read(spark, args.ngram) if args.mode != "off" else None
     text = F.col("content").cast("string")
     if args.auto:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from glyphflow.functions.detection import detect
+from glyphflow.functions.detection import Detector, detect
+from glyphflow.operators import vector
 from glyphflow.operators.matching import Ngrams, segments as segment_text
 from glyphflow.plans import configs
 from glyphflow.plans.configs import Plan
@@ -47,19 +49,17 @@ def custom_entries(entries) -> list[tuple[str, str]]:
     return out
 
 
-def _shared(plan: Plan):
-    return SparkSession.active().sparkContext.broadcast(plan)
+def _shared(value):
+    return SparkSession.active().sparkContext.broadcast(value)
 
 
 def _convert_arrow(text: Column, plan: Plan) -> Column:
-    shared = _shared(plan)
+    shared = _shared(vector.Compiled(plan))
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        convert = shared.value.convert
-        return pd.Series([None if t is None else convert(t) for t in texts], dtype=object)
+    def run(texts: pa.Array) -> pa.Array:
+        return shared.value.convert(texts)
 
-    return run(text)
+    return F.arrow_udf(run, "string")(text)
 
 
 def _convert_regex(text: Column, plan: Plan) -> Column:
@@ -80,8 +80,8 @@ def _convert_regex(text: Column, plan: Plan) -> Column:
 def convert(text: Column | str, config: str, custom=None, ngrams: Ngrams | None = None, mode: str = "off", registry: Registry | None = None, strategy: str = "auto", priority: str = "merged") -> Column:
     """The text converted by a named config; null stays null.
 
-    strategy: auto takes translate where the plan is a character map and Arrow
-    batches over a broadcast index otherwise; regex stays in the JVM.
+    strategy: auto and arrow convert whole Arrow batches with a broadcast plan;
+    translate (for plans that are character maps) and regex stay in the JVM.
     """
     plan = configs.resolve(config, registry, custom_entries(custom), ngrams, mode, priority)
     return convert_with(text, plan, strategy)
@@ -89,14 +89,12 @@ def convert(text: Column | str, config: str, custom=None, ngrams: Ngrams | None
 
 def convert_with(text: Column | str, plan: Plan, strategy: str = "auto") -> Column:
     text = F.col(text) if isinstance(text, str) else text
-    table = plan.translation()
-    if strategy == "auto":
-        strategy = "arrow" if table is None else "translate"
     if strategy == "translate":
+        table = plan.translation()
         if table is None:
             raise ValueError("this plan is no character map")
         return F.translate(text, "".join(table), "".join(table.values()))
-    return {"arrow": _convert_arrow, "regex": _convert_regex}[strategy](text, plan)
+    return {"auto": _convert_arrow, "arrow": _convert_arrow, "regex": _convert_regex}[strategy](text, plan)
 
 
 def convert_region(text: Column | str, source: str, target: str, **more) -> Column:
@@ -104,42 +102,69 @@ def convert_region(text: Column | str, source: str, target: str, **more) -> Colu
 
 
 def segments(text: Column | str, config: str, custom=None, registry: Registry | None = None) -> Column:
-    """The text's segments, in order, with whether each is a dictionary match."""
+    """The text's segments, in order, with whether each is a dictionary match; explode() gives a row for each."""
     text = F.col(text) if isinstance(text, str) else text
-    shared = _shared(configs.resolve(config, registry, custom_entries(custom)))
+    shared = _shared(vector.Compiled(configs.resolve(config, registry, custom_entries(custom))))
 
-    @F.pandas_udf(SEGMENTS)
-    def run(texts: pd.Series) -> pd.Series:
-        group = shared.value.segmentation
-        cut = lambda t: segment_text(group, t) if group else [(t, False)] if t else []
-        return pd.Series([None if t is None else [{"seg_no": k, "seg": s, "matched": m} for k, (s, m) in enumerate(cut(t))] for t in texts], dtype=object)
+    def run(texts: pa.Array) -> pa.Array:
+        return shared.value.segments(texts)
 
-    return run(text)
+    return F.arrow_udf(run, SEGMENTS)(text)
 
 
 def convert_auto(
     text: Column | str, target: str = "cn-s", registry: Registry | None = None, permissive: bool = False, custom=None, ngrams: Ngrams | None = None, mode: str = "off"
 ) -> Column:
-    """Detects each text's region and converts it on the way to target.
+    """Detects each text's region and converts it on the way to target, in one function.
 
     A region from which there is no way, or whose dictionaries are missing, is
     an error of the row; with permissive such rows stay unchanged.
     """
-    text = F.col(text) if isinstance(text, str) else text
-    region, words = detect(text, registry)["region"], custom_entries(custom)
-    out = None
+    text, words = F.col(text) if isinstance(text, str) else text, custom_entries(custom)
+    ways: dict[str, list[vector.Compiled] | str] = {}
     for code in configs.REGIONS:
         chain = configs.route(code, target)
-        lacking = [n for c in chain or [] for n in configs.missing(c, registry)]
+        lacking = list(dict.fromkeys(n for c in chain or [] for n in configs.missing(c, registry)))
         if chain is None or lacking:
-            why = f"no conversion from {code} to {target}" if chain is None else f"{code} to {target} needs {', '.join(lacking)}"
-            done = text if permissive else F.raise_error(why).cast("string")
+            ways[code] = f"no conversion from {code} to {target}" if chain is None else f"{code} to {target} needs {', '.join(lacking)}"
         else:
-            done = text
-            for config in chain:
-                done = convert_with(done, configs.resolve(config, registry, words, ngrams, mode))
-        out = F.when(region == code, done) if out is None else out.when(region == code, done)
-    return out.otherwise(text)
+            ways[code] = [vector.Compiled(configs.resolve(c, registry, words, ngrams, mode)) for c in chain]
+    shared = _shared((Detector(registry), ways))
+
+    def run(texts: pa.Array) -> pa.Array:
+        detector, ways = shared.value
+        return routed(texts, detector.detect(texts).field("region"), ways, permissive)
+
+    return F.arrow_udf(run, "string")(text)
+
+
+def routed(texts: pa.Array, regions: pa.Array, ways: dict, permissive: bool) -> pa.Array:
+    """Each text by its region's way: plans to run in order, or why there are none."""
+
+    def go(region: str | None, part: pa.Array) -> pa.Array:
+        way = ways.get(region, [])
+        if isinstance(way, str):
+            if not permissive:
+                raise ValueError(way)
+            way = []
+        for plan in way:
+            part = plan.convert(part)
+        return part
+
+    return by_kind(texts, regions, go)
+
+
+def by_kind(texts: pa.Array, kinds: pa.Array, run) -> pa.Array:
+    """run(kind, the texts of that kind) for each kind, put together in the order of the texts."""
+    named = kinds.to_pylist()
+    each = dict.fromkeys(named)
+    if len(each) == 1:
+        return run(named[0], texts)
+    places = [np.array([k for k, x in enumerate(named) if x == kind], np.int64) for kind in each]
+    if not places:
+        return run(None, texts)
+    done = pa.concat_arrays([run(kind, texts.take(pa.array(at))) for kind, at in zip(each, places, strict=True)])
+    return done.take(pa.array(np.argsort(np.concatenate(places), kind="stable")))
 
 
 class Converter:
@@ -174,27 +199,44 @@ class Converter:
 
 
 def register(spark: SparkSession, registry: Registry | None = None) -> list[str]:
-    """SQL functions hz_<config>(text) for every config whose dictionaries are there, and the table function hz_segments(text, config)."""
-    names = []
-    for config in configs.CONFIGS:
-        if not configs.missing(config, registry):
-            plan = _shared(configs.resolve(config, registry))
+    """SQL functions for every config whose dictionaries are there.
+
+    hz_<config>(text); hz_segments_of(text, config), an array for explode();
+    the table function hz_segments(text, config), for single texts; and
+    hz_detect(text), a struct of region and confidence.
+    """
+    there = [c for c in configs.CONFIGS if not configs.missing(c, registry)]
+    plans = {c: configs.resolve(c, registry) for c in there}
+
+    def converter(shared):
+        def run(texts: pa.Array) -> pa.Array:
+            return shared.value.convert(texts)
+
+        return F.arrow_udf(run, "string")
+
+    for config in there:
+        spark.udf.register(f"hz_{config}", converter(_shared(vector.Compiled(plans[config]))))
+    compiled = _shared({c: vector.Compiled(plans[c]) for c in there})
+
+    def cut(texts: pa.Array, wanted: pa.Array) -> pa.Array:
+        return by_kind(texts, wanted, lambda config, part: compiled.value[config].segments(part))
+
+    spark.udf.register("hz_segments_of", F.arrow_udf(cut, SEGMENTS))
+    detector = _shared(Detector(registry))
 
-            def run(texts: pd.Series, plan=plan) -> pd.Series:
-                return pd.Series([None if t is None else plan.value.convert(t) for t in texts], dtype=object)
+    def detected(texts: pa.Array) -> pa.Array:
+        return detector.value.detect(texts)
 
-            run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-            spark.udf.register(f"hz_{config}", F.pandas_udf(run, "string"))
-            names.append(f"hz_{config}")
-    plans = _shared({c: configs.resolve(c, registry).segmentation for c in configs.CONFIGS if not configs.missing(c, registry)})
+    spark.udf.register("hz_detect", F.arrow_udf(detected, "struct<region:string,confidence:int>"))
+    groups = _shared({c: plans[c].segmentation for c in there})
 
     @F.udtf(returnType="seg_no int, seg string, matched boolean")
     class Segments:
         def eval(self, text: str, config: str):
-            group = plans.value[config]
-            cut = segment_text(group, text or "") if group else [(text, False)] if text else []
-            for k, (seg, matched) in enumerate(cut):
+            group = groups.value[config]
+            found = segment_text(group, text or "") if group else [(text, False)] if text else []
+            for k, (seg, matched) in enumerate(found):
                 yield k, seg, matched
 
     spark.udtf.register("hz_segments", Segments)
-    return [*names, "hz_segments"]
+    return [*(f"hz_{c}" for c in there), "hz_segments_of", "hz_detect", "hz_segments"]

@@ -1,12 +1,20 @@
-"""Script-variant detection, wholly in Catalyst expressions."""
+"""Script-variant detection: over whole Arrow batches, or wholly in Catalyst expressions.
+
+Both follow the same rules. Batches look every character up once in a table of
+classes and find all phrases in one pass; the expressions need no Python
+worker, but go over the text once for every class and phrase.
+"""
 
 from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from glyphflow.operators import vector
 from glyphflow.operators.matching import parse_line
 from glyphflow.sources.dictionaries import MissingDictionary, Registry
 
@@ -105,14 +113,110 @@ def decide(t: dict[str, Column], tw: Column, hk: Column, shared: Column) -> Colu
     )
 
 
-def detect(text: Column | str, registry: Registry | None = None, allow_missing: bool = True) -> Column:
+#: Classes of characters, in the order of their bits.
+CLASSES = ("cjk", "kana", "cn_s", "cn_t", "cn_tw", "cn_hk", "jp_n", "jp_t")
+
+
+class Detector:
+    """Detection of many texts at once."""
+
+    def __init__(self, registry: Registry | None = None, allow_missing: bool = True):
+        self.signatures = signatures(registry, allow_missing)
+        tw, hk, both = regional_phrases(registry)
+        self.index = vector.Index([p for p, _ in (*tw, *hk, *both)])
+        self.weight = np.array([w for _, w in (*tw, *hk, *both)], np.int64)
+        self.owner = np.repeat([0, 1, 2], [len(tw), len(hk), len(both)])
+        self._classes = self._table()
+
+    def _table(self) -> np.ndarray:
+        out = np.zeros(0x110000, np.uint8)
+        out[0x4E00:0xA000] |= 1
+        out[0x3040:0x3100] |= 2
+        for k, name in enumerate(CLASSES[2:], 2):
+            out[[ord(c) for c in self.signatures[name]]] |= 1 << k
+        return out
+
+    def __getstate__(self):
+        return self.__dict__ | {"_classes": None}
+
+    def __setstate__(self, state):
+        self.__dict__ = state
+        self._classes = self._table()
+
+    def detect(self, texts: pa.Array) -> pa.Array:
+        """struct<region, confidence> of each text."""
+        return pa.concat_arrays([self._part(part) for part in vector.parts_of(texts)])
+
+    def tallies(self, batch: vector.Batch) -> dict[str, np.ndarray]:
+        """Characters of each class, and the scores of Taiwan's, Hong Kong's and common phrases, by row."""
+        n = len(batch.rows) - 1
+        row = np.repeat(np.arange(n), np.diff(batch.rows))
+        met = np.bincount(row * 256 + self._classes[batch.codes], minlength=n * 256).reshape(n, 256)
+        bits = np.arange(256)
+        out = {name: met[:, (bits >> k & 1) == 1].sum(axis=1) for k, name in enumerate(CLASSES)}
+        position, key = self.index.search(batch.codes, batch.room(), every=True)
+        pairs = np.unique(row[position] * max(len(self.weight), 1) + key)  # a phrase counts once a text
+        row, key = pairs // max(len(self.weight), 1), pairs % max(len(self.weight), 1)
+        for k, name in enumerate(("tw", "hk", "both")):
+            mine = self.owner[key] == k
+            out[name] = np.bincount(row[mine], self.weight[key[mine]], n).astype(np.int64)
+        return out
+
+    def _part(self, texts: pa.Array) -> pa.Array:
+        if not len(texts):
+            return pa.array([], DETECTION)
+        region, confidence = decided(self.tallies(vector.batch_of(texts)))
+        region[~np.asarray(texts.is_valid())] = None
+        none = np.array([r is None for r in region])
+        return pa.StructArray.from_arrays(
+            [pa.array(region, pa.string()), pa.array(confidence, pa.int32(), mask=none)], fields=list(DETECTION), mask=pa.array(none)
+        )
+
+
+DETECTION = pa.struct([("region", pa.string()), ("confidence", pa.int32())])
+
+
+def decided(t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The rules, in order, over arrays of tallies: regions (None where nothing is detected) and confidences."""
+    pct = lambda part, total: np.where(total == 0, 0, part * 100 // np.maximum(total, 1) & 255)
+    both, trad = t["jp_n"] + t["jp_t"], t["cn_t"] + t["cn_tw"] + t["cn_hk"]
+    in_tw, in_hk = pct(t["cn_t"] + t["cn_tw"], t["cjk"]), pct(t["cn_t"] + t["cn_hk"], t["cjk"])
+    rules = [
+        ((t["kana"] > 0) & (both == 0), "jp-n", np.full(len(both), 50)),
+        ((t["kana"] > 0) & (t["jp_n"] >= t["jp_t"]), "jp-n", pct(t["jp_n"], both)),
+        (t["kana"] > 0, "jp-t", pct(t["jp_t"], both)),
+        (t["cjk"] == 0, None, both * 0),
+        (t["tw"] > t["hk"], "cn-tw", np.maximum(50, in_tw)),
+        (t["hk"] > t["tw"], "cn-hk", np.maximum(50, in_hk)),
+        ((t["both"] > 0) | (t["tw"] > 0), "cn-tw", np.maximum(40, in_tw)),
+        (t["cn_s"] > trad, "cn-s", pct(t["cn_s"], t["cjk"])),
+        ((t["cn_tw"] >= t["cn_hk"]) & (2 * t["cn_tw"] >= t["cn_t"] + t["cn_tw"]) & (t["cn_tw"] > 0), "cn-tw", in_tw),
+        ((t["cn_hk"] > t["cn_tw"]) & (2 * t["cn_hk"] >= t["cn_t"] + t["cn_hk"]) & (t["cn_hk"] > 0), "cn-hk", in_hk),
+        (np.ones(len(both), bool), "cn-t", pct(trad, t["cjk"])),
+    ]
+    which = np.argmax(np.stack([c for c, _, _ in rules]), axis=0)
+    regions = np.array([r for _, r, _ in rules], object)[which]
+    return regions, np.stack([x for _, _, x in rules])[which, np.arange(len(both))]
+
+
+def detect(text: Column | str, registry: Registry | None = None, allow_missing: bool = True, strategy: str = "arrow") -> Column:
     """struct<region, confidence> of the whole text; null without Han characters and kana, and for null.
 
     Tallies of dictionaries that are missing count zero; with
-    allow_missing=False their absence is an error.
+    allow_missing=False their absence is an error. strategy: arrow, or catalyst.
     """
     text = F.col(text) if isinstance(text, str) else text
+    if strategy == "catalyst":
+        return _detect_catalyst(text, registry, allow_missing)
+    shared = SparkSession.active().sparkContext.broadcast(Detector(registry, allow_missing))
+
+    def run(texts: pa.Array) -> pa.Array:
+        return shared.value.detect(texts)
+
+    return F.arrow_udf(run, "struct<region:string,confidence:int>")(text)
+
 
+def _detect_catalyst(text: Column, registry: Registry | None, allow_missing: bool) -> Column:
     def of(t: Column) -> Column:
         counted = tallies(t, registry, allow_missing)
         # Phrases matter only to texts with Han characters and no kana.

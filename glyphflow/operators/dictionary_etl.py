@@ -6,22 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def parse(lines: DataFrame) -> DataFrame:
-    """(dict, ord, key, values) of dictionary lines.
+def entries(lines: DataFrame) -> DataFrame:
+    """(dict, ord, key, values) of every line that is an entry, keys that repeat among them.
 
-    Comments, blank lines, lines without a tab and keys without a value are
-    skipped; of a key that repeats the last line counts.
+    Comments, blank lines, lines without a tab and keys without a value are skipped.
     """
     line = F.regexp_replace("line", "\\r", "")
     parts = F.split(line, "\t", 2)
     rows = lines.select("dict", F.col("line_no").alias("ord"), line.alias("line"), parts[0].alias("key"), F.split(F.trim(F.regexp_replace(parts[1], "\\s+", " ")), " ").alias("values"))
-    rows = rows.where(~F.col("line").startswith("#") & (F.trim("line") != "") & F.col("line").contains("\t") & (F.col("values")[0] != ""))
-    return rows.groupBy("dict", "key").agg(F.max("ord").alias("ord"), F.max_by("values", "ord").alias("values")).select("dict", "ord", "key", "values")
+    return rows.where(~F.col("line").startswith("#") & (F.trim("line") != "") & F.col("line").contains("\t") & (F.col("values")[0] != "")).drop("line")
+
+
+def parse(lines: DataFrame) -> DataFrame:
+    """The entries, of a key that repeats the last one."""
+    return entries(lines).groupBy("dict", "key").agg(F.max("ord").alias("ord"), F.max_by("values", "ord").alias("values")).select("dict", "ord", "key", "values")
 
 
-def first_values(entries: DataFrame) -> DataFrame:
+def first_values(parsed: DataFrame) -> DataFrame:
     """(dict, ord, key, value): only the first candidate."""
-    return entries.select("dict", "ord", "key", F.col("values")[0].alias("value"))
+    return parsed.select("dict", "ord", "key", F.col("values")[0].alias("value"))
 
 
 def from_entries(pairs: DataFrame) -> DataFrame:
@@ -36,14 +39,14 @@ def overlay(base: DataFrame, patch: DataFrame) -> DataFrame:
     return base.join(patch.select("key"), "key", "left_anti").select("dict", "ord", "key", "values").unionByName(moved)
 
 
-def merge(entries: DataFrame, order: list[str]) -> DataFrame:
+def merge(parsed: DataFrame, order: list[str]) -> DataFrame:
     """One dictionary of several: (key, value, candidates, dict).
 
     The union, in which the last dictionary named wins a key. Candidates stay
     those of the last row that has several, even if a later row has one value.
     """
     rank = F.create_map(*[x for k, n in enumerate(order) for x in (F.lit(n), F.lit(k))])[F.col("dict")]
-    rows = entries.where(F.col("dict").isin(*order)).withColumn("at", F.struct(rank.alias("rank"), F.col("ord")))
+    rows = parsed.where(F.col("dict").isin(*order)).withColumn("at", F.struct(rank.alias("rank"), F.col("ord")))
     several = F.when(F.size("values") > 1, F.col("at"))
     return rows.groupBy("key").agg(
         F.max_by(F.col("values")[0], "at").alias("value"),
@@ -53,33 +56,36 @@ def merge(entries: DataFrame, order: list[str]) -> DataFrame:
 
 
 def preferences(lines: DataFrame) -> DataFrame:
-    """(key, prefer) of the annotations '@reverse-prefer: key [prefer]'."""
-    found = F.regexp_extract("line", "^#\\s*@reverse-prefer:\\s*(\\S+)\\s*(\\S*)", 1)
-    other = F.regexp_extract("line", "^#\\s*@reverse-prefer:\\s*(\\S+)\\s*(\\S*)", 2)
-    rows = lines.select("line_no", found.alias("key"), F.when(other == "", found).otherwise(other).alias("prefer")).where("key <> ''")
+    """(key, prefer) of the annotations '# @reverse-prefer: key [prefer]'; of several words the last is preferred."""
+    words = F.split(F.trim(F.regexp_replace(F.expr("substr(line, length('# @reverse-prefer:') + 1)"), "\\s+", " ")), " ")
+    rows = lines.where(F.col("line").startswith("# @reverse-prefer:")).select("line_no", words[0].alias("key"), F.element_at(words, -1).alias("prefer")).where("key <> ''")
     return rows.groupBy("key").agg(F.max_by("prefer", "line_no").alias("prefer"))
 
 
-def reverse(entries: DataFrame, prefer: DataFrame | None = None) -> DataFrame:
-    """(key, values): every value as a key, with the keys that had it in order of meeting; a preferred one first."""
-    each = entries.select("ord", "key", F.posexplode("values").alias("pos", "value"))
+def reverse(rows: DataFrame, prefer: DataFrame | None = None) -> DataFrame:
+    """(key, values): every value as a key, with the keys that had it in order of meeting and as often as met; a preferred one first."""
+    each = rows.select("ord", "key", F.posexplode("values").alias("pos", "value"))
     keys = F.transform(F.array_sort(F.collect_list(F.struct("ord", "pos", "key"))), lambda x: x["key"])
-    out = each.groupBy(F.col("value").alias("key")).agg(F.array_distinct(keys).alias("values"))
+    out = each.groupBy(F.col("value").alias("key")).agg(keys.alias("values"))
     if prefer is None:
         return out
-    first = F.when(F.array_contains("values", F.col("prefer")), F.array_union(F.array("prefer"), "values")).otherwise(F.col("values"))
+    at = F.array_position("values", F.col("prefer"))
+    before, after = F.slice("values", F.lit(1), at.cast("int") - 1), F.slice("values", at.cast("int") + 1, F.size("values"))
+    first = F.when(F.coalesce(at, F.lit(0)) > 0, F.concat(F.array("prefer"), before, after)).otherwise(F.col("values"))
     return out.join(F.broadcast(prefer), "key", "left").select("key", first.alias("values"))
 
 
 def tofu_risk(lines: DataFrame) -> DataFrame:
-    """(key, values) of the lines after '# @tofu-risk:' annotations, without a first value that is the key itself."""
-    after = lines.withColumn("before", F.lag("line").over(Window.partitionBy("dict").orderBy("line_no")))
-    rows = after.where(F.col("before").rlike("^#\\s*@tofu-risk:"))
-    parts = F.split("line", "\t", 2)
-    bad = F.col("line").startswith("#") | (F.trim("line") == "") | ~F.col("line").contains("\t")
-    key = F.when(bad, F.raise_error(F.concat(F.lit("a tofu-risk annotation has no entry below it: "), F.col("line")))).otherwise(parts[0])
-    values = F.split(F.trim(parts[1]), "\\s+")
-    return rows.select(key.alias("key"), F.when(values[0] == parts[0], F.slice(values, 2, 1 << 20)).otherwise(values).alias("values"))
+    """(key, values) of the lines below '# @tofu-risk:' annotations, without a first value that is the key itself; nothing left is an error."""
+    below = Window.partitionBy("dict").orderBy("line_no")
+    rows = lines.withColumn("next", F.lead("line").over(below)).where(F.col("line").startswith("# @tofu-risk:"))
+    parts = F.split("next", "\t", 2)
+    found = F.split(F.trim(F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), "\\s+", " ")), " ")
+    found = F.filter(found, lambda v: v != "")
+    values = F.when(F.get(found, F.lit(0)) == parts[0], F.slice(found, 2, 1 << 20)).otherwise(found)
+    bad = F.col("next").isNull() | F.col("next").startswith("#") | (F.coalesce(F.size(values), F.lit(0)) <= 0)
+    key = F.when(bad, F.raise_error(F.concat(F.lit("a tofu-risk annotation has no entry below it: line "), F.col("line_no").cast("string")))).otherwise(parts[0])
+    return rows.select(key.alias("key"), values.alias("values"))
 
 
 def project_phrases(phrases: DataFrame, to_simplified, least: int = 3) -> DataFrame:
@@ -93,16 +99,21 @@ def project_phrases(phrases: DataFrame, to_simplified, least: int = 3) -> DataFr
     return grouped.select(F.col("short").alias("key"), value.alias("value")).orderBy("key")
 
 
-def sort_entries(entries: DataFrame) -> DataFrame:
-    return entries.orderBy("dict", "key")
+def sort_entries(parsed: DataFrame) -> DataFrame:
+    return parsed.orderBy("dict", "key")
+
+
+def rank() -> Column:
+    """An entry's place in its dictionary sorted by key."""
+    return F.row_number().over(Window.partitionBy("dict").orderBy("key"))
 
 
-def find_targets(entries: DataFrame, keyword: str | Column) -> DataFrame:
+def find_targets(parsed: DataFrame, keyword: str | Column) -> DataFrame:
     """Entries with a value that contains the keyword."""
     word = F.lit(keyword) if isinstance(keyword, str) else keyword
-    return entries.where(F.exists("values", lambda v: v.contains(word)))
+    return parsed.where(F.exists("values", lambda v: v.contains(word)))
 
 
-def lines_of(entries: DataFrame) -> DataFrame:
+def lines_of(parsed: DataFrame) -> DataFrame:
     """Entries as dictionary lines again."""
-    return entries.select("dict", "ord", F.concat_ws("\t", "key", F.array_join("values", " ")).alias("line"))
+    return parsed.select("dict", "ord", F.concat_ws("\t", "key", F.array_join("values", " ")).alias("line"))

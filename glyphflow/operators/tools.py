@@ -35,6 +35,14 @@ def of_bytes(text: str, size: int) -> str:
     return (data * (size // len(data) + 1))[:size].decode("utf-8", "ignore") if data else ""
 
 
+def of_bytes_column(text: Column, size: int) -> Column:
+    """of_bytes() of each text of a column, without Python."""
+    times = F.floor(F.lit(size) / F.greatest(F.octet_length(text), F.lit(1))) + 1
+    long = F.repeat(text, times.cast("int"))
+    cuts = [F.try_validate_utf8(F.substring(long.cast("binary"), 1, size - k).cast("string")) for k in range(4)]
+    return F.coalesce(*cuts)
+
+
 def only_cjk(text: Column) -> Column:
     return F.regexp_replace(text, "[^一-鿿]", "")
 

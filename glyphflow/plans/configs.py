@@ -109,22 +109,20 @@ class Plan:
 
 
 def reversed_lines(lines) -> list[str]:
-    """A dictionary from values to keys; annotations name the key to prefer."""
+    """A dictionary from values to keys, in order of meeting and as often as met; annotations name the key to prefer."""
     out: dict[str, list[str]] = {}
     prefer: dict[str, str] = {}
     for line in lines:
-        if line.startswith("#") and "@reverse-prefer:" in line:
-            words = line.split("@reverse-prefer:", 1)[1].split()
-            if words:
-                prefer[words[0]] = words[-1] if len(words) > 1 else words[0]
+        if line.startswith("# @reverse-prefer:"):
+            if words := line.removeprefix("# @reverse-prefer:").split():
+                prefer[words[0]] = words[-1]
         elif entry := matching.parse_line(line):
             for value in entry[1]:
-                keys = out.setdefault(value, [])
-                if entry[0] not in keys:
-                    keys.append(entry[0])
+                out.setdefault(value, []).append(entry[0])
     for value, first in prefer.items():
         if first in out.get(value, ()):
-            out[value] = [first, *(k for k in out[value] if k != first)]
+            out[value].remove(first)
+            out[value].insert(0, first)
     return [f"{k}\t{' '.join(v)}" for k, v in sorted(out.items())]
 
 
@@ -134,15 +132,15 @@ def patched(base, patch) -> list[str]:
 
 
 def tofu_lines(lines) -> list[str]:
-    out = []
-    for above, line in zip(lines, list(lines)[1:], strict=False):
-        if above.startswith("#") and "@tofu-risk:" in above:
-            entry = matching.parse_line(line)
-            if not entry:
-                raise ValueError(f"a tofu-risk annotation has no entry below it: {line}")
-            values = entry[1][1:] if entry[1][0] == entry[0] else entry[1]
-            if values:
-                out.append(f"{entry[0]}\t{' '.join(values)}")
+    """Lines below '# @tofu-risk:', without a first value that is the key itself; nothing left is an error."""
+    out, lines = [], list(lines)
+    for k, above in enumerate(lines):
+        if above.startswith("# @tofu-risk:"):
+            entry = matching.parse_line(lines[k + 1]) if k + 1 < len(lines) else None
+            values = entry[1][1:] if entry and entry[1][0] == entry[0] else entry[1] if entry else []
+            if not values:
+                raise ValueError(f"a tofu-risk annotation has no entry below it: line {k + 1}")
+            out.append(f"{entry[0]}\t{' '.join(values)}")
     return out
 
 
@@ -159,9 +157,14 @@ def dictionary(registry: Registry, name: str) -> list[str] | tuple[str, ...]:
     return registry.lines(name)
 
 
+def strict_simplification(registry: Registry) -> Plan:
+    """Traditional to Simplified with strict priority of dictionaries and without segments, as phrases are projected."""
+    return Plan(None, [Group([matching.layer_of(dictionary(registry, n)) for n in _TS])])
+
+
 def projected_lines(registry: Registry) -> list[str]:
     """Regional phrases by their simplified form; here dictionaries have strict priority and texts no segments."""
-    group = Group([matching.layer_of(dictionary(registry, n)) for n in _TS])
+    group = strict_simplification(registry).chain[0]
     out: dict[str, str] = {}
     for name in ("HKPhrases", "TWPhrases"):
         for line in registry.lines(name):
@@ -216,7 +219,7 @@ def missing(config: str, registry: Registry | None = None) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def resolve_json(source: str, registry: Registry | None = None, custom: Custom | None = None) -> Plan:
+def resolve_json(source: str, registry: Registry | None = None, custom: Custom | None = None, model: Ngrams | None = None, mode: str = "off") -> Plan:
     """The plan of a JSON config: segmentation.dict and conversion_chain[].dict of file, inline or group dictionaries."""
     spec, registry = json.loads(source), registry or Registry()
 
@@ -247,4 +250,4 @@ def resolve_json(source: str, registry: Registry | None = None, custom: Custom |
         return Group([*([first] if custom else []), *layers_of(node)])
 
     seg = spec.get("segmentation")
-    return Plan(group_of(seg["dict"]) if seg else None, [group_of(step["dict"]) for step in spec["conversion_chain"]])
+    return Plan(group_of(seg["dict"]) if seg else None, [group_of(step["dict"]) for step in spec["conversion_chain"]], model, mode)

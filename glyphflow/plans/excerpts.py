@@ -7,16 +7,6 @@ cf0e4b6c0e0ec4c9f55a3a5884ba8c292dbe5489), Apache License, Version 2.0.
 
 # Results depend on them as they stand (key, tab, values).
 EXCERPTS = {
-    "TSPhrases": """
-一坏	一坯
-一目瞭然	一目了然
-七逕	七迳
-上逕	上迳
-上鍊	上链
-不可貲計	不可赀計
-不瞭解	不了解
-么麼	幺麽
-""",
     "TWPhrases": """
 B超	超音波
 PN結	PN接面

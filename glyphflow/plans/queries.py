@@ -1,181 +1,202 @@
 """The engine's registered queries and their SQL twins.
 
-The driver's tables hold no Han text, so each document's is made from its key
-and length: two of SEEDS, one after the other. The SQL has its dictionaries as
-VALUES and matches with a recursive query, on the distinct texts.
+Texts: see plans.texts; every query that takes texts reads the documents' whole
+texts. Dictionaries: a folder of whole ones where one is set; else the tables
+that the package states, CLDR's rules for the four between the two scripts, and
+excerpts of the others (see README).
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphflow.functions import conversion, detection
+from glyphflow.functions import conversion, detection, prefix
 from glyphflow.operators import dictionary_etl as etl
 from glyphflow.operators import tools
-from glyphflow.plans import configs
-from glyphflow.sources import arpa
+from glyphflow.plans import configs, oracle
 from glyphflow.plans.excerpts import EXCERPTS
+from glyphflow.plans.texts import ALPHABETS, LETTERS, SEEDS, documents, han, han_sql, mixed, mixed_sql, quoted, seed, seed_sql
+from glyphflow.sources import arpa
 from glyphflow.sources.dictionaries import Registry, default_root
 
-SEEDS = [
-    "裏面純喫茶喫飯，請你喫完再走", "他感染了A型肝炎", "A型肝炎在羣衆中傳播", "我買了新的滑鼠很好用", "弁護士と弁当と予備の万年筆", "国際電話の会議に参与する", "鄰居着急地爲衆人說話", "核心內容與軟體網路",
-    "hello world 123", "", "這裏的臺灣羣島，那裡的台灣群島", "線上遊戲的伺服器設定", "他去了西維珍尼亞州", "𠮷野家の牛丼，並盛\n二つ", "脣齒相依，牀前明月光", "爲什麼，為甚麼", "汉字计算机软件打印机", "床前的粧奩，鉢裡的麪",
-    "東京都の学校で体験する", "資訊科技與程式設計", "SQL注入攻擊", "煙囪與香菸，才剛纔說", "戲院の戯曲、演劇の沢山", "123漢字abc着裝，着陸",
-]
-#: A folder of dictionaries serves whole where one is set; excerpts have all that SEEDS meet.
-REGISTRY = Registry(extra={} if default_root() else {n: lines.strip("\n").split("\n") for n, lines in EXCERPTS.items()})
-#: Configs that these dictionaries resolve in full.
+REGISTRY = Registry(extra={} if default_root() else {n: lines.strip("\n").split("\n") for n, lines in EXCERPTS.items()}, stand_ins=True)
+#: Configs that these dictionaries resolve in full: all 16, unless Spark's jars lack the rules.
 RESOLVABLE = [c for c in configs.CONFIGS if not configs.missing(c, REGISTRY)]
-CUSTOM = [("軟體", "軟件"), ("滑鼠很", "鼠標真"), ("明月", "明日")]
-ARPA = "\\data\\\n\\1-grams:\n-1.0\t出\n-1.2\t齣\n\\2-grams:\n-0.5\t一 齣\n-0.9\t一 出\n-0.3\t演 出\n-0.7\t<s> 出\n\\end\\\n"
-
-
-def _seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "n_chars")
-    at = lambda c: F.element_at(F.array(*map(F.lit, SEEDS)), (F.col(c) % len(SEEDS)).cast("int") + 1)
-    return docs.select("doc_id", "lang", "source", F.concat(at("doc_id"), at("n_chars")).alias("han"))
+CUSTOM = [("軟體", "軟件"), ("滑鼠", "鼠"), ("體滑", "xy"), ("明月", "明日"), (". 羣", ".羣。"), (", 軟", "，"), ("爲", "因為")]
 
+_SCRIPT = {c: {"cn-s": "simplified", "jp-n": "japanese"}.get(source, "traditional") for c, (_, source, *_) in configs.CONFIGS.items()}
 
-def _quoted(x: str) -> str:
-    return "'" + x.replace("'", "''") + "'"
 
+def _convert_query(config: str, custom=None):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return documents(spark, sf_dir, han(_SCRIPT[config])).select("doc_id", conversion.convert("han", config, custom=custom, registry=REGISTRY).alias("converted"))
 
-def _values(rows) -> str:
-    return ", ".join("(" + ", ".join(_quoted(x) if isinstance(x, str) else str(x) for x in row) + ")" for row in rows)
-
-
-_LIST = "[" + ", ".join(map(_quoted, SEEDS)) + "]"
-_SEEDED = f"seeded AS (SELECT doc_id, lang, source, list_extract({_LIST}, (doc_id % {len(SEEDS)})::INT + 1) || list_extract({_LIST}, (n_chars % {len(SEEDS)})::INT + 1) AS han FROM documents), texts AS (SELECT DISTINCT han FROM seeded)"
-
+    return run
 
-def _match_sql(layers: list[dict[str, str]]) -> str:
-    """tok(han, pos, piece, out, hit): each text cut into matches and single characters, by layer, then length."""
-    rows = [(k, v, n) for n, layer in enumerate(layers) for k, v in layer.items()]
-    longest = max(len(k) for k, _, _ in rows)
-    return f"""dict(k, v, layer) AS (VALUES {_values(rows)}),
-chars AS (SELECT han, unnest(range(1, length(han) + 1)) AS pos FROM texts),
-cand AS (SELECT han, pos, k, v, layer FROM chars, range(1, {longest + 1}) r(l) JOIN dict ON k = substr(han, pos, l) AND length(k) = l),
-best AS (SELECT han, pos, arg_max(k, (-layer, length(k))) AS k, arg_max(v, (-layer, length(k))) AS v FROM cand GROUP BY han, pos),
-walk(han, pos, piece, out, hit) AS (
-  SELECT t.han, 1, coalesce(b.k, substr(t.han, 1, 1)), coalesce(b.v, substr(t.han, 1, 1)), b.k IS NOT NULL
-  FROM texts t LEFT JOIN best b ON b.han = t.han AND b.pos = 1 WHERE length(t.han) > 0
-  UNION ALL
-  SELECT w.han, w.pos + length(w.piece), coalesce(b.k, substr(w.han, w.pos + length(w.piece), 1)), coalesce(b.v, substr(w.han, w.pos + length(w.piece), 1)), b.k IS NOT NULL
-  FROM walk w LEFT JOIN best b ON b.han = w.han AND b.pos = w.pos + length(w.piece) WHERE w.pos + length(w.piece) <= length(w.han))"""
 
+def segments_jp2t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir, han("japanese")).select("doc_id", F.explode(conversion.segments("han", "jp2t", registry=REGISTRY)).alias("s"))
+    return rows.select("doc_id", "s.seg_no", "s.seg", "s.matched")
 
-def _convert_query(config: str, custom=None):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _seeded(spark, sf_dir).select("doc_id", conversion.convert("han", config, custom=custom, registry=REGISTRY).alias("converted"))
 
-    return run
+def segments_s2t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments by Simplified phrases, as SQL's explode() gives them."""
+    conversion.register(spark, REGISTRY)
+    documents(spark, sf_dir, han("simplified")).createOrReplaceTempView("glyphflow_segmented")
+    return spark.sql("SELECT doc_id, s.seg_no, s.seg, s.matched FROM glyphflow_segmented LATERAL VIEW explode(hz_segments_of(han, 's2t')) t AS s")
 
 
-def _convert_sql(config: str, custom=None) -> str:
-    """One pass of longest matches: right for one-stage configs whose segments no match can cross."""
-    plan = configs.resolve(config, REGISTRY, custom)
-    return f"""WITH RECURSIVE {_SEEDED}, {_match_sql([layer.values for layer in plan.chain[0].layers])},
-done AS (SELECT han, string_agg(out, '' ORDER BY pos) AS converted FROM walk GROUP BY han)
-SELECT doc_id, coalesce(converted, '') AS converted FROM seeded LEFT JOIN done USING (han)"""
+#: Two layers: what any key of the first begins goes before longer keys of the second.
+_LAYERS = [[("軟", "first"), ("資訊", "a b"), ("裏", "x")], [("軟體滑", "never"), ("資訊鼠", "late"), ("純喫茶", "c d"), ("純喫", "e"), ("純", "f g"), ("A型", "h")]]
 
 
-def segments_jp2t(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _seeded(spark, sf_dir).select("doc_id", F.explode(conversion.segments("han", "jp2t", registry=REGISTRY)).alias("s"))
-    return rows.select("doc_id", "s.seg_no", "s.seg", "s.matched")
+def prefix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the two layers match at the beginning of each text: bytes, default value and candidates."""
+    rows = documents(spark, sf_dir, F.translate(F.coalesce("text", F.lit("")), LETTERS, ALPHABETS["traditional"]))
+    layers = [[f"{k}\t{v}" for k, v in layer] for layer in _LAYERS]
+    found = rows.select("doc_id", prefix.longest_prefix(F.col("han"), layers).alias("m"))
+    return found.select("doc_id", "m.bytes", "m.value", F.array_join("m.candidates", " ").alias("candidates"))
 
 
-def _segments_sql(config: str) -> str:
-    group = configs.resolve(config, REGISTRY).segmentation
-    return f"""WITH RECURSIVE {_SEEDED}, {_match_sql([group.layers[0].values])},
-cut AS (SELECT *, CASE WHEN hit OR lag(hit, 1, true) OVER (PARTITION BY han ORDER BY pos) THEN 1 ELSE 0 END AS starts FROM walk),
-numbered AS (SELECT *, sum(starts) OVER (PARTITION BY han ORDER BY pos) - 1 AS seg_no FROM cut),
-seg AS (SELECT han, seg_no::INT AS seg_no, string_agg(piece, '' ORDER BY pos) AS seg, bool_or(hit) AS matched FROM numbered GROUP BY han, seg_no)
-SELECT doc_id, seg_no, seg, matched FROM seeded JOIN seg USING (han)"""
+def _prefix_sql() -> str:
+    dict_ = oracle.values((n, k, v) for n, layer in enumerate(_LAYERS) for k, v in layer)
+    return f"""WITH texts AS (SELECT doc_id, translate(coalesce(text, ''), {quoted(LETTERS)}, {quoted(ALPHABETS["traditional"])}) AS han FROM documents),
+dict(layer, k, v) AS (VALUES {dict_}),
+best AS (SELECT doc_id, arg_max(k, (-layer, length(k))) AS k, arg_max(v, (-layer, length(k))) AS v FROM texts JOIN dict ON starts_with(han, k) GROUP BY doc_id)
+SELECT doc_id, strlen(k)::INT AS bytes, string_split(v, ' ')[1] AS value, v AS candidates FROM texts LEFT JOIN best USING (doc_id)"""
 
 
 def character_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detection.tallies("han", REGISTRY)
-    return _seeded(spark, sf_dir).select("doc_id", *(c.cast("int").alias(k) for k, c in found.items()))
-
-
-def _tally_sql(t: str) -> dict[str, str]:
-    out = {k: f"(length({t}) - length(translate({t}, {_quoted(v)}, '')))" if v else "0" for k, v in detection.signatures(REGISTRY).items()}
-    return out | {"cjk": f"length(regexp_replace({t}, '[^一-鿿]', '', 'g'))", "kana": f"length(regexp_replace({t}, '[^぀-ヿ]', '', 'g'))"}
+    return documents(spark, sf_dir, mixed()).select("doc_id", *(c.cast("int").alias(k) for k, c in found.items()))
 
 
 def detect_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _seeded(spark, sf_dir).select("doc_id", detection.detect("han", REGISTRY).alias("d"))
+    rows = documents(spark, sf_dir, mixed()).select("doc_id", detection.detect("han", REGISTRY).alias("d"))
     return rows.select("doc_id", "d.region", "d.confidence")
 
 
-def _detected_sql() -> str:
-    """detected(han, region, confidence)."""
-    tallies = ", ".join(f"({x})::INT AS {k}" for k, x in _tally_sql("han").items())
-    names = ("p_tw", "p_hk", "p_both")
-    scores = ", ".join(
-        f"(SELECT coalesce(sum(w), 0) FROM (VALUES {_values(ws) if ws else '(NULL, 0)'}) p(phrase, w) WHERE contains(texts.han, phrase))::INT AS {n}"
-        for n, ws in zip(names, detection.regional_phrases(REGISTRY), strict=True)
-    )
-    pct = lambda part, total: f"(CASE WHEN {total} = 0 THEN 0 ELSE floor({part} * 100 / {total})::INT & 255 END)"
-    tw, hk = pct("(cn_t + cn_tw)", "cjk"), pct("(cn_t + cn_hk)", "cjk")
-    rules = [
-        ("kana > 0 AND jp_n + jp_t = 0", "jp-n", "50"),
-        ("kana > 0 AND jp_n >= jp_t", "jp-n", pct("jp_n", "(jp_n + jp_t)")),
-        ("kana > 0", "jp-t", pct("jp_t", "(jp_n + jp_t)")),
-        ("cjk = 0", None, "NULL"),
-        ("p_tw > p_hk", "cn-tw", f"greatest(50, {tw})"),
-        ("p_hk > p_tw", "cn-hk", f"greatest(50, {hk})"),
-        ("p_tw = p_hk AND (p_both > 0 OR p_tw > 0)", "cn-tw", f"greatest(40, {tw})"),
-        ("cn_s > cn_t + cn_tw + cn_hk", "cn-s", pct("cn_s", "cjk")),
-        ("cn_tw >= cn_hk AND 2 * cn_tw >= cn_t + cn_tw AND cn_tw > 0", "cn-tw", tw),
-        ("cn_hk > cn_tw AND 2 * cn_hk >= cn_t + cn_hk AND cn_hk > 0", "cn-hk", hk),
-        ("TRUE", "cn-t", pct("(cn_t + cn_tw + cn_hk)", "cjk")),
-    ]
-    region = " ".join(f"WHEN {c} THEN {_quoted(r) if r else 'NULL'}" for c, r, _ in rules)
-    confidence = " ".join(f"WHEN {c} THEN {x}" for c, _, x in rules)
-    return f"""tallied AS (SELECT han, {tallies}, {scores} FROM texts),
-detected AS (SELECT han, CASE {region} END AS region, (CASE {confidence} END)::INT AS confidence FROM tallied)"""
+def detect_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detection of bytes: at most 4096 of them, cut back to whole characters; every seventh row isn't UTF-8."""
+    content = F.col("han").cast("binary")
+    broken = F.when(F.col("doc_id") % 7 == 3, F.concat(content, F.unhex(F.lit("FFFE")))).otherwise(content)
+    rows = documents(spark, sf_dir, mixed()).select("doc_id", broken.alias("content"))
+    rows = rows.select("doc_id", detection.detect_bytes("content", REGISTRY).alias("d"), F.octet_length(detection.sample_text("content").cast("binary")).alias("bytes"))
+    return rows.select("doc_id", "d.region", "d.confidence", "bytes")
+
+
+def _sample_sql() -> str:
+    cuts = ", ".join(f"CASE WHEN strlen(left(han, n + {k})) <= 4096 THEN left(han, n + {k}) END" for k in range(3, -1, -1))
+    return f"""WITH whole AS (SELECT doc_id AS id, {mixed_sql()} AS han FROM documents WHERE doc_id % 7 <> 3),
+sized AS (SELECT id, han, list_sum(list_transform(range(1, length(left(han, 4096)) + 1), lambda k: CASE WHEN strlen(left(left(han, 4096), k)) <= 4096 THEN 1 ELSE 0 END)) AS n FROM (
+  SELECT id, han FROM whole WHERE strlen(han) <= 0)),
+cut AS (SELECT id, unnest(string_split(left(han, 4096), '')) AS c, generate_subscripts(string_split(left(han, 4096), ''), 1) AS k FROM whole WHERE han <> ''),
+running AS (SELECT id, c, k, sum(strlen(c)) OVER (PARTITION BY id ORDER BY k) AS upto FROM cut),
+texts AS (SELECT w.id, coalesce(s.han, '') AS han FROM whole w LEFT JOIN (SELECT id, string_agg(c, '' ORDER BY k) AS han FROM running WHERE upto <= 4096 GROUP BY id) s USING (id)),
+{oracle.detect_ctes(REGISTRY)}
+SELECT doc_id, region, confidence, strlen(t.han)::INT AS bytes FROM documents d LEFT JOIN detected ON id = doc_id LEFT JOIN texts t ON t.id = doc_id"""
 
 
 def variant_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _seeded(spark, sf_dir).select("source", "lang", F.coalesce(detection.detect("han", REGISTRY)["region"], F.lit("unknown")).alias("region"))
+    rows = documents(spark, sf_dir, mixed()).select("source", "lang", F.coalesce(detection.detect("han", REGISTRY)["region"], F.lit("unknown")).alias("region"))
     return rows.groupBy("source", "lang", "region").agg(F.count("*").alias("n"))
 
 
 def region_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections as the file sink has them: unknown and 0 where nothing is detected."""
-    rows = _seeded(spark, sf_dir).select("doc_id", detection.detect("han", REGISTRY).alias("d"))
+    rows = documents(spark, sf_dir, mixed()).select("doc_id", detection.detect("han", REGISTRY).alias("d"))
     return rows.select(F.coalesce("d.region", F.lit("unknown")).alias("region"), F.coalesce("d.confidence", F.lit(0)).alias("confidence"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"))
 
 
 def auto_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The configs that each document would pass on its way to Simplified Chinese."""
-    rows = _seeded(spark, sf_dir).select("doc_id", detection.detect("han", REGISTRY)["region"].alias("region"))
+    rows = documents(spark, sf_dir, mixed()).select("doc_id", detection.detect("han", REGISTRY)["region"].alias("region"))
     chains = spark.createDataFrame([(r, "+".join(configs.route(r, "cn-s") or [])) for r in configs.REGIONS], "region string, chain string")
     return rows.join(F.broadcast(chains), "region", "left").select("doc_id", "region", F.coalesce("chain", F.lit("")).alias("chain"))
 
 
-def auto_convert_permissive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detected and converted towards cn-t; rows without a way, or whose dictionaries are missing, stay."""
-    return _seeded(spark, sf_dir).select("doc_id", conversion.convert_auto("han", "cn-t", registry=REGISTRY, permissive=True).alias("converted"))
+#: Ways to Simplified Chinese, as the tests of the SQL know them.
+_WAYS = [("cn-s", ""), ("cn-t", "t2s"), ("cn-tw", "tw2sp"), ("cn-hk", "hk2sp"), ("jp-t", "t2s"), ("jp-n", "jp2t+t2s")]
+
 
+def _auto_query(target: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return documents(spark, sf_dir, mixed()).select("doc_id", conversion.convert_auto("han", target, registry=REGISTRY, permissive=True).alias("converted"))
 
-def _auto_sql() -> str:
-    plan = configs.resolve("jp2t", REGISTRY)
-    return f"""WITH RECURSIVE {_SEEDED}, {_match_sql([plan.chain[0].layers[0].values])}, {_detected_sql()},
-done AS (SELECT han, string_agg(out, '' ORDER BY pos) AS converted FROM walk GROUP BY han)
-SELECT doc_id, CASE WHEN region = 'jp-n' THEN coalesce(converted, '') ELSE han END AS converted FROM seeded JOIN detected USING (han) LEFT JOIN done USING (han)"""
+    return run
 
 
-def _lines_sql(*names: str) -> str:
-    registry = REGISTRY
-    return f"lines(dict, ord, line) AS (VALUES {_values((n, k, x) for n in names for k, x in enumerate(registry.lines(n), 1))})"
+def _renamed(ctes: str, prefix_: str, source: str) -> str:
+    """The common table expressions of one conversion under names of their own, over another table of texts."""
+    names = [*re.findall(r"(?m)^(\w+)(?:\([^)]*\))? AS \(", ctes), "lines", "each_entry", "entries", "known"]
+    out = re.sub(r"\b(" + "|".join(sorted(set(names), key=len, reverse=True)) + r")\b(?!')", rf"{prefix_}_\1", ctes)
+    return re.sub(r"\btexts\b", source, out)
+
+
+def _auto_sql(target: str, steps: list[tuple[str, str, str]]) -> str:
+    """steps: (name, regions as an SQL list or a step before, config)."""
+    parts, last = [], {}
+    for name, regions, config in steps:
+        _, _, _, segmentation, chain = configs.CONFIGS[config]
+        if regions.startswith("'"):
+            parts.append(f"{name}_texts AS (SELECT texts.id, han FROM texts JOIN detected USING (id) WHERE region IN ({regions}))")
+            last |= {r.strip("' "): name for r in regions.split(",")}
+        else:
+            parts.append(f"{name}_texts AS (SELECT id, coalesce(converted, '') AS han FROM {regions}_texts LEFT JOIN {regions}_done USING (id))")
+            last = {r: name if n == regions else n for r, n in last.items()}
+        parts.append(_renamed(oracle.convert_ctes(REGISTRY, segmentation, chain), name, f"{name}_texts"))
+    ends = " UNION ALL ".join(f"SELECT id, coalesce(converted, '') AS converted FROM {n}_texts LEFT JOIN {n}_done USING (id)" for n in dict.fromkeys(last.values()))
+    return f"""WITH texts AS (SELECT doc_id AS id, {mixed_sql()} AS han FROM documents),
+{oracle.detect_ctes(REGISTRY)},
+{", ".join(parts)},
+ended AS ({ends})
+SELECT texts.id AS doc_id, coalesce(converted, han) AS converted FROM texts LEFT JOIN ended USING (id)"""
+
+
+#: A model for single characters, and texts with characters of several candidates.
+ARPA = "\\data\\\n\\1-grams:\n-1.0\t出\n-1.2\t齣\n\\2-grams:\n-0.5\t一 齣\n-0.9\t一 出\n-0.3\t演 出\n-0.7\t<s> 出\n-0.2\t與 辯\n-0.4\t與 瓣\n-0.3\t與 臺\n-0.1\t國 臺\n-0.3\t會 麵\n-0.2\tab 麵\n-0.2\t, 菸\n-0.1\t的 菸\n-0.6\tの 臺\n-0.2\t臺 麵\n\\end\\\n"
+#: Letters of the documents as characters that have candidates, or come before them.
+_NGRAM = ("etaoinshrdluTAOI", "弁麺台煙与会国の東演，床裏ab出")
+_NGRAM_DICT = ["弁\t辨 辯 瓣", "麺\t麵 麪", "台\t臺 颱 檯 台", "煙\t煙 菸", "与\t與", "会\t會", "国\t國", "床\t床 牀", "国弁\t國辯 國辨", "出\t齣 出"]
+
+
+def ngram_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stage in which a bigram model picks among candidates by the character that was put out before."""
+    registry = Registry(extra={"own": _NGRAM_DICT})
+    source = '{"segmentation": {"dict": {"type": "inline", "entries": {"国弁": "國辯"}}}, "conversion_chain": [{"dict": {"type": "text", "file": "own.txt"}}]}'
+    plan = configs.resolve_json(source, registry, model=arpa.parse(ARPA), mode="bigram")
+    rows = documents(spark, sf_dir, F.substring(F.translate(F.coalesce("text", F.lit("")), *_NGRAM), 1, 1 << 30))
+    return rows.select("doc_id", conversion.convert_with("han", plan).alias("converted"))
+
+
+def _ngram_convert_sql() -> str:
+    """A pick depends on what was put out before, so picks in a row are decided one after the other; all else at once."""
+    rows = [(n, line) for n, line in enumerate(ARPA.split("\n"))]
+    suffix = "CASE WHEN n = 1 THEN '' WHEN strlen(right(tail, 3)) <= 3 THEN right(tail, 3) WHEN strlen(right(tail, 2)) <= 3 THEN right(tail, 2) WHEN strlen(right(tail, 1)) <= 3 THEN right(tail, 1) ELSE '<s>' END"
+    return f"""WITH RECURSIVE texts AS (SELECT doc_id AS id, translate(coalesce(text, ''), {quoted(_NGRAM[0])}, {quoted(_NGRAM[1])}) AS han FROM documents),
+lines(dict, ord, line) AS (VALUES {oracle.values(("own", k, x) for k, x in enumerate(_NGRAM_DICT, 1))}), {oracle.ENTRIES},
+arpa(n, line) AS (VALUES {oracle.values(rows)}),
+grams AS (SELECT w[2] AS prev, w[3] AS cand, w[1]::DOUBLE AS lp FROM (SELECT string_split(replace(line, chr(9), ' '), ' ') AS w FROM arpa
+  WHERE n > (SELECT n FROM arpa WHERE line = '\\2-grams:') AND n < (SELECT n FROM arpa WHERE line = '\\end\\'))),
+tok AS ({oracle.cut_sql('texts', 'han', "'国弁|(?s:.)'")}),
+firsts AS (SELECT key, f, min(p) AS p FROM (SELECT key, left(unnest(vs), 1) AS f, generate_subscripts(vs, 1) AS p FROM entries) GROUP BY key, f),
+four AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY p) AS k FROM firsts) WHERE k <= 4),
+ctx AS (SELECT DISTINCT prev FROM grams),
+scored AS (SELECT four.key, ctx.prev, four.f, four.k, coalesce(max(g.lp), -1e300) AS lp FROM four CROSS JOIN ctx LEFT JOIN grams g ON g.prev = ctx.prev AND g.cand = four.f GROUP BY ALL),
+choice AS (SELECT s.key, s.prev, arg_max(s.f, (s.lp, -s.k)) AS f FROM scored s GROUP BY s.key, s.prev),
+outs AS (SELECT c.key, c.prev, list_filter(e.vs, lambda v: starts_with(v, c.f))[1] AS chosen FROM choice c JOIN entries e USING (key)),
+piece AS (SELECT id, n, tok, coalesce(vs[1], tok) AS plain, coalesce(len(vs), 0) > 1 AS many FROM tok LEFT JOIN entries ON tok = key),
+placed AS (SELECT *, lag(many, 1, false) OVER w AS after_many, coalesce(lag(plain, 3) OVER w, '') || coalesce(lag(plain, 2) OVER w, '') || coalesce(lag(plain, 1) OVER w, '') AS tail FROM piece WINDOW w AS (PARTITION BY id ORDER BY n)),
+walk(id, n, chosen) AS (
+  SELECT t.id, t.n, coalesce(o.chosen, plain) FROM (SELECT *, {suffix} AS before FROM placed WHERE many AND NOT after_many) t LEFT JOIN outs o ON o.key = tok AND o.prev = before
+  UNION ALL
+  SELECT t.id, t.n, coalesce(o.chosen, plain) FROM walk w JOIN placed t ON t.id = w.id AND t.n = w.n + 1 AND t.many LEFT JOIN outs o ON o.key = t.tok AND o.prev = right(w.chosen, 1))
+SELECT texts.id AS doc_id, coalesce(string_agg(coalesce(chosen, plain), '' ORDER BY piece.n), '') AS converted FROM texts LEFT JOIN piece USING (id) LEFT JOIN walk ON walk.id = piece.id AND walk.n = piece.n GROUP BY texts.id"""
 
 
-_ENTRIES = """entries AS (SELECT dict, max(ord) AS ord, k AS key, arg_max(vs, ord) AS vs FROM (
-  SELECT dict, ord, split_part(line, chr(9), 1) AS k, string_split(trim(split_part(line, chr(9), 2)), ' ') AS vs FROM lines
-  WHERE NOT starts_with(line, '#') AND contains(line, chr(9))) GROUP BY dict, k)"""
 _ALL = REGISTRY.names()
 
 
@@ -195,17 +216,13 @@ def dictionary_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _reverse_query(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines = REGISTRY.table(spark, name)
-        return etl.reverse(etl.parse(lines), etl.preferences(lines)).select("key", F.array_join("values", " ").alias("vals"))
+        return etl.reverse(etl.entries(lines), etl.preferences(lines)).select("key", F.array_join("values", " ").alias("vals"))
 
     return run
 
 
 def _reverse_sql(name: str) -> str:
-    return f"""WITH {_lines_sql(name)}, {_ENTRIES},
-each AS (SELECT ord, key, unnest(vs) AS value, generate_subscripts(vs, 1) AS pos FROM entries),
-prefer AS (SELECT split_part(trim(split_part(line, '@reverse-prefer:', 2)), ' ', 1) AS value, split_part(trim(split_part(line, '@reverse-prefer:', 2)), ' ', -1) AS first FROM lines WHERE starts_with(line, '#') AND contains(line, '@reverse-prefer:'))
-SELECT e.value AS key, string_agg(e.key, ' ' ORDER BY CASE WHEN e.key = p.first THEN 0 ELSE 1 END, e.ord, e.pos) AS vals
-FROM each e LEFT JOIN prefer p ON p.value = e.value GROUP BY e.value"""
+    return f"WITH {oracle.lines_sql(REGISTRY, name)}, {oracle.ENTRIES} SELECT k AS key, array_to_string(vs, ' ') AS vals FROM ({oracle.reversed_sql(name)}) r(dict, ord, k, vs)"
 
 
 _GROUP = ["TWPhrasesRev", "TWVariantsRevPhrases", "TWVariants"]
@@ -218,50 +235,130 @@ def merged_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _merged_sql() -> str:
     rank = "CASE dict " + " ".join(f"WHEN '{n}' THEN {k}" for k, n in enumerate(_GROUP)) + " END"
-    return f"""WITH {_lines_sql(*_GROUP)}, {_ENTRIES}, ranked AS (SELECT *, ({rank}, ord) AS place FROM entries)
+    return f"""WITH {oracle.lines_sql(REGISTRY, *_GROUP)}, {oracle.ENTRIES}, ranked AS (SELECT *, ({rank}, ord) AS place FROM entries)
 SELECT key, arg_max(vs[1], place) AS value, array_to_string(coalesce(arg_max(vs, place) FILTER (len(vs) > 1), arg_max(vs, place)), ' ') AS candidates, arg_max(dict, place) AS dict FROM ranked GROUP BY key"""
 
 
-_BASE = ["一出戏\t一齣戲", "一出\t一齣 一出", "出门\t出門"]
-
-
 def patch_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    registry = Registry(extra={"base": _BASE})
-    base, patch = etl.parse(registry.table(spark, "base")), etl.parse(registry.table(spark, "STPhrases.patch"))
+    """The patch over the phrases, as conversion uses them."""
+    base, patch = etl.parse(REGISTRY.table(spark, "STPhrases")), etl.parse(REGISTRY.table(spark, "STPhrases.patch"))
     return etl.overlay(base, patch).select("key", F.array_join("values", " ").alias("vals"))
 
 
 def _overlay_sql() -> str:
-    rows = [("base", k, x) for k, x in enumerate(_BASE, 1)] + [("patch", k, x) for k, x in enumerate(REGISTRY.lines("STPhrases.patch"), 1)]
-    return f"""WITH lines(dict, ord, line) AS (VALUES {_values(rows)}), {_ENTRIES}
-SELECT key, array_to_string(vs, ' ') AS vals FROM entries e WHERE dict = 'patch' OR key NOT IN (SELECT key FROM entries WHERE dict = 'patch')"""
+    return f"WITH {oracle.dictionaries_sql(REGISTRY, ['STPhrases'])} SELECT key, array_to_string(vs, ' ') AS vals FROM known"
 
 
 def find_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return etl.find_targets(etl.parse(REGISTRY.table(spark)), "群").select("dict", "key", F.array_join("values", " ").alias("vals"))
 
 
+def sorted_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rank of every entry in its dictionary sorted by key."""
+    rows = etl.sort_entries(etl.parse(REGISTRY.table(spark)))
+    return rows.select("dict", "key", etl.rank().alias("rank"))
+
+
 def project_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hong Kong and Taiwan phrase keys by the form that the variant table gives them."""
-    table = configs.resolve("t2tw", REGISTRY).chain[0].layers[0].values
-    single = {k: v for k, v in table.items() if len(k) == len(v) == 1}
+    """Hong Kong and Taiwan phrase keys by their Simplified form, under strict priority and without segments."""
     rows = etl.parse(REGISTRY.table(spark, "HKPhrases", "TWPhrases")).select("key").distinct()
-    return etl.project_phrases(rows, lambda c: F.translate(c, "".join(single), "".join(single.values())))
+    plan = configs.strict_simplification(REGISTRY)
+    return etl.project_phrases(rows, lambda c: conversion.convert_with(c, plan))
 
 
 def _project_sql() -> str:
-    single = {k: v for k, v in configs.resolve("t2tw", REGISTRY).chain[0].layers[0].values.items() if len(k) == len(v) == 1}
-    return f"""WITH {_lines_sql("HKPhrases", "TWPhrases")}, {_ENTRIES}, k AS (SELECT DISTINCT key FROM entries)
-SELECT translate(key, '{"".join(single)}', '{"".join(single.values())}') AS key, min(key) AS value FROM k WHERE length(key) >= 3 GROUP BY 1"""
+    return f"WITH {oracle.dictionaries_sql(REGISTRY, ['STPhrases_GeneratedFromRegionalPhrases'])} SELECT key, vs[1] AS value FROM known"
+
+
+_TOFU = ["# plain", "一\t一", "# @tofu-risk: U+2B8B8", "爲\t爲 𫢸", "#x", "乙\t乙 二", "# @tofu-risk:", "喫\t吃 𬜯", "丙\t丙", "# @tofu-risk: two", "說\t說  𬤇\t説"]
+
+
+def tofu_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries below '# @tofu-risk:' lines, without the values that are the key."""
+    lines = Registry(extra={"tofu": _TOFU}).table(spark, "tofu")
+    return etl.tofu_risk(lines).select("key", F.array_join("values", " ").alias("vals"))
+
+
+def _tofu_entries_sql() -> str:
+    return f"""WITH lines(ord, line) AS (VALUES {oracle.values(enumerate(_TOFU))}), below AS (SELECT lead(line) OVER (ORDER BY ord) AS x, line FROM lines),
+cut AS (SELECT split_part(x, chr(9), 1) AS key, list_filter(regexp_split_to_array(x[strpos(x, chr(9)) + 1:], '\\s+'), lambda v: v <> '') AS vs FROM below WHERE starts_with(line, '# @tofu-risk:'))
+SELECT key, array_to_string(CASE WHEN vs[1] = key THEN vs[2:] ELSE vs END, ' ') AS vals FROM cut"""
 
 
 def config_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(n, d, s, t, "+".join(seg or []), " > ".join("+".join(g) for g in chain)) for n, (d, s, t, seg, chain) in configs.CONFIGS.items()]
-    return spark.createDataFrame(rows, "name string, description string, source string, target string, segmentation string, chain string")
+    rows = [(n, s, t, "+".join(seg or []), " > ".join("+".join(g) for g in chain)) for n, (_, s, t, seg, chain) in configs.CONFIGS.items()]
+    return spark.createDataFrame(rows, "name string, source string, target string, segmentation string, chain string")
+
+
+#: The 16 pipelines once more, in short: name, from, to, segmentation, stages.
+_CONFIG_TABLE = """
+s2t cn-s cn-t G+P G+P+C
+t2s cn-t cn-s T T+X+K
+s2tw cn-s cn-tw G+P G+P+C>V+W
+s2twp cn-s cn-tw G+P G+P+C>I+V+W
+s2hk cn-s cn-hk G+P G+P+C>H+J
+s2hkp cn-s cn-hk G+P G+P+C>L+H+J
+tw2s cn-tw cn-s T Q+U>T+X+K
+tw2sp cn-tw cn-s T M+Q+U>T+X+K
+hk2s cn-hk cn-s T R+Y>T+X+K
+hk2sp cn-hk cn-s T N+R+Y>T+X+K
+t2tw cn-t cn-tw V+W V+W
+tw2t cn-tw cn-t Q Q+U
+t2hk cn-t cn-hk H+J H+J
+hk2t cn-hk cn-t R R+Y
+jp2t jp-n cn-t D D+E
+t2jp cn-t jp-n - F
+"""
+_SHORT = {
+    "G": "STPhrases_GeneratedFromRegionalPhrases", "P": "STPhrases", "C": "STCharacters", "T": "TSPhrases", "X": "TSCharactersExt", "K": "TSCharacters", "V": "TWVariantsPhrases", "W": "TWVariants",
+    "I": "TWPhrases", "H": "HKVariantsPhrases", "J": "HKVariants", "L": "HKPhrases", "Q": "TWVariantsRevPhrases", "U": "TWVariantsRev", "M": "TWPhrasesRev", "R": "HKVariantsRevPhrases", "Y": "HKVariantsRev",
+    "N": "HKPhrasesRev", "D": "JPShinjitaiPhrases", "E": "JPShinjitaiCharacters", "F": "JPShinjitaiCharactersRev",
+}
+
+
+def _config_sql() -> str:
+    whole = lambda x: "" if x == "-" else " > ".join("+".join(_SHORT[d] for d in g.split("+")) for g in x.split(">"))
+    rows = [(n, s, t, whole(seg), whole(chain)) for n, s, t, seg, chain in (line.split() for line in _CONFIG_TABLE.strip().split("\n"))]
+    return f"SELECT * FROM (VALUES {oracle.values(rows)}) c(name, source, target, segmentation, chain)"
 
 
 def region_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(s, t, c) for (s, t), c in configs.PAIRS.items()], "source string, target string, config string")
+    """Every pair of regions with its config, or null where there is no conversion."""
+    regions = spark.createDataFrame([(r,) for r in configs.REGIONS], "r string")
+    pairs = spark.createDataFrame([(s, t, c) for (s, t), c in configs.PAIRS.items()], "source string, target string, config string")
+    both = regions.toDF("source").join(F.broadcast(regions.toDF("target")))
+    return both.join(F.broadcast(pairs), ["source", "target"], "left")
+
+
+_PAIRS_SQL = """WITH r(r) AS (VALUES ('cn-s'), ('cn-t'), ('cn-tw'), ('cn-hk'), ('jp-t'), ('jp-n')),
+one(place, letter) AS (VALUES ('cn-s', 's'), ('cn-t', 't'), ('cn-tw', 'tw'), ('cn-hk', 'hk'), ('jp-n', 'jp'), ('jp-t', 't'))
+SELECT a.r AS source, b.r AS target, CASE
+  WHEN a.r = b.r THEN NULL
+  WHEN starts_with(a.r, 'jp') AND starts_with(b.r, 'jp') THEN x.letter || '2' || y.letter
+  WHEN a.r IN ('cn-t', 'jp-n') AND b.r IN ('cn-t', 'jp-n') THEN x.letter || '2' || y.letter
+  WHEN starts_with(a.r, 'jp') OR starts_with(b.r, 'jp') THEN NULL
+  WHEN a.r = 'cn-s' AND b.r <> 'cn-t' OR b.r = 'cn-s' AND a.r <> 'cn-t' THEN x.letter || '2' || y.letter || 'p'
+  WHEN 'cn-t' IN (a.r, b.r) THEN x.letter || '2' || y.letter END AS config
+FROM r a, r b, one x, one y WHERE x.place = a.r AND y.place = b.r"""
+
+
+def config_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A config from JSON: inline segmentation, a group of a file and an inline dictionary, and a second stage."""
+    plan = configs.resolve_json(JSON_CONFIG, REGISTRY)
+    return documents(spark, sf_dir, han("traditional")).select("doc_id", conversion.convert_with("han", plan).alias("converted"))
+
+
+JSON_CONFIG = """{"name": "own", "segmentation": {"type": "mmseg", "dict": {"type": "inline", "entries": {"軟體": "x", "純喫茶": "y", "線上": "z"}}},
+"conversion_chain": [{"dict": {"type": "group", "dicts": [{"type": "inline", "entries": {"純喫": "單喫 z", "軟體": ["軟件", "w"]}}, {"type": "ocd2", "file": "TWVariants.ocd2"}]}},
+{"dict": {"type": "text", "file": "HKPhrasesRev.txt"}}]}"""
+
+
+def _json_sql() -> str:
+    registry = Registry(extra={"one": ["軟體\tx", "純喫茶\ty", "線上\tz"], "TWVariants": REGISTRY.lines("TWVariants"), "HKPhrasesRev": REGISTRY.lines("HKPhrasesRev")})
+    # A group with an inline child isn't merged: that child's keys go before the file's, as custom words do.
+    return f"""WITH texts AS (SELECT doc_id AS id, {han_sql('traditional')} AS han FROM documents),
+{oracle.convert_ctes(registry, ["one"], [["TWVariants"], ["HKPhrasesRev"]], first=[("純喫", "單喫"), ("軟體", "軟件")])}
+SELECT id AS doc_id, coalesce(converted, '') AS converted FROM texts LEFT JOIN done USING (id)"""
 
 
 _CASES = [(0, "一", ["出", "齣"]), (1, "演", ["齣", "出"]), (2, "", ["齣", "出"]), (3, "x", ["齣", "出"]), (4, "一", ["出"])]
@@ -274,53 +371,111 @@ def ngram_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ngram_sql() -> str:
     cases = [(n, p or "<s>", c, k) for n, p, cs in _CASES for k, c in enumerate(cs)]
-    grams = [(*w, p) for w, p in arpa.parse(ARPA).orders[2].items()]
-    return f"""SELECT c.id, arg_max(cand, (coalesce(lp, -1e300), -pos)) AS pick FROM (VALUES {_values(cases)}) c(id, prev, cand, pos)
-LEFT JOIN (VALUES {_values(grams)}) g(a, b, lp) ON g.a = c.prev AND g.b = c.cand GROUP BY c.id"""
+    rows = list(enumerate(ARPA.split("\n")))
+    return f"""WITH arpa(n, line) AS (VALUES {oracle.values(rows)}),
+grams AS (SELECT w[2] AS a, w[3] AS b, w[1]::DOUBLE AS lp FROM (SELECT string_split(replace(line, chr(9), ' '), ' ') AS w FROM arpa WHERE n > (SELECT n FROM arpa WHERE line = '\\2-grams:') AND n < (SELECT n FROM arpa WHERE line = '\\end\\')))
+SELECT c.id, arg_max(cand, (coalesce(lp, -1e300), -pos)) AS pick FROM (VALUES {oracle.values(cases)}) c(id, prev, cand, pos) LEFT JOIN grams g ON g.a = c.prev AND g.b = c.cand GROUP BY c.id"""
+
+
+def arpa_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model's entries as a table."""
+    return arpa.table(spark, arpa.parse(ARPA)).select("order", F.array_join("w", " ").alias("words"), "logprob")
+
+
+def _arpa_sql() -> str:
+    rows = list(enumerate(ARPA.split("\n")))
+    return f"""WITH arpa(n, line) AS (VALUES {oracle.values(rows)}),
+placed AS (SELECT n, line, last_value(CASE WHEN starts_with(line, '\\') THEN line END IGNORE NULLS) OVER (ORDER BY n) AS section FROM arpa)
+SELECT regexp_extract(section, '^.(\\d)-grams', 1)::INT AS "order", split_part(line, chr(9), 2) AS words, split_part(line, chr(9), 1)::DOUBLE AS logprob FROM placed WHERE section LIKE '%-grams:' AND contains(line, chr(9))"""
+
+
+_PARITY = ("t2tw", "t2hk", "jp2t", "t2jp")
 
 
 def parity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The Arrow strategy held against the one that stays in the JVM, by config."""
-    rows, report = _seeded(spark, sf_dir), None
-    for config in ("t2tw", "t2hk", "jp2t", "t2jp"):
-        sides = [rows.select(F.lit(config).alias("config"), "doc_id", conversion.convert("han", config, strategy=s, registry=REGISTRY).alias("converted")) for s in ("arrow", "regex")]
-        part = tools.parity(*sides, ["config", "doc_id"])
+    """Arrow batches held against the form that stays in the JVM, by config; one of the configs has other dictionaries on one side."""
+    report = None
+    other = Registry(extra=REGISTRY.extra | {"HKVariants": ["爲\t為", "裏\t裡"]}, stand_ins=True)
+    for config in _PARITY:
+        rows = documents(spark, sf_dir, han(_SCRIPT[config]))
+        sides = [
+            rows.select(F.lit(config).alias("config"), "doc_id", conversion.convert("han", config, strategy=s, registry=r).alias("converted"))
+            for s, r in (("arrow", REGISTRY), ("regex", other if config == "t2hk" else REGISTRY))
+        ]
+        part = tools.parity(sides[0], sides[1].where("doc_id % 10 <> 9"), ["config", "doc_id"])
         report = part if report is None else report.unionByName(part)
     return report
 
 
-_PARITY_SQL = "SELECT config, 'pass' AS status, count(*) AS n FROM documents, (VALUES ('t2tw'), ('t2hk'), ('jp2t'), ('t2jp')) c(config) GROUP BY config"
+def _parity_sql() -> str:
+    mine = oracle.convert_sql(REGISTRY, "t2hk", han_sql("traditional"))
+    other = oracle.convert_sql(Registry(extra=REGISTRY.extra | {"HKVariants": ["爲\t為", "裏\t裡"]}, stand_ins=True), "t2hk", han_sql("traditional"))
+    return f"""SELECT 't2hk' AS config, CASE WHEN doc_id % 10 = 9 THEN 'unsupported' WHEN a.converted = b.converted THEN 'pass' ELSE 'mismatch' END AS status, count(*) AS n
+FROM ({mine}) a JOIN ({other}) b USING (doc_id) GROUP BY ALL UNION ALL
+SELECT config, CASE WHEN doc_id % 10 = 9 THEN 'unsupported' ELSE 'pass' END AS status, count(*) AS n FROM documents, (VALUES ('t2tw'), ('jp2t'), ('t2jp')) c(config) GROUP BY ALL"""
 
 
 def cjk_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far conversion to Japanese forms leaves the Han characters as they are."""
-    rows = _seeded(spark, sf_dir).withColumn("jp", conversion.convert("han", "t2jp", registry=REGISTRY))
+    """How far conversion to Japanese forms leaves the Han characters, and their bytes, as they are."""
+    rows = documents(spark, sf_dir, han("traditional")).withColumn("jp", conversion.convert("han", "t2jp", registry=REGISTRY))
     lost = F.array_join(tools.lost_cjk(F.col("han"), F.col("jp")), "")
-    return rows.select("doc_id", F.round(tools.cjk_agreement(F.col("han"), F.col("jp")), 6).alias("agreement"), lost.alias("lost"))
+    agreement, of_bytes = tools.cjk_agreement(F.col("han"), F.col("jp")), tools.byte_agreement(F.col("han"), F.col("jp"))
+    return rows.select("doc_id", F.round(agreement, 6).alias("agreement"), F.round(of_bytes, 6).alias("of_bytes"), lost.alias("lost"))
 
 
 def _agreement_sql() -> str:
-    table = configs.resolve("t2jp", REGISTRY).translation()
     cjk = lambda t: f"regexp_replace({t}, '[^一-鿿]', '', 'g')"
-    return f"""WITH {_SEEDED}, both_ AS (SELECT han, {cjk("han")} AS a, {cjk(f"translate(han, '{''.join(table)}', '{''.join(table.values())}')")} AS b FROM texts),
-pos AS (SELECT han, a, b, unnest(range(1, length(a) + 1)) AS k FROM both_),
-agg AS (SELECT han, sum(CASE WHEN substr(a, k, 1) = substr(b, k, 1) THEN 1 ELSE 0 END)::DOUBLE / max(greatest(length(a), length(b))) AS agreement,
-  coalesce(string_agg(DISTINCT CASE WHEN contains(b, substr(a, k, 1)) THEN NULL ELSE substr(a, k, 1) END, '' ORDER BY CASE WHEN contains(b, substr(a, k, 1)) THEN NULL ELSE substr(a, k, 1) END), '') AS lost FROM pos GROUP BY han)
-SELECT doc_id, round(coalesce(agreement, 1.0), 6) AS agreement, coalesce(lost, '') AS lost FROM seeded LEFT JOIN agg USING (han)"""
+    return f"""WITH converted AS ({oracle.convert_sql(REGISTRY, "t2jp", han_sql("traditional"))}),
+both_ AS (SELECT doc_id, {cjk(han_sql("traditional"))} AS a, {cjk("converted")} AS b FROM documents JOIN converted USING (doc_id)),
+pos AS (SELECT doc_id, unnest(string_split(a, '')) AS x, unnest(string_split(b, '')) AS y FROM both_ WHERE a <> '' OR b <> ''),
+same AS (SELECT doc_id, sum(CASE WHEN x = y THEN 1 ELSE 0 END)::DOUBLE / count(*) AS agreement,
+  sum((CASE WHEN substr(hex(x), 1, 2) = substr(hex(y), 1, 2) THEN 1 ELSE 0 END) + (CASE WHEN substr(hex(x), 3, 2) = substr(hex(y), 3, 2) THEN 1 ELSE 0 END) + (CASE WHEN substr(hex(x), 5, 2) = substr(hex(y), 5, 2) THEN 1 ELSE 0 END))::DOUBLE / (3 * count(*)) AS of_bytes FROM pos GROUP BY doc_id),
+gone AS (SELECT doc_id, string_agg(DISTINCT x, '' ORDER BY x) AS lost FROM (SELECT DISTINCT doc_id, x FROM pos) p WHERE NOT EXISTS (SELECT 1 FROM both_ WHERE both_.doc_id = p.doc_id AND contains(b, x)) GROUP BY doc_id)
+SELECT doc_id, round(coalesce(agreement, 1.0), 6) AS agreement, round(coalesce(of_bytes, 1.0), 6) AS of_bytes, coalesce(lost, '') AS lost FROM documents LEFT JOIN same USING (doc_id) LEFT JOIN gone USING (doc_id)"""
 
 
 def strided_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.strided(etl.parse(REGISTRY.table(spark)), 7, 20).select("dict", "ord", "key")
 
 
-_STRIDED_SQL = f"""WITH {_lines_sql(*_ALL)}, {_ENTRIES}, n AS (SELECT *, row_number() OVER (PARTITION BY dict ORDER BY ord) AS rn FROM entries)
-SELECT dict, ord, key FROM n WHERE (rn - 1) % 7 = 0 AND (rn - 1) / 7.0 < 20"""
-
-
 def repeated_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.repeated(spark, SEEDS, 50)
 
 
+def sized_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text repeated to 1,000 bytes, cut back to whole characters."""
+    rows = documents(spark, sf_dir, han("traditional"))
+    return rows.select("doc_id", tools.of_bytes_column(F.col("han"), 1000).alias("sized"))
+
+
+def _sized_sql() -> str:
+    return f"""WITH texts AS (SELECT doc_id, {han_sql('traditional')} AS han FROM documents),
+long AS (SELECT doc_id, left(repeat(han, (1000 // greatest(strlen(han), 1) + 1)::INT), 1000) AS x FROM texts),
+chars AS (SELECT doc_id, unnest(string_split(x, '')) AS c, generate_subscripts(string_split(x, ''), 1) AS k FROM long WHERE x <> ''),
+upto AS (SELECT doc_id, c, k, sum(strlen(c)) OVER (PARTITION BY doc_id ORDER BY k) AS n FROM chars)
+SELECT doc_id, coalesce(string_agg(c, '' ORDER BY k) FILTER (n <= 1000), '') AS sized FROM texts LEFT JOIN upto USING (doc_id) GROUP BY doc_id"""
+
+
+def throughput_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean, population deviation and best rate, of the events' values taken as seconds a megabyte."""
+    runs = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("name"), F.lit(1.0).alias("mb"), (F.abs("value") + 1).alias("seconds"))
+    out = tools.throughput(runs.where("seconds is not null"))
+    return out.select("name", *(F.round(c, 9).alias(c) for c in ("mean", "deviation", "best")))
+
+
+_THROUGHPUT_SQL = """WITH r AS (SELECT event_type AS name, 1.0 / (abs(value) + 1) AS rate FROM events WHERE value IS NOT NULL)
+SELECT name, round(avg(rate), 9) AS mean, round(stddev_pop(rate), 9) AS deviation, round(max(rate), 9) AS best FROM r GROUP BY name"""
+
+
+def case_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the documents' lengths of text: in which languages all of a source's texts pass a bound."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("case"), F.col("lang").alias("mode"), (F.length("text") > 30).alias("passed"))
+    return tools.pass_matrix(rows, ["de", "en", "es", "fr"])
+
+
+_MATRIX_SQL = "SELECT source AS case, " + ", ".join(f"bool_and(length(text) > 30) FILTER (lang = '{x}') AS {x}" for x in ("de", "en", "es", "fr")) + " FROM documents GROUP BY source"
+
+
 def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return pages.select("page_id", tools.markdown("html").alias("markdown"))
@@ -329,50 +484,72 @@ def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 def variant_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detected variants of the events' texts by hour (the batch twin of the streaming count)."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts")
-    text = F.element_at(F.array(*map(F.lit, SEEDS)), (F.col("event_id") % len(SEEDS)).cast("int") + 1)
-    rows = events.select(F.date_trunc("hour", "ts").alias("hour"), F.coalesce(detection.detect(text, REGISTRY)["region"], F.lit("unknown")).alias("region"))
+    rows = events.select(F.date_trunc("hour", "ts").alias("hour"), F.coalesce(detection.detect(seed("event_id"), REGISTRY)["region"], F.lit("unknown")).alias("region"))
     return rows.groupBy("hour", "region").agg(F.count("*").alias("n"))
 
 
 def _windows_sql() -> str:
-    return f"""WITH said AS (SELECT date_trunc('hour', ts) AS hour, list_extract({_LIST}, (event_id % {len(SEEDS)})::INT + 1) AS han FROM events), texts AS (SELECT DISTINCT han FROM said), {_detected_sql()}
-SELECT hour::TIMESTAMP AS hour, coalesce(region, 'unknown') AS region, count(*) AS n FROM said JOIN detected USING (han) GROUP BY ALL"""
+    return f"""WITH texts AS (SELECT k AS id, {seed_sql('k')} AS han FROM range({len(SEEDS)}) r(k)), {oracle.detect_ctes(REGISTRY)}
+SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, coalesce(region, 'unknown') AS region, count(*) AS n FROM events JOIN detected ON id = event_id % {len(SEEDS)} GROUP BY ALL"""
 
 
+_REVERSED = ("TWVariants", "HKVariants", "JPShinjitaiCharacters")
 QUERIES = {f"convert_{c}": _convert_query(c) for c in RESOLVABLE}
-QUERIES |= {"convert_custom": _convert_query("t2tw", CUSTOM)}
-QUERIES |= {f"reverse_{n}": _reverse_query(n) for n in ("TWVariants", "HKVariants", "JPShinjitaiCharacters")}
+QUERIES |= {"convert_custom": _convert_query("t2tw", CUSTOM), "convert_custom_t2s": _convert_query("t2s", CUSTOM), "auto_convert_cn_t": _auto_query("cn-t"), "auto_convert_cn_s": _auto_query("cn-s")}
+QUERIES |= {f"reverse_{n}": _reverse_query(n) for n in _REVERSED}
 QUERIES |= {
     f.__name__: f
     for f in (
-        segments_jp2t, character_tallies, detect_variant, variant_share, region_tsv, auto_route, auto_convert_permissive, dictionary_entries, dictionary_summary, merged_group,
-        patch_overlay, find_targets, project_phrases, config_list, region_pairs, ngram_pick, parity_report, cjk_agreement, strided_keys, repeated_corpus, page_markdown, variant_windows,
+        segments_jp2t, segments_s2t, prefix_match, character_tallies, detect_variant, detect_sample, variant_share, region_tsv, auto_route, ngram_convert, dictionary_entries, dictionary_summary,
+        merged_group, patch_overlay, find_targets, sorted_entries, project_phrases, tofu_entries, config_list, config_json, region_pairs, ngram_pick, arpa_entries, parity_report, cjk_agreement,
+        strided_keys, repeated_corpus, sized_corpus, throughput_statistics, case_matrix, page_markdown, variant_windows,
     )
 }
 
-ORACLE_SQL = {f"convert_{c}": _convert_sql(c) for c in RESOLVABLE}
-ORACLE_SQL |= {f"reverse_{n}": _reverse_sql(n) for n in ("TWVariants", "HKVariants", "JPShinjitaiCharacters")}
-ORACLE_SQL |= {
-    "convert_custom": _convert_sql("t2tw", CUSTOM),
-    "segments_jp2t": _segments_sql("jp2t"),
-    "character_tallies": f"WITH {_SEEDED} SELECT doc_id, {', '.join(f'({x})::INT AS {k}' for k, x in _tally_sql('han').items())} FROM seeded",
-    "detect_variant": f"WITH {_SEEDED}, {_detected_sql()} SELECT doc_id, region, confidence FROM seeded JOIN detected USING (han)",
-    "variant_share": f"WITH {_SEEDED}, {_detected_sql()} SELECT source, lang, coalesce(region, 'unknown') AS region, count(*) AS n FROM seeded JOIN detected USING (han) GROUP BY ALL",
-    "region_tsv": f"WITH {_SEEDED}, {_detected_sql()} SELECT coalesce(region, 'unknown') AS region, coalesce(confidence, 0) AS confidence, 'doc/' || doc_id AS path FROM seeded JOIN detected USING (han)",
-    "auto_route": f"WITH {_SEEDED}, {_detected_sql()} SELECT doc_id, region, coalesce(chain, '') AS chain FROM seeded JOIN detected USING (han) LEFT JOIN (VALUES {_values((r, '+'.join(configs.route(r, 'cn-s') or [])) for r in configs.REGIONS)}) c(region, chain) USING (region)",
-    "auto_convert_permissive": _auto_sql(),
-    "dictionary_entries": f"WITH {_lines_sql(*_ALL)}, {_ENTRIES} SELECT dict, ord, key, array_to_string(vs, ' ') AS vals FROM entries",
-    "dictionary_summary": f"WITH {_lines_sql(*_ALL)}, {_ENTRIES} SELECT dict, count(*) AS entries, count(*) FILTER (len(vs) > 1) AS several, count(*) FILTER (length(key) = 1) AS single, max(length(key))::INT AS longest FROM entries GROUP BY dict",
-    "merged_group": _merged_sql(),
-    "patch_overlay": _overlay_sql(),
-    "find_targets": f"WITH {_lines_sql(*_ALL)}, {_ENTRIES} SELECT dict, key, array_to_string(vs, ' ') AS vals FROM entries WHERE len(list_filter(vs, lambda x: contains(x, '群'))) > 0",
-    "project_phrases": _project_sql(),
-    "config_list": f"SELECT * FROM (VALUES {_values((n, d, s, t, '+'.join(seg or []), ' > '.join('+'.join(g) for g in chain)) for n, (d, s, t, seg, chain) in configs.CONFIGS.items())}) c(name, description, source, target, segmentation, chain)",
-    "region_pairs": f"SELECT * FROM (VALUES {_values((s, t, c) for (s, t), c in configs.PAIRS.items())}) c(source, target, config)",
-    "ngram_pick": _ngram_sql(),
-    "parity_report": _PARITY_SQL,
-    "cjk_agreement": _agreement_sql(),
-    "strided_keys": _STRIDED_SQL,
-    "repeated_corpus": f"SELECT n::INT AS n, k::INT AS k, sentence FROM range(50) r(n), (VALUES {_values(enumerate(SEEDS))}) s(k, sentence)",
-    "variant_windows": _windows_sql(),
-}
+
+def oracle_sql() -> dict[str, str]:
+    registry, every = REGISTRY, f"{oracle.lines_sql(REGISTRY, *_ALL)}, {oracle.ENTRIES}"
+    texts = f"WITH texts AS (SELECT doc_id AS id, lang, source, {mixed_sql()} AS han FROM documents)"
+    detected = f"{texts}, {oracle.detect_ctes(registry)}"
+    found = {f"convert_{c}": oracle.convert_sql(registry, c, han_sql(_SCRIPT[c])) for c in RESOLVABLE}
+    found |= {f"reverse_{n}": _reverse_sql(n) for n in _REVERSED}
+    return found | {
+        "convert_custom": oracle.convert_sql(registry, "t2tw", han_sql("traditional"), CUSTOM),
+        "convert_custom_t2s": oracle.convert_sql(registry, "t2s", han_sql("traditional"), CUSTOM),
+        "segments_jp2t": oracle.segments_sql(registry, "jp2t", han_sql("japanese")),
+        "segments_s2t": oracle.segments_sql(registry, "s2t", han_sql("simplified")),
+        "prefix_match": _prefix_sql(),
+        "character_tallies": f"{texts}, {oracle.tally_ctes(registry)} SELECT id AS doc_id, * EXCLUDE (id, han) FROM tallied",
+        "detect_variant": f"{detected} SELECT id AS doc_id, region, confidence FROM detected",
+        "detect_sample": _sample_sql(),
+        "variant_share": f"{detected} SELECT source, lang, coalesce(region, 'unknown') AS region, count(*) AS n FROM texts JOIN detected USING (id) GROUP BY ALL",
+        "region_tsv": f"{detected} SELECT coalesce(region, 'unknown') AS region, coalesce(confidence, 0) AS confidence, 'doc/' || id AS path FROM detected",
+        "auto_route": f"{detected} SELECT id AS doc_id, region, coalesce(chain, '') AS chain FROM detected LEFT JOIN (VALUES {oracle.values(_WAYS)}) c(region, chain) USING (region)",
+        "auto_convert_cn_t": _auto_sql("cn-t", [("a", "'cn-s'", "s2t"), ("b", "'jp-n'", "jp2t")]),
+        "auto_convert_cn_s": _auto_sql("cn-s", [("a", "'cn-t', 'jp-t'", "t2s"), ("b", "'cn-tw'", "tw2sp"), ("c", "'cn-hk'", "hk2sp"), ("d", "'jp-n'", "jp2t"), ("e", "d", "t2s")]),
+        "ngram_convert": _ngram_convert_sql(),
+        "dictionary_entries": f"WITH {every} SELECT dict, ord, key, array_to_string(vs, ' ') AS vals FROM entries",
+        "dictionary_summary": f"WITH {every} SELECT dict, count(*) AS entries, count(*) FILTER (len(vs) > 1) AS several, count(*) FILTER (length(key) = 1) AS single, max(length(key))::INT AS longest FROM entries GROUP BY dict",
+        "merged_group": _merged_sql(),
+        "patch_overlay": _overlay_sql(),
+        "find_targets": f"WITH {every} SELECT dict, key, array_to_string(vs, ' ') AS vals FROM entries WHERE len(list_filter(vs, lambda x: contains(x, '群'))) > 0",
+        "sorted_entries": f"WITH {every} SELECT dict, key, row_number() OVER (PARTITION BY dict ORDER BY key)::INT AS rank FROM entries",
+        "project_phrases": _project_sql(),
+        "tofu_entries": _tofu_entries_sql(),
+        "config_list": _config_sql(),
+        "config_json": _json_sql(),
+        "region_pairs": _PAIRS_SQL,
+        "ngram_pick": _ngram_sql(),
+        "arpa_entries": _arpa_sql(),
+        "parity_report": _parity_sql(),
+        "cjk_agreement": _agreement_sql(),
+        "strided_keys": f"WITH {every}, n AS (SELECT *, row_number() OVER (PARTITION BY dict ORDER BY ord) AS rn FROM entries) SELECT dict, ord, key FROM n WHERE (rn - 1) % 7 = 0 AND (rn - 1) / 7.0 < 20",
+        "repeated_corpus": f"SELECT n::INT AS n, k::INT AS k, sentence FROM range(50) r(n), (VALUES {oracle.values(enumerate(SEEDS))}) s(k, sentence)",
+        "sized_corpus": _sized_sql(),
+        "throughput_statistics": _THROUGHPUT_SQL,
+        "case_matrix": _MATRIX_SQL,
+        "variant_windows": _windows_sql(),
+    }
+
+
+ORACLE_SQL = oracle_sql()

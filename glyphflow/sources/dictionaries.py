@@ -2,8 +2,10 @@
 
 A dictionary comes from, in this order: a registered list of lines, a folder of
 ``<name>.txt`` files (a parameter; by default what the environment variable
-GLYPHFLOW_DICTIONARIES names), the small tables that the package states. A name
-found nowhere raises MissingDictionary; nothing is ever made up for it.
+GLYPHFLOW_DICTIONARIES names), the small tables that the package states, and,
+only if asked for, the tables that public transliteration rules give (see
+sources.cldr). A name found nowhere raises MissingDictionary; nothing is ever
+made up for it.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from glyphflow.sources import cldr
 from glyphflow.sources.fixed_tables import FIXED
 
 LINE_SCHEMA = "dict string, line_no int, line string"
@@ -36,8 +39,8 @@ def default_root() -> str | None:
 class Registry:
     """Lines of dictionaries by name."""
 
-    def __init__(self, root: str | None = None, extra: dict[str, list[str]] | None = None):
-        self.root, self.extra = root or default_root(), {k: tuple(v) for k, v in (extra or {}).items()}
+    def __init__(self, root: str | None = None, extra: dict[str, list[str]] | None = None, stand_ins: bool = False):
+        self.root, self.extra, self.stand_ins = root or default_root(), {k: tuple(v) for k, v in (extra or {}).items()}, stand_ins
 
     def lines(self, name: str) -> tuple[str, ...]:
         if name in self.extra:
@@ -46,6 +49,8 @@ class Registry:
             return tuple(path.read_text(encoding="utf-8").split("\n"))
         if name in FIXED:
             return tuple(FIXED[name].strip("\n").split("\n"))
+        if self.stand_ins and name in cldr.tables():
+            return cldr.tables()[name]
         raise MissingDictionary(f"no dictionary {name}: give a folder that has {name}.txt, or register its lines")
 
     def has(self, name: str) -> bool:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphflow.functions.detection import detect_bytes
+from glyphflow.sources.shared import shared_dir, store
 
 
 def from_text(spark: SparkSession, text: str) -> DataFrame:
@@ -13,12 +17,31 @@ def from_text(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([("-", text)], "path string, text string")
 
 
-def read_bytes(spark: SparkSession, *paths: str, recursive: bool = True, glob: str | None = None) -> DataFrame:
-    """(path, content) of files and folders."""
+def local_files(path: str) -> list[str]:
+    """Regular files of a folder of the local file system, at any depth, in order of path; links are skipped."""
+    out = []
+    for at, folders, names in os.walk(path):
+        folders[:] = sorted(f for f in folders if not os.path.islink(os.path.join(at, f)))
+        out += [p for n in names if not os.path.islink(p := os.path.join(at, n)) and os.path.isfile(p)]
+    return sorted(out)
+
+
+def read_bytes(spark: SparkSession, *paths: str, recursive: bool = True, glob: str | None = None, lenient: bool = False) -> DataFrame:
+    """(path, content) of files and folders; lenient logs files that can't be read and goes on."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(list(paths)).select("path", "content")
+    if lenient:
+        reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+    found: list[str] = []
+    for path in paths:
+        plain = qualified(spark, path)[0].removeprefix("file:")
+        folder = recursive and plain.startswith("/") and os.path.isdir(plain)
+        # Other stores have no links; a local folder is listed here, so that links can be told.
+        found += local_files(plain) if folder else [path]
+    if not found:
+        return spark.createDataFrame([], "path string, content binary")
+    return reader.load(found).select("path", "content")
 
 
 def read_texts(spark: SparkSession, *paths: str, recursive: bool = True, strict: bool = True) -> DataFrame:
@@ -30,9 +53,8 @@ def read_texts(spark: SparkSession, *paths: str, recursive: bool = True, strict:
 
 def qualified(spark: SparkSession, path: str) -> tuple[str, bool]:
     """The path as Spark's readers name it, and whether there is such a file or folder."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return store.makeQualified(at).toString(), store.exists(at)
+    at, files = store(spark, path)
+    return files.makeQualified(at).toString(), files.exists(at)
 
 
 def in_order(found: DataFrame, paths: list[str]) -> DataFrame:
@@ -61,19 +83,22 @@ def write_lines(df: DataFrame, text: Column | str, path: str) -> None:
 
 
 def write_in_place(df: DataFrame, path_col: str = "path", text_col: str = "text") -> int:
-    """Overwrites each file with its text, after all texts were computed; how many files.
+    """Overwrites each file with its text, after all texts were computed and written elsewhere; how many files.
 
-    Files are written one by one by the driver's file system client, so this is
-    for sets of files, not for corpora.
+    Files are written one by one by the driver's file system client, a partition
+    of texts at a time, so this is for sets of files, not for corpora.
     """
     spark, n = df.sparkSession, 0
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for row in df.select(path_col, text_col).collect():
-        at = jvm.org.apache.hadoop.fs.Path(row[0])
-        out = at.getFileSystem(conf).create(at, True)
-        out.write(bytearray(row[1].encode()))
+    spool = f"{shared_dir(spark)}/glyphflow/{uuid.uuid4().hex}"
+    df.select(F.col(path_col).alias("path"), F.col(text_col).alias("text")).write.parquet(spool)
+    for row in spark.read.schema("path string, text string").parquet(spool).toLocalIterator():
+        at, files = store(spark, row["path"])
+        out = files.create(at, True)
+        out.write(bytearray(row["text"].encode()))
         out.close()
         n += 1
+    at, files = store(spark, spool)
+    files.delete(at, True)
     return n
 
 

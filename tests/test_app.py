@@ -38,6 +38,20 @@ def test_files_folders_and_lists(spark, tmp_path):
     assert run(spark, "-c", "jp2t", str(tmp_path / "none"))[0] == 1
 
 
+def test_stand_ins_and_links(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "1.txt").write_text("汉字计算机")
+    (tmp_path / "a" / "2.txt").write_text("鼠标")
+    (tmp_path / "other.txt").write_text("软件")
+    (tmp_path / "a" / "3.txt").symlink_to(tmp_path / "other.txt")
+    (tmp_path / "a" / "loop").symlink_to(tmp_path / "a")
+    assert run(spark, "-c", "s2t", "--stand-ins", str(tmp_path / "a"))[:2] == (0, "漢字計算機鼠標")
+    assert run(spark, "-c", "s2t", str(tmp_path / "a"))[0] == 1
+    assert [x.split("\t")[2].rsplit("/", 1)[1] for x in run(spark, "detect", str(tmp_path / "a"))[1].splitlines()] == ["1.txt", "2.txt"]
+    assert run(spark, "-c", "s2t", "--stand-ins", "-i", str(tmp_path / "a"))[0] == 0
+    assert (tmp_path / "a" / "1.txt").read_text() == "漢字計算機" and (tmp_path / "other.txt").read_text() == "软件"
+
+
 def test_detect(spark, tmp_path):
     code, out, err = run(spark, "detect", str(tmp_path / "none"), "-", stdin="他感染了A型肝炎".encode())
     assert (code, out) == (1, "cn-tw\t50\t-\n") and "none" in err
@@ -71,13 +85,13 @@ def test_refused(spark, argv):
 def test_information(spark):
     code, out, _ = run(spark, "--list")
     assert code == 0 and out.count("\n") == len(configs.REGIONS) + len(configs.PAIRS) + 3
-    assert "辨當" in run(spark, "info", "jp2t")[1] and "needs: STPhrases" in run(spark, "info", "s2t")[1].replace("TSCharacters, ", "")
+    assert "辨當" in run(spark, "info", "jp2t")[1] and "needs: TSPhrases, STPhrases, STCharacters" in run(spark, "info", "s2t")[1]
 
 
 def test_inline_config_and_auto_routes(spark):
     plan = configs.resolve_json('{"conversion_chain": [{"dict": {"type": "inline", "entries": {"a b": "X Y", "c": ["Z", "W"]}}}]}')
     assert plan.chain[0].layers[0].values == {"a b": "X", "c": "Z"}
-    registry = Registry(extra={"STPhrases": [], "STCharacters": ["万\t萬"], "TSCharacters": ["萬\t万", "與\t与", "當\t当"]})
+    registry = Registry(extra={"STPhrases": [], "STCharacters": ["万\t萬"], "TSCharacters": ["萬\t万", "與\t与", "當\t当"], "TSPhrases": []})
     rows = spark.createDataFrame([(0, "これは弁当"), (1, "萬與"), (2, "abc"), (3, None)], "id int, t string")
     got = {r["id"]: r["x"] for r in rows.select("id", conversion.convert_auto("t", "cn-s", registry).alias("x")).collect()}
     assert got == {0: "これは辨当", 1: "万与", 2: "abc", 3: None}

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from glyphflow.functions import conversion, detection
 from glyphflow.operators import matching
-from glyphflow.plans import configs, queries
+from glyphflow.plans import configs, queries, texts
 from glyphflow.sources import arpa, files
 from glyphflow.sources.dictionaries import MissingDictionary, Registry
 
@@ -44,23 +44,23 @@ def test_ascii_lead_and_merged_priority():
 
 
 def test_missing_dictionaries_are_named():
-    with pytest.raises(MissingDictionary, match="STCharacters|STPhrases|TSCharacters"):
+    with pytest.raises(MissingDictionary, match="STCharacters|STPhrases|TSCharacters|TSPhrases"):
         configs.resolve("s2t")
-    extra = {"STPhrases": ["软件\t軟件"], "STCharacters": ["软\t軟", "件\t件", "买\t買", "汉\t漢"], "TSCharacters": ["軟\t软", "買\t买", "漢\t汉"]}
+    extra = {"STPhrases": ["软件\t軟件"], "STCharacters": ["软\t軟", "件\t件", "买\t買", "汉\t漢"], "TSCharacters": ["軟\t软", "買\t买", "漢\t汉"], "TSPhrases": []}
     registry = Registry(extra=extra)
     assert configs.resolve("s2t", registry).convert("hello 汉 买软件") == "hello 漢 買軟件"
     assert configs.resolve("s2t", registry, [("软件", "軟體")]).convert("买软件") == "買軟體"
 
 
 def test_all_configs_resolve_with_a_full_registry():
-    registry = Registry(extra={"STPhrases": ["一出\t一出"], "STCharacters": ["汉\t漢"], "TSCharacters": ["漢\t汉"]})
+    registry = Registry(extra={"STPhrases": ["一出\t一出"], "STCharacters": ["汉\t漢"], "TSCharacters": ["漢\t汉"], "TSPhrases": []})
     for config in configs.CONFIGS:
         assert isinstance(configs.resolve(config, registry).convert("汉漢 abc"), str)
 
 
 def test_segments_concatenate():
     group = configs.resolve("tw2t").segmentation
-    for text in queries.SEEDS:
+    for text in texts.SEEDS:
         assert "".join(s for s, _ in matching.segments(group, text)) == text
 
 
@@ -74,7 +74,7 @@ def test_ngrams():
 
 
 def test_strategies_agree(spark):
-    df = spark.createDataFrame([(k, t) for k, t in enumerate(queries.SEEDS)] + [(99, None)], "id int, t string")
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts.SEEDS)] + [(99, None)], "id int, t string")
     for config in ("t2tw", "t2hk", "jp2t", "t2jp", "hk2t"):
         row = df.select("t", conversion.convert("t", config, strategy="arrow").alias("a"), conversion.convert("t", config, strategy="regex").alias("r"), conversion.convert("t", config).alias("c"))
         plan = configs.resolve(config)
@@ -108,7 +108,7 @@ def test_custom_entries():
 def test_streaming_equals_batch(spark, tmp_path):
     from glyphflow.streaming.convert import converted
 
-    rows = spark.createDataFrame([(t,) for t in queries.SEEDS], "text string")
+    rows = spark.createDataFrame([(t,) for t in texts.SEEDS], "text string")
     rows.write.parquet(str(tmp_path / "in"))
     stream = converted(spark.readStream.schema("text string").parquet(str(tmp_path / "in")), "t2tw")
     q = stream.writeStream.format("memory").queryName("out").trigger(availableNow=True).start()
@@ -116,7 +116,11 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("out").collect())) == sorted(map(tuple, converted(rows, "t2tw").collect()))
 
 
-@pytest.mark.parametrize("name", ["convert_t2tw", "convert_jp2t", "convert_custom", "segments_jp2t", "character_tallies", "find_targets", "auto_route", "merged_group", "reverse_HKVariants", "ngram_pick"])
+@pytest.mark.parametrize(
+    "name",
+    ["convert_s2twp", "convert_tw2sp", "convert_jp2t", "convert_custom_t2s", "segments_s2t", "prefix_match", "character_tallies", "detect_sample", "auto_convert_cn_t", "ngram_convert", "config_json", "project_phrases",
+     "merged_group", "reverse_HKVariants", "tofu_entries", "parity_report", "cjk_agreement", "sized_corpus", "region_pairs"],
+)
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{SMALL}/documents.parquet'")
