@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphflow.sources.shared import shared_dir, store
+
 #: ASCII white space, as the contracts define it (space, tab to carriage return).
 ASCII_SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -19,30 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only in local mode (tests), and where it is unset, a temporary folder is
-    set for the life of the session; on a cluster its absence is an error, as
-    executors don't share the driver's disk.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError(f"spark.checkpoint.dir must name a folder that the driver and the executors of {master} share")
-        at = "file://" + tempfile.mkdtemp(prefix="glyphflow-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def _store(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def written(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back.
 
@@ -53,8 +30,8 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/glyphflow/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    at, store = _store(spark, path)
-    store.deleteOnExit(at)
+    at, files = store(spark, path)
+    files.deleteOnExit(at)
     _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._glyphflow_path = path
@@ -63,14 +40,14 @@ def written(df: DataFrame) -> DataFrame:
 
 def stored_bytes(df: DataFrame) -> int:
     """Size of a table made by written(), as its files have it."""
-    at, store = _store(df.sparkSession, df._glyphflow_path)
-    return store.getContentSummary(at).getLength()
+    at, files = store(df.sparkSession, df._glyphflow_path)
+    return files.getContentSummary(at).getLength()
 
 
 def _drop(spark: SparkSession, path: str) -> None:
-    at, store = _store(spark, path)
-    store.delete(at, True)
-    store.cancelDeleteOnExit(at)
+    at, files = store(spark, path)
+    files.delete(at, True)
+    files.cancelDeleteOnExit(at)
     _written.remove(path)
 
 
