@@ -169,43 +169,36 @@ def context_of(text: str, mode: str) -> str:
 
 
 def stage_ngram(group: Group, text: str, before: str, previous: str, model: Ngrams, mode: str) -> str:
-    """One stage in which the model picks among candidates by what was put out before (else by previous)."""
-    out = ""
-    at = 0
-    while at < len(text):
-        m = group.match(text, at)
-        if not m:
-            out, at = out + text[at], at + 1
-            continue
-        candidates = m[1].candidates[m[2]]
-        firsts = first_characters(candidates)
+    """One stage in which the model picks among candidates by what was put out before (its last characters; else by previous)."""
+    out: list[str] = []
+    at, tail = 0, before[-6:]
+    for s, e, layer, key in matches(group, text):
+        out.append(text[at:s])
+        tail = (tail + text[max(at, s - 6) : s])[-6:]
+        candidates = layer.candidates[key]
         chosen = candidates[0]
-        if len(firsts) > 1 and (before or out or previous):
-            context = context_of(before + out, mode)
-            if not (before or out):
-                context = previous[-1:] if mode == "bigram" else previous[-2:]
+        if len(candidates) > 1 and (tail or previous) and len(firsts := first_characters(candidates)) > 1:
+            context = context_of(tail, mode) if tail else previous[-1:] if mode == "bigram" else previous[-2:]
             first = model.pick(context, firsts)
-            rest = next(c for c in candidates if c.startswith(first))
-            chosen = first + rest[1:]
-        out, at = out + chosen, at + m[0]
-    return out
+            chosen = first + next(c for c in candidates if c.startswith(first))[1:]
+        out.append(chosen)
+        at, tail = e, (tail + chosen)[-6:]
+    return "".join([*out, text[at:]])
 
 
 def convert(text: str, segmentation: Group | None, chain: list[Group], model: Ngrams | None = None, mode: str = "off") -> str:
     """Each segment through all stages, on its own; no match crosses a segment."""
     parts = [s for s, _ in segments(segmentation, text)] if segmentation else [text] if text else []
-    if model is None or mode == "off":
-        out = []
-        for part in parts:
-            for group in chain:
-                part = stage(group, part)
-            out.append(part)
-        return "".join(out)
-    done = ""
+    done: list[str] = []
+    tail = ""
     for part in parts:
         previous = ""
         for group in chain:
-            converted = stage_ngram(group, part, done, previous, model, mode)
-            previous, part = converted[-2:], converted
-        done += part
-    return done
+            if model is None or mode == "off":
+                part = stage(group, part)
+            else:
+                converted = stage_ngram(group, part, tail, previous, model, mode)
+                previous, part = converted[-2:], converted
+        done.append(part)
+        tail = (tail + part)[-6:]
+    return "".join(done)

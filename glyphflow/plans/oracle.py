@@ -4,8 +4,7 @@ Dictionaries come in as their raw lines; parsing, merging, reversing, patching
 and projecting are done in SQL. A text is cut by one regular expression (keys,
 longest first, else one character), its pieces are joined with the entries and
 put together again. SEPARATOR stands between segments, so that no key crosses
-one; within a segment that begins with ASCII, BREAK after every ASCII character
-keeps keys that begin with ASCII from matching.
+one; a segment that begins with ASCII is cut without the keys that do.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from glyphflow.plans import configs
 from glyphflow.plans.texts import quoted
 from glyphflow.sources.dictionaries import Registry
 
-SEPARATOR, BREAK = "\ue000", "\ue001"
+SEPARATOR = "\ue000"
 
 
 def values(rows) -> str:
@@ -103,11 +102,11 @@ def group_sql(name: str, dicts: list[str], custom: list[tuple[str, str]]) -> str
     return f"{name} AS ({own} UNION ALL SELECT k, vs FROM ({merged}) m WHERE k NOT IN ({', '.join(quoted(k) for k, _ in custom)}))"
 
 
-def _cut_by(registry: Registry, dicts: list[str], custom: list[tuple[str, str]]) -> str:
-    own = sorted({k for k, _ in custom}, key=lambda k: (-len(k), k))
-    keys = _keys(registry, dicts)
-    if any(k < "\x80" for k in [*own, *keys] if len(k) == 1) or any(c < "\x80" for k in keys for c in k[1:] if k[0] >= "\x80"):
-        raise ValueError("BREAK doesn't serve for such keys")
+def _cut_by(registry: Registry, dicts: list[str], custom: list[tuple[str, str]], ascii_too: bool = True) -> str:
+    own = sorted({k for k, _ in custom if ascii_too or k[0] >= "\x80"}, key=lambda k: (-len(k), k))
+    keys = [k for k in _keys(registry, dicts) if ascii_too or k[0] >= "\x80"]
+    if any(k < "\x80" for k in [*own, *keys] if len(k) == 1):
+        raise ValueError("single ASCII characters are joined in any segment")
     first = "".join("".join("\\" + c if c in ".^$*+?()[]{}|\\" else c for c in k) + "|" for k in own)
     return "'" + first.replace("'", "''") + _pattern(keys)[1:]
 
@@ -132,13 +131,12 @@ def convert_ctes(registry: Registry, segmentation: list[str] | None, chain: list
     for k, dicts in enumerate(chain):
         custom = segment_words + (first or []) if k == 0 else segment_words
         keys = [*_keys(registry, dicts), *(c for c, _ in custom)]
-        source = f"text{k}"
+        pieces = f"regexp_extract_all(s, {_cut_by(registry, dicts, custom)})"
         if any(key[0] < "\x80" for key in keys):
-            broken = rf"CASE WHEN ascii(x) < 128 THEN regexp_replace(x, '([\x00-\x7f])', '\1{BREAK}', 'g') ELSE x END"
-            out.append(f"open{k} AS (SELECT id, array_to_string(list_transform(string_split(s, '{SEPARATOR}'), lambda x: {broken}), '{SEPARATOR}') AS s FROM text{k})")
-            source = f"open{k}"
-        out += [group_sql(f"group{k}", dicts, custom), f"tok{k} AS ({cut_sql(source, 's', _cut_by(registry, dicts, custom))})"]
-        out.append(f"text{k + 1} AS (SELECT id, replace(string_agg(coalesce(vs[1], tok), '' ORDER BY n), '{BREAK}', '') AS s FROM tok{k} LEFT JOIN group{k} ON tok = k GROUP BY id)")
+            each = f"CASE WHEN ascii(x) < 128 THEN regexp_extract_all(x, {_cut_by(registry, dicts, custom, False)}) ELSE regexp_extract_all(x, {_cut_by(registry, dicts, custom)}) END"
+            pieces = f"flatten(list_transform(string_split(s, '{SEPARATOR}'), lambda x: list_append({each}, '{SEPARATOR}')))"
+        out += [group_sql(f"group{k}", dicts, custom), f"tok{k} AS (SELECT id, unnest(t) AS tok, generate_subscripts(t, 1) AS n FROM (SELECT id, {pieces} AS t FROM text{k}))"]
+        out.append(f"text{k + 1} AS (SELECT id, string_agg(coalesce(vs[1], tok), '' ORDER BY n) AS s FROM tok{k} LEFT JOIN group{k} ON tok = k GROUP BY id)")
     out.append(f"done AS (SELECT id, replace(s, '{SEPARATOR}', '') AS converted FROM text{len(chain)})")
     return ",\n".join(out)
 
