@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from glyphflow.operators.matching import Group, Layer, segments
+from glyphflow.operators.matching import Group, Layer, Ngrams, context_of, first_characters, segments
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
@@ -258,11 +258,11 @@ def flattened(group: Group) -> Layer:
 class Stage:
     """One group of dictionaries, compiled."""
 
-    def __init__(self, group: Group):
+    def __init__(self, group: Group, matched: frozenset[str] = frozenset()):
         values = flattened(group).values
         one = {k: v for k, v in values.items() if len(k) == 1}
-        #: Single characters that become a single character, and those that become something else.
-        self.plain = {k: v for k, v in one.items() if len(v) == 1}
+        #: Single characters that become a single character, and those that are matched like longer keys: what they become is longer, or is asked for.
+        self.plain = {k: v for k, v in one.items() if len(v) == 1 and k not in matched}
         self.odd = sorted(one.keys() - self.plain.keys())
         self.table = np.arange(_LAST, dtype=np.uint32)
         for k, v in self.plain.items():
@@ -337,15 +337,19 @@ class Stage:
             return batch
         hidden = self._hidden(batch)
         position, length, value = self.matched(batch, hidden)
+        cuts = _marked(len(batch.codes) + 1, batch.cuts, position, position + length) if cut else batch.cuts
+        return self.replaced(Batch(batch.codes, batch.rows, cuts), hidden, position, length, value)[0]
+
+    def replaced(self, batch: Batch, hidden: np.ndarray | None, position: np.ndarray, length: np.ndarray, value: np.ndarray) -> tuple[Batch, np.ndarray]:
+        """The batch with its matches and single characters replaced, and where the matches' values stand."""
         out = self.table[batch.codes]
         if hidden is not None:
             out = np.where(hidden, batch.codes, out)
-        cuts = _marked(len(out) + 1, batch.cuts, position, position + length) if cut else batch.cuts
         if not len(position):
-            return Batch(out, batch.rows, cuts)
+            return Batch(out, batch.rows, batch.cuts), position
         if np.array_equal(self.values.length[value], length):  # nothing moves
             out[_flat(position, length)] = self.values.take(value)
-            return Batch(out, batch.rows, cuts)
+            return Batch(out, batch.rows, batch.cuts), position
         count = np.ones(len(out) + 1, np.int64)
         count[_flat(position, length)] = 0
         keep = np.flatnonzero(count[:-1])
@@ -354,7 +358,51 @@ class Stage:
         moved = np.empty(int(at[-1]), np.uint32)
         moved[at[keep]] = out[keep]
         moved[_flat(at[position], self.values.length[value])] = self.values.take(value)
-        return Batch(moved, at[batch.rows], _marked(len(moved) + 1, at[cuts]))
+        return Batch(moved, at[batch.rows], _marked(len(moved) + 1, at[batch.cuts])), at[position]
+
+
+class Picking:
+    """One stage in which a model picks among candidates by what was put out before.
+
+    Everything is converted by default values at once; then only the matches
+    that leave a choice are gone through, from left to right. Serves where no
+    pick changes a length.
+    """
+
+    def __init__(self, group: Group, model: Ngrams, mode: str):
+        candidates = flattened(group).candidates
+        choices = {k: c for k, c in candidates.items() if len(first_characters(c)) > 1}
+        self.serves = all(len(v) == len(c[0]) > 0 for c in choices.values() for v in c)
+        # Without a choice, too, it is the first candidate that counts here, even where a later row changed the default.
+        first = Layer({k: c[0] for k, c in candidates.items()}, candidates)
+        self.stage = Stage(Group([first]), frozenset(k for k in choices if len(k) == 1))
+        self.model, self.mode = model, mode
+        #: Candidates, by number of the value; empty where there is no choice.
+        self.candidates = [choices.get(k, ()) for k in [*self.stage.keys, *self.stage.odd]]
+        self.open = np.array([bool(c) for c in self.candidates], bool)
+
+    def convert(self, batch: Batch) -> Batch:
+        if not len(batch.codes):
+            return batch
+        position, length, value = self.stage.matched(batch, None)
+        done, at = self.stage.replaced(batch, None, position, length, value)
+        mine = np.flatnonzero(self.open[value])
+        if not len(mine):
+            return done
+        out, known = done.codes.tolist(), {}
+        begin = done.rows[np.searchsorted(done.rows, at[mine], "right") - 1]
+        for p, v, b in zip(at[mine].tolist(), value[mine].tolist(), begin.tolist(), strict=True):
+            if p == b:
+                continue  # nothing was put out before
+            c = out[p - 1]
+            before = (c,) if 0x800 <= c < 0x10000 and self.mode == "bigram" else tuple(out[max(b, p - 6) : p])
+            chosen = known.get((before, v))
+            if chosen is None:
+                options = self.candidates[v]
+                first = self.model.pick(context_of("".join(map(chr, before)), self.mode), first_characters(options))
+                chosen = known[before, v] = [ord(x) for x in first + next(o for o in options if o.startswith(first))[1:]]
+            out[p : p + len(chosen)] = chosen
+        return Batch(np.array(out, np.uint32), done.rows, done.cuts)
 
 
 SEGMENTS = pa.list_(pa.struct([("seg_no", pa.int32()), ("seg", pa.string()), ("matched", pa.bool_())]))
@@ -366,6 +414,8 @@ class Compiled:
     def __init__(self, plan):
         self.plan = plan
         self.stages = [Stage(g) for g in plan.chain]
+        picking = Picking(plan.chain[0], plan.model, plan.mode) if plan.mode != "off" and plan.model and len(plan.chain) == 1 else None
+        self.picking = picking if picking and picking.serves else None
         self.segmentation = Stage(plan.segmentation) if plan.segmentation else None
         first = self.stages[0] if self.stages else None
         #: Whether the first stage's own matches are the segments' borders, so that one pass finds both; but for keys that begin with ASCII.
@@ -375,6 +425,8 @@ class Compiled:
         )
 
     def batch(self, batch: Batch) -> Batch:
+        if self.picking:
+            return self.picking.convert(self.segmentation.segmented(batch)[0] if self.segmentation else batch)
         fused = self.fused and not self.stages[0].meets_ascii(batch)
         if self.segmentation and not fused:
             batch = self.segmentation.segmented(batch)[0]
@@ -407,7 +459,7 @@ class Compiled:
         return pa.Array.from_buffers(SEGMENTS, len(texts), [valid, pa.py_buffer(first.astype(np.int32))], children=[fields])
 
     def _part(self, texts: pa.Array) -> pa.Array:
-        if self.plan.mode == "off" and not is_long(texts):
+        if (self.plan.mode == "off" or not self.plan.model or self.picking) and not is_long(texts):
             try:
                 return strings_of(self.batch(batch_of(texts)), texts)
             except HashCollision:

@@ -116,6 +116,21 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("out").collect())) == sorted(map(tuple, converted(rows, "t2tw").collect()))
 
 
+def test_streaming_counts_by_window(spark, tmp_path):
+    """Counts over a stream equal those of the batch; detection keeps no state of its own."""
+    from glyphflow.streaming.convert import detected, variant_counts
+
+    schema = "ts timestamp, text string"
+    rows = spark.createDataFrame([(t, k) for k, t in enumerate(texts.SEEDS)], "text string, k int").select(F.timestamp_seconds(F.col("k") * 60).alias("ts"), "text").repartition(2)
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = variant_counts(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "ts")
+    q = stream.writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    want = detected(rows).groupBy(F.window("ts", "10 minutes"), "region").count()
+    plain = lambda df: sorted((str(r["window"]["start"]), str(r["region"]), r["count"]) for r in df.collect())
+    assert plain(spark.table("counted")) == plain(want)
+
+
 @pytest.mark.parametrize(
     "name",
     ["convert_s2twp", "convert_tw2sp", "convert_jp2t", "convert_custom_t2s", "segments_s2t", "prefix_match", "character_tallies", "detect_sample", "auto_convert_cn_t", "ngram_convert", "config_json", "project_phrases",

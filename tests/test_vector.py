@@ -52,6 +52,30 @@ def test_random_plans(seed):
     assert fused > 20
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_random_models(seed):
+    """Picks by bigrams, in both modes, with candidates of one and of several lengths, in one and in several stages."""
+    draw, served = random.Random(seed), 0
+    for _ in range(400):
+        model = matching.Ngrams()
+        for _ in range(draw.randint(0, 40)):
+            model.orders[2][draw.choice(["<s>", word(draw, 1, 1), word(draw, 1, 3)]), word(draw, 1, 1)] = -draw.random()
+        chain = []
+        for _ in range(draw.choice([1, 1, 1, 2])):
+            one, even = matching.Layer(), draw.random() < 0.7
+            for _ in range(draw.randint(1, 9)):
+                key = word(draw, 1, 3)
+                n = len(key) if even else draw.randint(1, 3)
+                one.add(key, [word(draw, n, n) for _ in range(draw.randint(1, 6))])
+            chain.append(matching.Group([one]))
+        plan = Plan(draw.choice([None, without_singles(chain[0])]), chain, model, draw.choice(["bigram", "trigram"]))
+        compiled = vector.Compiled(plan)
+        served += compiled.picking is not None
+        rows = [draw.choice([None, "", word(draw, 1, 40)]) for _ in range(5)]
+        assert compiled.convert(pa.array(rows, pa.string())).to_pylist() == [t and plan.convert(t) for t in rows]
+    assert served > 100
+
+
 @pytest.mark.parametrize("config", list(configs.CONFIGS))
 def test_configs_in_parts(config, monkeypatch):
     """All 16 pipelines over mixed texts, also cut into small parts and beyond the length for arrays."""
