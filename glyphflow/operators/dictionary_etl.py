@@ -62,8 +62,11 @@ def preferences(lines: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.max_by("prefer", "line_no").alias("prefer"))
 
 
-def reverse(rows: DataFrame, prefer: DataFrame | None = None) -> DataFrame:
-    """(key, values): every value as a key, with the keys that had it in order of meeting and as often as met; a preferred one first."""
+def reverse(rows: DataFrame, prefer: DataFrame | None = None, strict: bool = False) -> DataFrame:
+    """(key, values): every value as a key, with the keys that had it in order of meeting and as often as met; a preferred one first.
+
+    A preference that no mapping matches is passed over, or an error if strict.
+    """
     each = rows.select("ord", "key", F.posexplode("values").alias("pos", "value"))
     keys = F.transform(F.array_sort(F.collect_list(F.struct("ord", "pos", "key"))), lambda x: x["key"])
     out = each.groupBy(F.col("value").alias("key")).agg(keys.alias("values"))
@@ -72,6 +75,10 @@ def reverse(rows: DataFrame, prefer: DataFrame | None = None) -> DataFrame:
     at = F.array_position("values", F.col("prefer"))
     before, after = F.slice("values", F.lit(1), at.cast("int") - 1), F.slice("values", at.cast("int") + 1, F.size("values"))
     first = F.when(F.coalesce(at, F.lit(0)) > 0, F.concat(F.array("prefer"), before, after)).otherwise(F.col("values"))
+    if strict:
+        lacking = F.concat(F.lit("no mapping for the preference "), F.col("key"), F.lit(" "), F.col("prefer"))
+        first = F.when(F.col("prefer").isNotNull() & (F.coalesce(at, F.lit(0)) == 0), F.raise_error(lacking).cast("array<string>")).otherwise(first)
+        return out.join(prefer, "key", "full").select("key", first.alias("values"))
     return out.join(F.broadcast(prefer), "key", "left").select("key", first.alias("values"))
 
 
@@ -103,6 +110,26 @@ def sort_entries(parsed: DataFrame) -> DataFrame:
     return parsed.orderBy("dict", "key")
 
 
+def sorted_lines(lines: DataFrame) -> DataFrame:
+    """(dict, line_no, line): dictionaries as text, sorted by key.
+
+    Comments and blank lines stay above the entry that followed them; what
+    stands above the last blank line before the first entry stays at the top,
+    and what follows the last entry at the end.
+    """
+    plain = F.regexp_replace("line", "\\r", "")
+    is_entry = ~plain.startswith("#") & (F.trim(plain) != "") & plain.contains("\t")
+    whole, below = Window.partitionBy("dict"), Window.partitionBy("dict").orderBy("line_no").rowsBetween(0, Window.unboundedFollowing)
+    rows = lines.select("dict", "line_no", plain.alias("line"), is_entry.alias("is_entry"))
+    owner = F.struct("line_no", F.split("line", "\t", 2)[0].alias("key"))
+    rows = rows.withColumn("owner", F.first(F.when(F.col("is_entry"), owner), ignorenulls=True).over(below))
+    rows = rows.withColumn("first", F.min(F.when(F.col("is_entry"), F.col("line_no"))).over(whole))
+    blank = F.max(F.when((F.trim("line") == "") & (F.col("line_no") < F.col("first")), F.col("line_no"))).over(whole)
+    rows = rows.withColumn("part", F.when(F.col("owner").isNull(), 2).when(F.col("line_no") <= F.coalesce(blank, F.lit(0)), 0).otherwise(1))
+    order = Window.partitionBy("dict").orderBy("part", F.when(F.col("part") == 1, F.col("owner.key")), F.when(F.col("part") == 1, F.col("owner.line_no")), "line_no")
+    return rows.select("dict", F.row_number().over(order).alias("line_no"), "line")
+
+
 def rank() -> Column:
     """An entry's place in its dictionary sorted by key."""
     return F.row_number().over(Window.partitionBy("dict").orderBy("key"))

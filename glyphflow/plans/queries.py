@@ -259,6 +259,27 @@ def sorted_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("dict", "key", etl.rank().alias("rank"))
 
 
+def sorted_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionaries as text, sorted by key, with their comments above their entries."""
+    return etl.sorted_lines(REGISTRY.table(spark))
+
+
+def _sorted_sql() -> str:
+    return f"""WITH {oracle.lines_sql(REGISTRY, *_ALL)},
+kind AS (SELECT *, NOT starts_with(line, '#') AND trim(line) <> '' AND contains(line, chr(9)) AS entry FROM lines),
+tops AS (SELECT dict, min(ord) FILTER (entry) AS first, max(ord) FILTER (entry) AS final FROM kind GROUP BY dict),
+heads AS (SELECT k.dict, max(ord) AS upto FROM kind k JOIN tops USING (dict) WHERE trim(line) = '' AND ord < first GROUP BY k.dict),
+owned AS (SELECT k.dict, k.ord, k.line, CASE WHEN k.ord > t.final THEN 2 WHEN k.ord <= coalesce(h.upto, 0) THEN 0 ELSE 1 END AS part,
+  (SELECT min(e.ord) FROM kind e WHERE e.dict = k.dict AND e.entry AND e.ord >= k.ord AND NOT k.entry) AS below, k.entry FROM kind k JOIN tops t USING (dict) LEFT JOIN heads h USING (dict)),
+keyed AS (SELECT o.*, coalesce(below, ord) AS mine FROM owned o),
+named AS (SELECT n.dict, n.ord, n.line, n.part, n.mine, split_part(l.line, chr(9), 1) AS key FROM keyed n JOIN lines l ON l.dict = n.dict AND l.ord = n.mine)
+SELECT dict, row_number() OVER (PARTITION BY dict ORDER BY part, CASE WHEN part = 1 THEN key ELSE '' END, CASE WHEN part = 1 THEN mine ELSE 0 END, ord)::INT AS line_no, line FROM named"""
+
+
+def arpa_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arpa.counts(arpa.table(spark, arpa.parse(ARPA)))
+
+
 def project_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hong Kong and Taiwan phrase keys by their Simplified form, under strict priority and without segments."""
     rows = etl.parse(REGISTRY.table(spark, "HKPhrases", "TWPhrases")).select("key").distinct()
@@ -501,7 +522,7 @@ QUERIES |= {
     f.__name__: f
     for f in (
         segments_jp2t, segments_s2t, prefix_match, character_tallies, detect_variant, detect_sample, variant_share, region_tsv, auto_route, ngram_convert, dictionary_entries, dictionary_summary,
-        merged_group, patch_overlay, find_targets, sorted_entries, project_phrases, tofu_entries, config_list, config_json, region_pairs, ngram_pick, arpa_entries, parity_report, cjk_agreement,
+        merged_group, patch_overlay, find_targets, sorted_entries, sorted_dictionaries, project_phrases, tofu_entries, config_list, config_json, region_pairs, ngram_pick, arpa_entries, arpa_counts, parity_report, cjk_agreement,
         strided_keys, repeated_corpus, sized_corpus, throughput_statistics, case_matrix, page_markdown, variant_windows,
     )
 }
@@ -534,6 +555,8 @@ def oracle_sql() -> dict[str, str]:
         "patch_overlay": _overlay_sql(),
         "find_targets": f"WITH {every} SELECT dict, key, array_to_string(vs, ' ') AS vals FROM entries WHERE len(list_filter(vs, lambda x: contains(x, '群'))) > 0",
         "sorted_entries": f"WITH {every} SELECT dict, key, row_number() OVER (PARTITION BY dict ORDER BY key)::INT AS rank FROM entries",
+        "sorted_dictionaries": _sorted_sql(),
+        "arpa_counts": f'SELECT "order", count(*) AS n FROM ({_arpa_sql()}) GROUP BY 1',
         "project_phrases": _project_sql(),
         "tofu_entries": _tofu_entries_sql(),
         "config_list": _config_sql(),

@@ -53,3 +53,8 @@ def pick(rows: DataFrame, model: DataFrame) -> DataFrame:
     found = each.join(bigrams, (F.col("prev") == F.col("b_prev")) & (F.col("cand") == F.col("b_cand")), "left")
     order = F.struct(F.coalesce("logprob", F.lit(float("-inf"))).alias("p"), (-F.col("pos")).alias("k"))
     return found.groupBy("id").agg(F.max_by("cand", order).alias("pick"))
+
+
+def counts(model: DataFrame) -> DataFrame:
+    """(order, n): how many n-grams of each order a model's table has."""
+    return model.groupBy("order").agg(F.count("*").alias("n"))

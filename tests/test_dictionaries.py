@@ -120,3 +120,37 @@ def test_sized_texts(spark):
     rows = ["漢字", "", "aé", "x" * 50, "𠮷"]
     got = spark.createDataFrame([(t,) for t in rows], "t string").select("t", tools.of_bytes_column(F.col("t"), 10).alias("x")).collect()
     assert [r["x"] for r in got] == [tools.of_bytes(t, 10) for t in rows]
+
+
+def test_sorted_lines_keep_comment_blocks(spark):
+    lines = ["# head", "", "# of b", "b\t1", "", "# of a", "# more of a", "a\t2 3", "c\t4", "# tail", ""]
+    got = [r["line"] for r in etl.sorted_lines(Registry(extra={"d": lines}).table(spark, "d")).orderBy("line_no").collect()]
+    assert got == ["# head", "", "", "# of a", "# more of a", "a\t2 3", "# of b", "b\t1", "c\t4", "# tail", ""]
+    assert [r["line"] for r in etl.sorted_lines(Registry(extra={"d": ["# only", ""]}).table(spark, "d")).orderBy("line_no").collect()] == ["# only", ""]
+
+
+def test_strict_preferences(spark):
+    good, bad = ["# @reverse-prefer: x b", "a\tx", "b\tx"], ["# @reverse-prefer: x c", "a\tx"]
+    for lines in (good, bad):
+        table = Registry(extra={"d": lines}).table(spark, "d")
+        loose = listed(etl.reverse(etl.entries(table), etl.preferences(table)))
+        assert loose == {"x": ["b", "a"] if lines is good else ["a"]}
+        strict = etl.reverse(etl.entries(table), etl.preferences(table), strict=True)
+        if lines is good:
+            assert listed(strict) == loose
+        else:
+            with pytest.raises(Exception, match="no mapping for the preference"):
+                strict.collect()
+
+
+def test_library_for_single_texts():
+    from glyphflow import api
+
+    assert api.convert("皇后的头发", "s2t", REGISTRY) == "皇后的頭髮" and api.convert_region("萬與", "cn-t", "jp-n", REGISTRY) == "万与"
+    assert api.convert_with_custom("买软件", "s2t", {"软件": "軟體"}, REGISTRY) == "買軟體"
+    assert api.detect("我買了新的滑鼠很好用", REGISTRY) == ("cn-tw", 40) and api.detect("hello", REGISTRY) is None and api.detect("汉字计算机软件", REGISTRY).region == "cn-s"
+    assert api.detect_bytes(b"\xff\xfe\x00", REGISTRY) is None and api.detect_bytes(("汉" * 5000).encode() + b"", REGISTRY) == ("cn-s", 100)
+    assert len(api.configs()) == 16 and len(api.regions()) == 6 and api.config_for("cn-s", "cn-tw") == "s2twp"
+    with pytest.raises(ValueError):
+        api.config_for("cn-s", "jp-n")
+    assert "s2t" in repr(api.Converter("s2t", registry=REGISTRY))
