@@ -5,7 +5,8 @@ classifier is fitted on a bounded sample of labelled rows (PER_LANGUAGE rows a
 language, chosen by a hash of id and text): idf weights, and by spherical
 k-means CENTROIDS unit vectors per language. Each language's centroids are found
 in a task of its own. A document takes the language of the centroid of greatest
-cosine; one whose best cosine is below that language's reach is rejected.
+cosine; one whose best cosine is below that language's reach, for texts of its
+length, is rejected.
 
 Every whole text is scored in one pass of Arrow batches, without a shuffle. All
 languages that the labels have are learned; what reaches the driver, and the
@@ -35,8 +36,10 @@ DIMS = 1 << DIMS_BITS
 CENTROIDS = 3
 #: Bound on a language's training sample.
 PER_LANGUAGE = 400
-#: A language's reach: this part of the least cosine that its own sample has.
-REACH = 0.5
+#: A language's reach by band: this part of the least cosine that its own sample has among texts of as many n-grams or more. A word or two tell little, so there it is wide.
+REACH = (0.4, 0.65, 0.65, 0.65)
+#: Least counts of n-grams from which a reach of its own holds; cosines of longer texts scatter less.
+BANDS = (0, 200, 800, 3000)
 UNKNOWN = "und"
 
 _LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -71,13 +74,14 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray  # a unit row each
     owner: np.ndarray  # index of its language
-    reach: np.ndarray  # least accepted cosine, by language
+    reach: np.ndarray  # least accepted cosine, by language and band of length
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, cosine in 0 to 1, and whether it is rejected."""
         if not self.languages or not has_letter(text):
             return UNKNOWN, 0.0, True
-        v = ngram_counts(text) * self.idf
+        counts = ngram_counts(text)
+        v = counts * self.idf
         norm = float(np.sqrt(v @ v))
         if norm == 0:
             return self.languages[0], 0.0, True
@@ -85,7 +89,11 @@ class Model:
         best = int(np.argmax(cosines))
         score = min(1.0, max(0.0, float(cosines[best])))
         k = int(self.owner[best])
-        return self.languages[k], score, score < self.reach[k]
+        return self.languages[k], score, bool(score < self.reach[k, band_of(counts)])
+
+
+def band_of(counts: np.ndarray) -> int:
+    return int(np.searchsorted(BANDS, counts.sum(), "right")) - 1
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -111,11 +119,14 @@ def weights(documents: int, containing: np.ndarray) -> np.ndarray:
     return np.log((1 + documents) / (1 + containing)) + 1
 
 
-def centroids_of(counts: np.ndarray, idf: np.ndarray, centroids: int = CENTROIDS) -> tuple[np.ndarray, float]:
-    """One language's centroids, and its reach."""
+def centroids_of(counts: np.ndarray, idf: np.ndarray, centroids: int = CENTROIDS) -> tuple[np.ndarray, np.ndarray]:
+    """One language's centroids, and its reach by band; a band that no sampled text is long enough for has the band before's."""
     x = _unit(counts * idf)
     found = _spherical_kmeans(x, centroids)
-    return found, REACH * float((x @ found.T).max(axis=1).min())
+    best, size, reach = (x @ found.T).max(axis=1), counts.sum(axis=1), []
+    for part, least in zip(REACH, BANDS, strict=True):
+        reach.append(part * float(best[size >= least].min()) if (size >= least).any() else reach[-1] if reach else 0.0)
+    return found, np.array(reach)
 
 
 def train(vectors: np.ndarray, langs: list[str], centroids: int = CENTROIDS) -> Model:
@@ -125,11 +136,11 @@ def train(vectors: np.ndarray, langs: list[str], centroids: int = CENTROIDS) ->
     return _model(idf, [(name, *centroids_of(vectors[which == name], idf, centroids)) for name in sorted(set(langs))])
 
 
-def _model(idf: np.ndarray, found: list[tuple[str, np.ndarray, float]]) -> Model:
+def _model(idf: np.ndarray, found: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
     if not found:
-        return Model([], idf, np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros(0))
+        return Model([], idf, np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros((0, len(BANDS))))
     owner = np.concatenate([np.full(len(c), i) for i, (_, c, _) in enumerate(found)])
-    return Model([name for name, _, _ in found], idf, np.concatenate([c for _, c, _ in found]).astype(np.float32), owner, np.array([reach for _, _, reach in found]))
+    return Model([name for name, _, _ in found], idf, np.concatenate([c for _, c, _ in found]).astype(np.float32), owner, np.stack([reach for _, _, reach in found]))
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per: int = PER_LANGUAGE) -> Model:
@@ -169,11 +180,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     def centre(group: pa.Table) -> pa.Table:
         found, reach = centroids_of(matrix(group), idf)
-        return pa.table({"lang": group["lang"].slice(0, 1), "centroids": pa.array([found.astype(np.float32).tobytes()], pa.binary()), "reach": pa.array([reach], pa.float64())})
+        return pa.table({"lang": group["lang"].slice(0, 1), "centroids": pa.array([found.astype(np.float32).tobytes()], pa.binary()), "reach": pa.array([reach.tolist()], pa.list_(pa.float64()))})
 
-    got = sampled.groupBy("lang").applyInArrow(centre, "lang string, centroids binary, reach double").collect()
+    got = sampled.groupBy("lang").applyInArrow(centre, "lang string, centroids binary, reach array<double>").collect()
     dropped(sampled)
-    return _model(idf, sorted(((r["lang"], np.frombuffer(r["centroids"], np.float32).reshape(-1, DIMS), r["reach"]) for r in got), key=lambda x: x[0]))
+    return _model(idf, sorted(((r["lang"], np.frombuffer(r["centroids"], np.float32).reshape(-1, DIMS), np.array(r["reach"])) for r in got), key=lambda x: x[0]))
 
 
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

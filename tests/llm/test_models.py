@@ -145,11 +145,21 @@ def test_language_against_brute_force(spark):
         cosines = [(float(c @ v / np.sqrt(v @ v)), -k) for k, c in enumerate(model.centroids)]
         best, k = max(cosines)
         language = model.languages[model.owner[-k]]
-        assert r["lang_pred"] == language and abs(r["score"] - best) < 1e-5 and r["rejected"] == (r["score"] < model.reach[model.languages.index(language)])
+        assert r["lang_pred"] == language and abs(r["score"] - best) < 1e-5 and r["rejected"] == (r["score"] < model.reach[model.languages.index(language), language_id.band_of(language_id.ngram_counts(text))])
     held = [r for r in language_id.classify(df.where("doc_id < 200"), model).withColumn("h", language_id.held_out(F.col("doc_id"))).collect() if r["h"]]
     assert len(held) > 15 and all(r["lang_pred"] == ("en" if r["doc_id"] % 2 else "fr") for r in held)
 
 
+def test_other_scripts_and_noise_are_rejected():
+    """Other alphabets, random letters and encoded bytes lie beyond reach; short and long texts of the languages don't."""
+    texts = [(_prose(k, words, n), lang) for lang, words in (("en", ENGLISH), ("fr", FRENCH)) for n in (6, 20, 80, 400) for k in range(40)]
+    model = language_id.train(np.stack([language_id.ngram_counts(t) for t, _ in texts]), [lang for _, lang in texts])
+    draw = np.random.default_rng(5)
+    noise = " ".join("".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz"), draw.integers(2, 9))) for _ in range(200))
+    assert all(model.predict(t)[2] for t in (noise, "Все счастливые семьи похожи друг на друга", "裏面純喫茶喫飯", "zxqj wvkp qqzx jjwv " * 30))
+    assert not any(model.predict(_prose(100 + k, words, n))[2] for words in (ENGLISH, FRENCH) for n in (6, 20, 80, 400) for k in range(20))
+
+
 def test_no_language_is_left_out(spark):
     """Many languages: each one that has a labelled row is learned."""
     alphabet = [chr(0x4E00 + k) for k in range(300)]
