@@ -25,14 +25,15 @@ from glyphflow.operators.matching import Group, Layer, Ngrams, context_of, first
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
-_A, _B = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
+_A, _B = np.int64(0x5E3779B1), np.int64(0x45EBCA77)
 _LAST = 0x110000
 #: Characters that are worked on at once, about.
 CHARS = 1 << 19
 
 
 def codes_of(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    """Code points, as the integers that numpy takes for positions, so that look-ups need no cast."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
 
 
 def _flat(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -76,7 +77,7 @@ class Index:
         self.keys = Flat(keys)
         self.longest = int(self.keys.length.max(initial=0))
         bits = max(12, min(22, int(len(keys)).bit_length() + 5))
-        self._shift = np.uint32(32 - bits)
+        self._pairs = np.int64((1 << bits) - 1)
         self._begins = np.zeros(1 << bits, bool)
         hashes, found, more = [], [], []
         left = np.arange(len(keys))
@@ -84,7 +85,7 @@ class Index:
         for n in range(2, self.longest + 1):
             here = self.keys.length[left] >= n
             left, h = left[here], h[here]
-            h = h * _M + self.keys.codes[self.keys.start[left] + n - 1]
+            h = h * _M + self.keys.codes[self.keys.start[left] + n - 1].astype(np.uint64)
             if n == 2:
                 self._begins[self._pair(self.keys.codes[self.keys.start[left]], self.keys.codes[self.keys.start[left] + 1])] = True
             mixed, at = np.unique(h + _level(n), return_inverse=True)
@@ -117,7 +118,11 @@ class Index:
         return ((h * _SPREAD) >> self._slot_shift).astype(np.int64)
 
     def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (a * _A + b * _B) >> self._shift
+        out = a * _A
+        out += b * _B
+        out >>= 15
+        out &= self._pairs
+        return out
 
     def _entry(self, h: np.ndarray) -> np.ndarray:
         """Entries of the hashes; -1 where there is none."""
@@ -148,7 +153,7 @@ class Index:
         best, n = np.full(len(at), -1, np.int64), 2
         which, several = np.arange(len(at)), []
         while len(which):
-            h = h * _M + codes[at[which] + n - 1]
+            h = h * _M + codes[at[which] + n - 1].astype(np.uint64)
             entry = self._entry(h + _level(n))
             some = entry >= 0
             which, h, entry = which[some], h[some], entry[some]
@@ -215,7 +220,7 @@ class Batch:
 def batch_of(texts: pa.Array) -> Batch:
     """Of an array of strings without nulls' bytes."""
     if not len(texts):
-        return Batch(np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64))
+        return Batch(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64))
     offsets = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1]
     data = memoryview(texts.buffers()[2] or b"")[int(offsets[0]) : int(offsets[-1])]
     codes = codes_of(str(data, "utf-8"))
@@ -264,7 +269,7 @@ class Stage:
         #: Single characters that become a single character, and those that are matched like longer keys: what they become is longer, or is asked for.
         self.plain = {k: v for k, v in one.items() if len(v) == 1 and k not in matched}
         self.odd = sorted(one.keys() - self.plain.keys())
-        self.table = np.arange(_LAST, dtype=np.uint32)
+        self.table = np.arange(_LAST)
         for k, v in self.plain.items():
             self.table[ord(k)] = ord(v)
         self.keys = sorted(k for k in values if len(k) > 1)
@@ -278,6 +283,8 @@ class Stage:
         #: Only where a key that begins with ASCII occurs it matters how a segment begins.
         self.ascii_single = any(k < "\x80" for k in one)
         self.ascii_index = Index([k for k in self.keys if k[0] < "\x80"])
+        self.ascii_first = np.zeros(128 if self.ascii_index.longest else 0, bool)
+        self.ascii_first[[ord(k[0]) for k in self.keys if k[0] < "\x80"]] = True
 
     def __getstate__(self):
         state = dict(self.__dict__)
@@ -288,7 +295,7 @@ class Stage:
     def __setstate__(self, state):
         singles = state.pop("singles")
         self.__dict__ = state
-        self.table, self.single = np.arange(_LAST, dtype=np.uint32), np.zeros(_LAST, bool)
+        self.table, self.single = np.arange(_LAST), np.zeros(_LAST, bool)
         for k, v in self.plain.items():
             self.table[ord(k)] = ord(v)
         self.single[singles] = True
@@ -302,7 +309,12 @@ class Stage:
 
     def meets_ascii(self, batch: Batch) -> bool:
         """Whether the batch may have a key that begins with ASCII."""
-        return self.ascii_single or bool(len(self.ascii_index.search(batch.codes, batch.room())[0]))
+        if self.ascii_single or not len(self.ascii_first):
+            return self.ascii_single
+        at = np.flatnonzero(batch.codes < 128)
+        if not self.ascii_first[batch.codes[at]].any():
+            return False
+        return bool(len(self.ascii_index.search(batch.codes, batch.room())[0]))
 
     def matched(self, batch: Batch, hidden: np.ndarray | None):
         """(positions, lengths, values) of the leftmost matches but for plain single characters."""
@@ -355,7 +367,7 @@ class Stage:
         keep = np.flatnonzero(count[:-1])
         count[position] = self.values.length[value]
         at = np.cumsum(count) - count  # where each character, and the end, comes to stand
-        moved = np.empty(int(at[-1]), np.uint32)
+        moved = np.empty(int(at[-1]), np.int64)
         moved[at[keep]] = out[keep]
         moved[_flat(at[position], self.values.length[value])] = self.values.take(value)
         return Batch(moved, at[batch.rows], _marked(len(moved) + 1, at[batch.cuts])), at[position]
@@ -402,7 +414,7 @@ class Picking:
                 first = self.model.pick(context_of("".join(map(chr, before)), self.mode), first_characters(options))
                 chosen = known[before, v] = [ord(x) for x in first + next(o for o in options if o.startswith(first))[1:]]
             out[p : p + len(chosen)] = chosen
-        return Batch(np.array(out, np.uint32), done.rows, done.cuts)
+        return Batch(np.array(out, np.int64), done.rows, done.cuts)
 
 
 SEGMENTS = pa.list_(pa.struct([("seg_no", pa.int32()), ("seg", pa.string()), ("matched", pa.bool_())]))
