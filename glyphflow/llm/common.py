@@ -78,6 +78,40 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Bound on the values that a sketch of frequent values names, and so on what is broadcast for them.
+TRACKED = 1024
+#: The sketches of so many groups of tasks are merged at once.
+SKETCH_BUCKETS = 128
+
+
+def frequent(rows: DataFrame, key: str, tracked: int = TRACKED) -> DataFrame:
+    """(item): at most ``tracked`` values of a column, all that are frequent among them.
+
+    A frequent-items sketch (the Misra-Gries family) is gathered map-side,
+    merged per bucket of tasks, and then over the buckets.
+    """
+    sketches = rows.groupBy((F.spark_partition_id() % SKETCH_BUCKETS).alias("bucket")).agg(F.expr(f"approx_top_k_accumulate({key}, {tracked})").alias("sketch"))
+    return (
+        # Grouped, as a global aggregate would also merge the states of empty partitions, which have no type.
+        sketches.groupBy((F.col("bucket") * 0).alias("all"))
+        .agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
+        .select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {tracked})")).alias("item"))
+        .select(F.col("item.item").alias("item"))
+    )
+
+
+def join_once(rows: DataFrame, named: DataFrame, keys: list[str], tracked: int = TRACKED) -> DataFrame:
+    """Inner join with a table that has each key once; rows of frequent keys get theirs where they lie.
+
+    However many rows one key has, they aren't shuffled to one task.
+    """
+    spot = fresh(rows, fresh(named, "spot"))
+    rows, named = (x.withColumn(spot, F.xxhash64(*keys)) for x in (rows, named))
+    hot = F.broadcast(written(frequent(rows, spot, tracked).toDF(spot)))
+    near = rows.join(hot, spot, "left_semi").join(F.broadcast(named.join(hot, spot, "left_semi").drop(spot)), keys)
+    return near.unionByName(rows.join(hot, spot, "left_anti").join(named.drop(spot), keys)).drop(spot)
+
+
 def held_out(doc_id) -> F.Column:
     """crc32(doc_id as text) mod 4 is 2; a null id counts as the empty text."""
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4) == 2

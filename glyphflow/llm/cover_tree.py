@@ -16,7 +16,8 @@
    are taken whole, and what is left is compared by cosine in double precision.
    The links are exactly the pairs at or above the threshold.
 4. A unit returns each point's number of links (weighted) and a spanning
-   forest, not pairs; counts are summed, forests joined to components.
+   forest, not pairs; counts are summed, forests joined to components. Rows of
+   frequent vectors get their result by broadcast, all others by a join.
 
 Where vectors spread so evenly that no bound prunes, the units of a label grow
 with the square of its blocks (see README).
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphflow.llm.common import connected_components, dropped, written
+from glyphflow.llm.common import connected_components, dropped, join_once, written
 
 THRESHOLD = 0.93
 #: Points of a block at most, about.
@@ -396,7 +397,7 @@ def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         .join(components.withColumnRenamed("vertex", "point"), "point", "left")
         .select("label", "n", "key", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "point").alias("c"))
     )
-    out = some.select("vec_id", "label", "n", "key").join(named, ["label", "n", "key"]).select("vec_id", "n_links", "c")
+    out = join_once(some.select("vec_id", "label", "n", "key"), named, ["label", "n", "key"]).select("vec_id", "n_links", "c")
     alone = rows.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("c"))
     out = out.unionByName(alone).withColumn("component_id", F.when(F.col("c") < _NO_ID, F.col("c")))
     return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -23,12 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphflow.llm.common import ASCII_SPACE, fresh, written
+from glyphflow.llm.common import ASCII_SPACE, TRACKED, frequent, fresh, written
 
-#: Bound on the candidates of the sketch, and so on what is broadcast.
-TRACKED = 1024
-#: The sketches of so many groups of tasks are merged at once.
-SKETCH_BUCKETS = 128
 #: A candidate is split off only if it has so many rows; smaller groups shuffle.
 HOT_ROWS = 64
 
@@ -40,16 +36,7 @@ def text_digest(text) -> F.Column:
 
 def heavy_digests(digests: DataFrame, key: str = "digest", tracked: int = TRACKED, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The verified frequent values of key: (hot_digest, hot_first, hot_rows), at most ``tracked`` rows."""
-    sketches = digests.groupBy((F.spark_partition_id() % SKETCH_BUCKETS).alias("bucket")).agg(
-        F.expr(f"approx_top_k_accumulate({key}, {tracked})").alias("sketch")
-    )
-    candidates = (
-        # Grouped, as a global aggregate would also merge the states of empty partitions, which have no type.
-        sketches.groupBy((F.col("bucket") * 0).alias("all"))
-        .agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
-        .select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {tracked})")).alias("item"))
-        .select(F.col("item.item").alias("hot_digest"))
-    )
+    candidates = frequent(digests, key, tracked).toDF("hot_digest")
     return (
         digests.join(F.broadcast(candidates), F.col(key) == F.col("hot_digest"))
         .groupBy("hot_digest")

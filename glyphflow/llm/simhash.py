@@ -12,7 +12,8 @@
 3. Within a tile, numpy compares squares of sub-tiles sorted by population
    count: exclusive-or and bit counts, skipping squares whose population counts
    differ by more than the radius. A tile returns a spanning forest, not pairs.
-4. Components of the forests' edges: see common.connected_components.
+4. Components of the forests' edges: see common.connected_components. Rows of
+   frequent fingerprints get their component by broadcast, all others by a join.
 
 Defined cases: a null text is the empty text; texts without words have
 fingerprint zero and link like any other; texts of fewer words than a shingle
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphflow.llm.common import connected_components, dropped_since, fresh, mark, written
+from glyphflow.llm.common import connected_components, dropped_since, fresh, join_once, mark, written
 
 RADIUS = 2
 SHINGLE = 3
@@ -189,8 +190,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     since = mark()
     components = connected_components(links(known, radius, tile))
     dropped_since(docs.sparkSession, since, components)
-    named = known.join(components, "vertex", "left").select(F.col("fp").alias("v_fp"), F.coalesce("component", "vertex").alias("c"))
-    return fps.join(named, fps.fp == F.col("v_fp")).select(
+    named = known.join(components, "vertex", "left").select("fp", F.coalesce("component", "vertex").alias("c"))
+    return join_once(fps, named, ["fp"]).select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("c") < _NO_ID, F.col("c")).alias("component_id"),

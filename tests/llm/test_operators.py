@@ -359,6 +359,16 @@ def test_pipeline_over_odd_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
 
 
+@pytest.mark.parametrize("tracked", [2, 1024])
+def test_join_once(spark, tracked):
+    """A join with one row a key, of which one has most rows and some have none; nulls join nothing."""
+    rows = [(k % 7 if k % 3 else 0, k) for k in range(300)] + [(None, 1), (99, 2)]
+    df, named = spark.createDataFrame(rows, "a long, spot long").repartition(5), spark.createDataFrame([(k, f"v{k}") for k in range(8)] + [(None, "x")], "a long, v string")
+    got = sorted(map(tuple, common.join_once(df, named, ["a"], tracked).select("a", "spot", "v").collect()))
+    assert got == sorted((a, s, f"v{a}") for a, s in rows if a is not None and a < 8)
+    assert common.join_once(df.limit(0), named, ["a"]).count() == 0
+
+
 def test_shared_folder_is_named_off_local_masters(spark, monkeypatch):
     class Away:
         conf = type("", (), {"get": staticmethod(lambda *a: None)})
