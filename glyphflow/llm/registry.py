@@ -66,4 +66,13 @@ WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256)"""
 
-ORACLE_SQL = {"op1_license_scan": licenses.oracle(), "op3_exact_dedup": _OP3_SQL}
+_OP9_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+link AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+reach(u, w) AS (SELECT u, w FROM link UNION SELECT r.u, l.w FROM reach r JOIN link l ON l.u = r.w),
+degree AS (SELECT u, count(*) AS n FROM link GROUP BY u), least_ AS (SELECT u, min(w) AS c FROM reach GROUP BY u)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(c, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(c, vec_id)) AS kept
+FROM embeddings LEFT JOIN degree d ON d.u = vec_id LEFT JOIN least_ l ON l.u = vec_id"""
+
+ORACLE_SQL = {"op9_embedding_near_dedup": _OP9_SQL, "op1_license_scan": licenses.oracle(), "op3_exact_dedup": _OP3_SQL}
