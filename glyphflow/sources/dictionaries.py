@@ -42,6 +42,13 @@ class Registry:
     def __init__(self, root: str | None = None, extra: dict[str, list[str]] | None = None, stand_ins: bool = False):
         self.root, self.extra, self.stand_ins = root or default_root(), {k: tuple(v) for k, v in (extra or {}).items()}, stand_ins
 
+    @classmethod
+    def of_store(cls, spark: SparkSession, folder: str, extra: dict[str, list[str]] | None = None, stand_ins: bool = False) -> Registry:
+        """A registry of a folder of <name>.txt files in any store that Spark reads."""
+        rows = spark.read.text(f"{folder.rstrip('/')}/*.txt", wholetext=True).select("_metadata.file_name", "value").collect()
+        found = {r["file_name"].removesuffix(".txt"): r["value"].split("\n") for r in rows}
+        return cls(extra=found | (extra or {}), stand_ins=stand_ins)
+
     def lines(self, name: str) -> tuple[str, ...]:
         if name in self.extra:
             return self.extra[name]

@@ -154,3 +154,11 @@ def test_library_for_single_texts():
     with pytest.raises(ValueError):
         api.config_for("cn-s", "jp-n")
     assert "s2t" in repr(api.Converter("s2t", registry=REGISTRY))
+
+
+def test_dictionaries_from_a_store(spark, tmp_path):
+    (tmp_path / "TWVariants.txt").write_text("# c\n裏\t裡\n", encoding="utf-8")
+    (tmp_path / "STCharacters.txt").write_text("汉\t漢\n", encoding="utf-8")
+    registry = Registry.of_store(spark, f"file://{tmp_path}", extra={"own": ["a\tb"]})
+    assert registry.lines("TWVariants")[:2] == ("# c", "裏\t裡") and registry.lines("own") == ("a\tb",) and registry.has("STCharacters") and not registry.has("STPhrases")
+    assert configs.resolve("t2tw", registry).convert("裏喫") == "裡喫"
