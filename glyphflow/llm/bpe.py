@@ -103,6 +103,15 @@ def piece(chunk: str, before: int, after: int, c: Coder) -> str:
     return chunk[first : len(chunk) - after + c.boundary(chunk[len(chunk) - after :])] if after else chunk[first:]
 
 
+def encoded_text(text: str, c: Coder, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+    """A text's ids by chunks and pieces, all in one place."""
+    ids, before = [], 0
+    for begin, end, after in chunks_of(text, c, chunk, overlap):
+        ids += c.encode(piece(text[begin:end], before, after, c))
+        before = after
+    return ids
+
+
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """Per document: doc_id, ids (little-endian unsigned 32-bit, packed), decoded (raw bytes from the ids)."""
     return _each(docs, id_col, text_col, vocabulary, chunk, overlap, "ids binary, decoded binary", lambda c, ids: (np.array(ids, "<u4").tobytes(), c.decode(ids)))
@@ -132,7 +141,7 @@ def _each(docs, id_col, text_col, vocabulary, chunk, overlap, kind, of) -> DataF
         c = coder(path)
         for batch in batches:
             for part in (batch.slice(k, 500) for k in range(0, batch.num_rows, 500)):
-                yield batch_of(part["doc_id"], [of(c, c.encode(x.as_py())) for x in part["text"]])
+                yield batch_of(part["doc_id"], [of(c, encoded_text(x.as_py(), c, chunk, overlap)) for x in part["text"]])
 
     def cut(batches):
         c = coder(path)
@@ -160,6 +169,7 @@ def _each(docs, id_col, text_col, vocabulary, chunk, overlap, kind, of) -> DataF
                 parts = sorted(batch["pieces"][k].as_py(), key=lambda r: r["n"])
                 yield batch_of(batch["doc_id"].slice(k, 1), [of(c, np.frombuffer(b"".join(r["ids"] for r in parts), "<u4").tolist())])
 
+    # The same cutting and stitching everywhere; only the chunks of texts that have several are worth sending to other tasks.
     out = T.StructType([id_field, *fields.fields])
     dealt = T.StructType([id_field]).add("row", "long").add("n", "long").add("before", "long").add("after", "long").add("chunk", "string")
     encoded_pieces = T.StructType([id_field]).add("row", "long").add("n", "long").add("ids", "binary")

@@ -224,10 +224,7 @@ def test_bpe_pieces_of_random_texts():
     enc = encoding(bpe.VOCABULARY)
     for _ in range(3_000):
         text = "".join(draw.choice(["ab", "The", " ", "  ", "\n", "\r\n", "é", "漢", "😀", "'s", "'LL", "12", "\u00a0", "\t", "!?", "\x1c", "\u2003", "\u200b", "z" * 70]) for _ in range(draw.randint(1, 120)))
-        ids, before = [], 0
-        for begin, end, after in bpe.chunks_of(text, c, chunk=24, overlap=6):
-            ids += c.encode(bpe.piece(text[begin:end], before, after, c))
-            before = after
+        ids = bpe.encoded_text(text, c, chunk=24, overlap=6)
         assert ids == enc.encode_ordinary(text) and c.decode(ids) == text.encode()
 
 
