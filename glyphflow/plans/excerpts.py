@@ -121,18 +121,5 @@ SQL隱碼攻擊	SQL注入 SQL注入攻擊
 説	說
 験	驗
 麺	麵 麪
-""",
-    "JPShinjitaiPhrases": """
-一獲千金	一攫千金
-丁寧	叮嚀
-丁重	鄭重
-三差路	三叉路
-世論	輿論
-予備	預備
-予告	預告
-予定	預定
-弁当	辨當
-弁護	辯護
-弁護士	辯護士
 """,
 }

@@ -157,26 +157,39 @@ SELECT texts.id AS doc_id, coalesce(converted, han) AS converted FROM texts LEFT
 
 
 #: A model for single characters, and texts with characters of several candidates.
-ARPA = "\\data\\\n\\1-grams:\n-1.0\t出\n-1.2\t齣\n\\2-grams:\n-0.5\t一 齣\n-0.9\t一 出\n-0.3\t演 出\n-0.7\t<s> 出\n-0.2\t與 辯\n-0.4\t與 瓣\n-0.3\t與 臺\n-0.1\t國 臺\n-0.3\t會 麵\n-0.2\tab 麵\n-0.2\t, 菸\n-0.1\t的 菸\n-0.6\tの 臺\n-0.2\t臺 麵\n\\end\\\n"
+ARPA = "\\data\\\n\\1-grams:\n-1.0\t出\n-1.2\t齣\n\\2-grams:\n-0.5\t一 齣\n-0.9\t一 出\n-0.3\t演 出\n-0.7\t<s> 出\n-0.2\t與 辯\n-0.4\t與 瓣\n-0.3\t與 臺\n-0.1\t國 臺\n-0.3\t會 麵\n-0.2\tab 麵\n-0.2\t, 菸\n-0.1\t的 菸\n-0.6\tの 臺\n-0.2\t臺 麵\n-0.1\t會國 瓣\n-0.3\t國會 麪\n-0.2\t國國 檯\n-0.1\tab 菸\n-0.2\tb, 辯\n-0.4\tの國 牀\n\\end\\\n"
 #: Letters of the documents as characters that have candidates, or come before them.
 _NGRAM = ("etaoinshrdluTAOI", "弁麺台煙与会国の東演，床裏ab出")
 _NGRAM_DICT = ["弁\t辨 辯 瓣", "麺\t麵 麪", "台\t臺 颱 檯 台", "煙\t煙 菸", "与\t與", "会\t會", "国\t國", "床\t床 牀", "国弁\t國辯 國辨", "出\t齣 出"]
 
 
-def ngram_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One stage in which a bigram model picks among candidates by the character that was put out before."""
+def _ngram_rows(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     registry = Registry(extra={"own": _NGRAM_DICT})
     source = '{"segmentation": {"dict": {"type": "inline", "entries": {"国弁": "國辯"}}}, "conversion_chain": [{"dict": {"type": "text", "file": "own.txt"}}]}'
-    plan = configs.resolve_json(source, registry, model=arpa.parse(ARPA), mode="bigram")
-    rows = documents(spark, sf_dir, F.substring(F.translate(F.coalesce("text", F.lit("")), *_NGRAM), 1, 1 << 30))
+    plan = configs.resolve_json(source, registry, model=arpa.parse(ARPA), mode=mode)
+    rows = documents(spark, sf_dir, F.translate(F.coalesce("text", F.lit("")), *_NGRAM))
     return rows.select("doc_id", conversion.convert_with("han", plan).alias("converted"))
 
 
-def _ngram_convert_sql() -> str:
-    """A pick depends on what was put out before, so picks in a row are decided one after the other; all else at once."""
+def ngram_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stage in which a bigram model picks among candidates by the character that was put out before."""
+    return _ngram_rows(spark, sf_dir, "bigram")
+
+
+def ngram_convert_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the two characters before, which are looked up among the bigrams."""
+    return _ngram_rows(spark, sf_dir, "trigram")
+
+
+def _suffix(size: int, most: int) -> str:
+    """The longest end of tail of at most so many bytes."""
+    return " ".join(["CASE WHEN n = 1 THEN ''", *(f"WHEN strlen(right(tail, {k})) <= {most} THEN right(tail, {k})" for k in range(size, 0, -1)), "ELSE '<s>' END"])
+
+
+def _ngram_ctes() -> str:
+    """outs(key, prev, chosen): what the model makes of a key after each context it knows; piece: the texts' pieces."""
     rows = [(n, line) for n, line in enumerate(ARPA.split("\n"))]
-    suffix = "CASE WHEN n = 1 THEN '' WHEN strlen(right(tail, 3)) <= 3 THEN right(tail, 3) WHEN strlen(right(tail, 2)) <= 3 THEN right(tail, 2) WHEN strlen(right(tail, 1)) <= 3 THEN right(tail, 1) ELSE '<s>' END"
-    return f"""WITH RECURSIVE texts AS (SELECT doc_id AS id, translate(coalesce(text, ''), {quoted(_NGRAM[0])}, {quoted(_NGRAM[1])}) AS han FROM documents),
+    return f"""texts AS (SELECT doc_id AS id, translate(coalesce(text, ''), {quoted(_NGRAM[0])}, {quoted(_NGRAM[1])}) AS han FROM documents),
 lines(dict, ord, line) AS (VALUES {oracle.values(("own", k, x) for k, x in enumerate(_NGRAM_DICT, 1))}), {oracle.ENTRIES},
 arpa(n, line) AS (VALUES {oracle.values(rows)}),
 grams AS (SELECT w[2] AS prev, w[3] AS cand, w[1]::DOUBLE AS lp FROM (SELECT string_split(replace(line, chr(9), ' '), ' ') AS w FROM arpa
@@ -188,15 +201,32 @@ ctx AS (SELECT DISTINCT prev FROM grams),
 scored AS (SELECT four.key, ctx.prev, four.f, four.k, coalesce(max(g.lp), -1e300) AS lp FROM four CROSS JOIN ctx LEFT JOIN grams g ON g.prev = ctx.prev AND g.cand = four.f GROUP BY ALL),
 choice AS (SELECT s.key, s.prev, arg_max(s.f, (s.lp, -s.k)) AS f FROM scored s GROUP BY s.key, s.prev),
 outs AS (SELECT c.key, c.prev, list_filter(e.vs, lambda v: starts_with(v, c.f))[1] AS chosen FROM choice c JOIN entries e USING (key)),
-piece AS (SELECT id, n, tok, coalesce(vs[1], tok) AS plain, coalesce(len(vs), 0) > 1 AS many FROM tok LEFT JOIN entries ON tok = key),
-placed AS (SELECT *, lag(many, 1, false) OVER w AS after_many, coalesce(lag(plain, 3) OVER w, '') || coalesce(lag(plain, 2) OVER w, '') || coalesce(lag(plain, 1) OVER w, '') AS tail FROM piece WINDOW w AS (PARTITION BY id ORDER BY n)),
+piece AS (SELECT id, n, tok, coalesce(vs[1], tok) AS plain, coalesce(len(vs), 0) > 1 AS many FROM tok LEFT JOIN entries ON tok = key)"""
+
+
+def _before(count: int) -> str:
+    return " || ".join(f"coalesce(lag(plain, {k}) OVER w, '')" for k in range(count, 0, -1))
+
+
+def _ngram_convert_sql() -> str:
+    """A pick depends on what was put out before, so picks in a row are decided one after the other; all else at once."""
+    return f"""WITH RECURSIVE {_ngram_ctes()},
+placed AS (SELECT *, lag(many, 1, false) OVER w AS after_many, {_before(3)} AS tail FROM piece WINDOW w AS (PARTITION BY id ORDER BY n)),
 walk(id, n, chosen) AS (
-  SELECT t.id, t.n, coalesce(o.chosen, plain) FROM (SELECT *, {suffix} AS before FROM placed WHERE many AND NOT after_many) t LEFT JOIN outs o ON o.key = tok AND o.prev = before
+  SELECT t.id, t.n, coalesce(o.chosen, plain) FROM (SELECT *, {_suffix(3, 3)} AS before FROM placed WHERE many AND NOT after_many) t LEFT JOIN outs o ON o.key = tok AND o.prev = before
   UNION ALL
   SELECT t.id, t.n, coalesce(o.chosen, plain) FROM walk w JOIN placed t ON t.id = w.id AND t.n = w.n + 1 AND t.many LEFT JOIN outs o ON o.key = t.tok AND o.prev = right(w.chosen, 1))
 SELECT texts.id AS doc_id, coalesce(string_agg(coalesce(chosen, plain), '' ORDER BY piece.n), '') AS converted FROM texts LEFT JOIN piece USING (id) LEFT JOIN walk ON walk.id = piece.id AND walk.n = piece.n GROUP BY texts.id"""
 
 
+def _ngram_trigram_sql() -> str:
+    """The model has no context of two characters with one that is itself picked, so contexts can be taken from defaults."""
+    return f"""WITH {_ngram_ctes()},
+placed AS (SELECT *, {_before(6)} AS tail FROM piece WINDOW w AS (PARTITION BY id ORDER BY n)),
+picked AS (SELECT t.id, t.n, coalesce(CASE WHEN many THEN o.chosen END, plain) AS out FROM (SELECT *, {_suffix(6, 6)} AS before FROM placed) t LEFT JOIN outs o ON o.key = tok AND o.prev = before)
+SELECT texts.id AS doc_id, coalesce(string_agg(out, '' ORDER BY n), '') AS converted FROM texts LEFT JOIN picked USING (id) GROUP BY texts.id"""
+
+
 _ALL = REGISTRY.names()
 
 
@@ -521,7 +551,7 @@ QUERIES |= {f"reverse_{n}": _reverse_query(n) for n in _REVERSED}
 QUERIES |= {
     f.__name__: f
     for f in (
-        segments_jp2t, segments_s2t, prefix_match, character_tallies, detect_variant, detect_sample, variant_share, region_tsv, auto_route, ngram_convert, dictionary_entries, dictionary_summary,
+        segments_jp2t, segments_s2t, prefix_match, character_tallies, detect_variant, detect_sample, variant_share, region_tsv, auto_route, ngram_convert, ngram_convert_trigram, dictionary_entries, dictionary_summary,
         merged_group, patch_overlay, find_targets, sorted_entries, sorted_dictionaries, project_phrases, tofu_entries, config_list, config_json, region_pairs, ngram_pick, arpa_entries, arpa_counts, parity_report, cjk_agreement,
         strided_keys, repeated_corpus, sized_corpus, throughput_statistics, case_matrix, page_markdown, variant_windows,
     )
@@ -549,6 +579,7 @@ def oracle_sql() -> dict[str, str]:
         "auto_convert_cn_t": _auto_sql("cn-t", [("a", "'cn-s'", "s2t"), ("b", "'jp-n'", "jp2t")]),
         "auto_convert_cn_s": _auto_sql("cn-s", [("a", "'cn-t', 'jp-t'", "t2s"), ("b", "'cn-tw'", "tw2sp"), ("c", "'cn-hk'", "hk2sp"), ("d", "'jp-n'", "jp2t"), ("e", "d", "t2s")]),
         "ngram_convert": _ngram_convert_sql(),
+        "ngram_convert_trigram": _ngram_trigram_sql(),
         "dictionary_entries": f"WITH {every} SELECT dict, ord, key, array_to_string(vs, ' ') AS vals FROM entries",
         "dictionary_summary": f"WITH {every} SELECT dict, count(*) AS entries, count(*) FILTER (len(vs) > 1) AS several, count(*) FILTER (length(key) = 1) AS single, max(length(key))::INT AS longest FROM entries GROUP BY dict",
         "merged_group": _merged_sql(),
