@@ -36,8 +36,10 @@ DIMS = 1 << DIMS_BITS
 CENTROIDS = 3
 #: Bound on a language's training sample.
 PER_LANGUAGE = 400
-#: A language's reach by band: this part of the least cosine that its own sample has among texts of as many n-grams or more. A word or two tell little, so there it is wide.
-REACH = (0.4, 0.65, 0.65, 0.65)
+#: A language's reach by band: this part of the cosine that all but OUTLIERS of its own sample have among texts of as many n-grams or more. A word or two tell little, so there it is wide.
+REACH = (0.3, 0.6, 0.6, 0.6)
+#: Share of a sample that may itself lie beyond: mislabelled rows and junk, which mustn't widen the reach.
+OUTLIERS = 0.02
 #: Least counts of n-grams from which a reach of its own holds; cosines of longer texts scatter less.
 BANDS = (0, 200, 800, 3000)
 UNKNOWN = "und"
@@ -125,7 +127,7 @@ def centroids_of(counts: np.ndarray, idf: np.ndarray, centroids: int = CENTROIDS
     found = _spherical_kmeans(x, centroids)
     best, size, reach = (x @ found.T).max(axis=1), counts.sum(axis=1), []
     for part, least in zip(REACH, BANDS, strict=True):
-        reach.append(part * float(best[size >= least].min()) if (size >= least).any() else reach[-1] if reach else 0.0)
+        reach.append(part * float(np.quantile(best[size >= least], OUTLIERS)) if (size >= least).any() else reach[-1] if reach else 0.0)
     return found, np.array(reach)
 
 
