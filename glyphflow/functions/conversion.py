@@ -122,13 +122,17 @@ def convert_auto(
     """
     text, words = F.col(text) if isinstance(text, str) else text, custom_entries(custom)
     ways: dict[str, list[vector.Compiled] | str] = {}
+    compiled: dict[str, vector.Compiled] = {}
     for code in configs.REGIONS:
         chain = configs.route(code, target)
         lacking = list(dict.fromkeys(n for c in chain or [] for n in configs.missing(c, registry)))
         if chain is None or lacking:
             ways[code] = f"no conversion from {code} to {target}" if chain is None else f"{code} to {target} needs {', '.join(lacking)}"
         else:
-            ways[code] = [vector.Compiled(configs.resolve(c, registry, words, ngrams, mode)) for c in chain]
+            for c in chain:
+                if c not in compiled:
+                    compiled[c] = vector.Compiled(configs.resolve(c, registry, words, ngrams, mode))
+            ways[code] = [compiled[c] for c in chain]
     shared = _shared((Detector(registry), ways))
 
     def run(texts: pa.Array) -> pa.Array:
@@ -214,9 +218,10 @@ def register(spark: SparkSession, registry: Registry | None = None) -> list[str]
 
         return F.arrow_udf(run, "string")
 
+    whole = {c: vector.Compiled(plans[c]) for c in there}
     for config in there:
-        spark.udf.register(f"hz_{config}", converter(_shared(vector.Compiled(plans[config]))))
-    compiled = _shared({c: vector.Compiled(plans[c]) for c in there})
+        spark.udf.register(f"hz_{config}", converter(_shared(whole[config])))
+    compiled = _shared(whole)
 
     def cut(texts: pa.Array, wanted: pa.Array) -> pa.Array:
         return by_kind(texts, wanted, lambda config, part: compiled.value[config].segments(part))

@@ -26,7 +26,8 @@ from glyphflow.operators.matching import Group, Layer, Ngrams, context_of, first
 _M = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 _A, _B = np.int64(0x5E3779B1), np.int64(0x45EBCA77)
-_LAST = 0x110000
+#: Characters that tables have at least; all that is in common use, and few megabytes.
+_COMMON = 0x30000
 #: Characters that are worked on at once, about.
 CHARS = 1 << 19
 
@@ -269,40 +270,39 @@ class Stage:
         #: Single characters that become a single character, and those that are matched like longer keys: what they become is longer, or is asked for.
         self.plain = {k: v for k, v in one.items() if len(v) == 1 and k not in matched}
         self.odd = sorted(one.keys() - self.plain.keys())
-        self.table = np.arange(_LAST)
-        for k, v in self.plain.items():
-            self.table[ord(k)] = ord(v)
         self.keys = sorted(k for k in values if len(k) > 1)
         self.index = Index(self.keys)
         self.values = Flat([values[k] for k in [*self.keys, *self.odd]])
-        self.single = np.zeros(_LAST, bool)
-        self.single[[ord(k) for k in one]] = True
-        self.odd_at = np.full(_LAST, -1, np.int32) if self.odd else None
-        for n, k in enumerate(self.odd):
-            self.odd_at[ord(k)] = len(self.keys) + n
+        self.ones = sorted(map(ord, one))
+        self._make_tables()
         #: Only where a key that begins with ASCII occurs it matters how a segment begins.
         self.ascii_single = any(k < "\x80" for k in one)
         self.ascii_index = Index([k for k in self.keys if k[0] < "\x80"])
         self.ascii_first = np.zeros(128 if self.ascii_index.longest else 0, bool)
         self.ascii_first[[ord(k[0]) for k in self.keys if k[0] < "\x80"]] = True
 
-    def __getstate__(self):
-        state = dict(self.__dict__)
-        state["table"] = state["single"] = state["odd_at"] = None  # large and quickly made again
-        state["singles"] = np.flatnonzero(self.single)
-        return state
-
-    def __setstate__(self, state):
-        singles = state.pop("singles")
-        self.__dict__ = state
-        self.table, self.single = np.arange(_LAST), np.zeros(_LAST, bool)
+    def _make_tables(self) -> None:
+        """By character: what it becomes, whether it is a key, and the number of its value if it is matched like longer keys."""
+        self.size = max(_COMMON, (self.ones[-1] if self.ones else 0) + 2)  # the last place stands for all beyond
+        self.table, self.single = np.arange(self.size), np.zeros(self.size, bool)
         for k, v in self.plain.items():
             self.table[ord(k)] = ord(v)
-        self.single[singles] = True
-        self.odd_at = np.full(_LAST, -1, np.int32) if self.odd else None
+        self.single[self.ones] = True
+        self.odd_at = np.full(self.size, -1, np.int32) if self.odd else None
         for n, k in enumerate(self.odd):
             self.odd_at[ord(k)] = len(self.keys) + n
 
+    def __getstate__(self):
+        return self.__dict__ | {"table": None, "single": None, "odd_at": None}  # large, and quickly made again
+
+    def __setstate__(self, state):
+        self.__dict__ = state
+        self._make_tables()
+
+    def _places(self, codes: np.ndarray) -> np.ndarray:
+        """The codes as places in the tables."""
+        return codes if not len(codes) or codes.max() < self.size else np.minimum(codes, self.size - 1)
+
     def _hidden(self, batch: Batch) -> np.ndarray | None:
         """Where ASCII is passed over without a look-up; None if no look-up there would find anything."""
         return batch.leading_ascii() & (batch.codes < 128) if self.meets_ascii(batch) else None
@@ -321,7 +321,7 @@ class Stage:
         position, key = self.index.search(batch.codes, batch.room(), hidden)
         length = self.index.keys.length[key]
         if self.odd:
-            value = self.odd_at[batch.codes]
+            value = self.odd_at[self._places(batch.codes)]
             alone = value >= 0 if hidden is None else (value >= 0) & ~hidden
             alone[position] = False
             alone = np.flatnonzero(alone)
@@ -336,7 +336,7 @@ class Stage:
     def segmented(self, batch: Batch) -> tuple[Batch, np.ndarray]:
         """The batch with cuts around every match, single characters among them, and the matches' positions; ASCII isn't passed over here."""
         position, length, _ = self.matched(batch, None)
-        alone = self.single[batch.codes]
+        alone = self.single[self._places(batch.codes)]
         alone[_flat(position, length)] = False
         alone = np.flatnonzero(alone)
         size = len(batch.codes) + 1
@@ -354,7 +354,10 @@ class Stage:
 
     def replaced(self, batch: Batch, hidden: np.ndarray | None, position: np.ndarray, length: np.ndarray, value: np.ndarray) -> tuple[Batch, np.ndarray]:
         """The batch with its matches and single characters replaced, and where the matches' values stand."""
-        out = self.table[batch.codes]
+        places = self._places(batch.codes)
+        out = self.table[places]
+        if places is not batch.codes:
+            out = np.where(places < self.size - 1, out, batch.codes)
         if hidden is not None:
             out = np.where(hidden, batch.codes, out)
         if not len(position):

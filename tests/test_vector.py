@@ -13,7 +13,7 @@ from glyphflow.plans import configs, texts
 from glyphflow.plans.configs import Plan
 from glyphflow.plans.queries import REGISTRY
 
-ALPHABET = "ab汉字𠮷c，"
+ALPHABET = "ab汉字𠮷c，\U00031350\U0010fffd"
 
 
 def word(draw, least, most):
