@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -163,8 +164,8 @@ class Detector:
         return out
 
     def _part(self, texts: pa.Array) -> pa.Array:
-        if not len(texts):
-            return pa.array([], DETECTION)
+        if not len(texts) or pc.all(pc.fill_null(pc.string_is_ascii(texts), True)).as_py():
+            return pa.nulls(len(texts), DETECTION)
         region, confidence = decided(self.tallies(vector.batch_of(texts)))
         region[~np.asarray(texts.is_valid())] = None
         none = np.array([r is None for r in region])

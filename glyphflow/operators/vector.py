@@ -450,8 +450,14 @@ class Compiled:
         return batch
 
     def convert(self, texts: pa.Array) -> pa.Array:
-        """Whole texts converted; null stays null."""
-        return pa.concat_arrays([self._part(part) for part in parts_of(texts)])
+        """Whole texts converted; null stays null.
+
+        In a text of ASCII alone every segment begins with ASCII, so nothing is
+        looked up without a model; such texts stay as they are.
+        """
+        if self.plan.mode != "off" and self.plan.model:
+            return pa.concat_arrays([self._part(part) for part in parts_of(texts)])
+        return beyond_ascii(texts, lambda some: pa.concat_arrays([self._part(part) for part in parts_of(some)]))
 
     def segments(self, texts: pa.Array) -> pa.Array:
         """Per text a list of seg_no, seg and whether it matched; null stays null."""
@@ -482,6 +488,19 @@ class Compiled:
         return pa.array([None if t is None else self.plan.convert(t) for t in texts.to_pylist()], pa.string())
 
 
+def beyond_ascii(texts: pa.Array, run) -> pa.Array:
+    """The texts with run() over those that aren't ASCII alone."""
+    plain = pc.fill_null(pc.string_is_ascii(texts), True)
+    others = len(texts) - pc.sum(plain).as_py() if len(texts) else 0
+    if not others:
+        return texts if pa.types.is_string(texts.type) else texts.cast(pa.string())
+    if 2 * others > len(texts):
+        return run(texts)
+    mask = pc.invert(plain)
+    done = run(texts.filter(mask))
+    return pc.replace_with_mask(texts if texts.type == done.type else texts.cast(done.type), mask, done)
+
+
 def is_long(texts: pa.Array) -> bool:
     """Whether this is one text too long for arrays of it; such a text is walked character by character."""
     return len(texts) == 1 and texts.nbytes > 64 * CHARS

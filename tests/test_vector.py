@@ -92,6 +92,18 @@ def test_configs_in_parts(config, monkeypatch):
     assert compiled.convert(pa.array(rows, pa.string())).to_pylist() == want
 
 
+def test_ascii_stays():
+    """Texts of ASCII alone, few or many among others, nulls among them; with a model they are looked up."""
+    plan = configs.resolve("s2twp", REGISTRY, [("SQL", "x"), ("a", "b")])
+    compiled = vector.Compiled(plan)
+    for rows in (["SQL a"] * 5, ["SQL a", None, "SQL注入 a", "皇后SQL", ""], ["皇后", "a"], [None], ["a", None, "b", "后a", "c", "d"]):
+        for kind in (pa.string(), pa.large_string()):
+            assert compiled.convert(pa.array(rows, kind)).to_pylist() == [t and plan.convert(t) for t in rows]
+    model = matching.Ngrams()
+    plan = Plan(None, [matching.Group([matching.layer_of(["a\tb c"])])], model, "bigram")
+    assert vector.Compiled(plan).convert(pa.array(["xa"])).to_pylist() == [plan.convert("xa")] == ["xb"]
+
+
 def test_a_hash_that_lies_changes_nothing(monkeypatch):
     """Where a hash is met without its key's characters, texts are walked one by one."""
     plan = configs.resolve("s2t", REGISTRY)
