@@ -106,25 +106,40 @@ def tile_forest(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     return out
 
 
-def _forests(batches, radius: int):
-    """Over rows sorted by (tile, fp, vertex): edges of each tile's spanning forest."""
+_FOUND = ["u", "v", "fp", "vertex", "mask"]
 
-    def edges(fps, vertex):
-        root = vertex[tile_forest(fps.view(np.uint64), radius)]
-        keep = root != vertex
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(vertex, root)[keep]), pa.array(np.minimum(vertex, root)[keep])], ["u", "v"])
 
-    tail = [np.zeros(0, np.int64)] * 4
+def _forests(batches, radius: int, most: int | None):
+    """Over rows sorted by (tile, fp, vertex): edges (u, v) of each tile's spanning forest, or, of a tile of more than most rows, the rows themselves (fp, vertex, mask)."""
+
+    def edges(rows):
+        root = rows["vertex"][tile_forest(rows["fp"].view(np.uint64), radius)]
+        keep = root != rows["vertex"]
+        u, v = np.maximum(rows["vertex"], root)[keep], np.minimum(rows["vertex"], root)[keep]
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), *[pa.nulls(len(u), pa.int64())] * 3], _FOUND)
+
+    def left(rows):
+        n = len(rows["fp"])
+        return pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64())] * 2, *(pa.array(rows[c]) for c in ("fp", "vertex", "mask"))], _FOUND)
+
+    names = ("tile", "fp", "vertex", "mask")
+    tail, large = {c: np.zeros(0, np.int64) for c in names}, None  # the run that may go on, and the tile whose rows are passed on
     for batch in batches:
-        cols = [np.concatenate([t, np.asarray(batch[k])]) for t, k in zip(tail, ("level", "tile", "fp", "vertex"), strict=True)]
-        cut = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)) + 1
-        starts = np.concatenate([[0], cut])
-        for s, e in zip(starts[:-1], cut, strict=True):  # the last run may go on in the next batch
-            if e - s > 1:
-                yield edges(cols[2][s:e], cols[3][s:e])
-        tail = [c[starts[-1] :] for c in cols] if len(cols[0]) else cols
-    if len(tail[2]) > 1:
-        yield edges(tail[2], tail[3])
+        rows = {c: np.concatenate([tail[c], np.asarray(batch[c])]) for c in names}
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(rows["tile"])) + 1])
+        ends = np.concatenate([starts[1:], [len(rows["tile"])]])
+        for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+            run, last = {c: rows[c][s:e] for c in names}, e == len(rows["tile"])
+            if e > s and run["tile"][0] == large or most is not None and e - s > most:
+                large, run = run["tile"][0], left(run)
+                yield run
+                tail = {c: rows[c][:0] for c in names}
+            elif last:
+                tail = run
+            elif e - s > 1:
+                yield edges(run)
+    if len(tail["fp"]) > 1:
+        yield edges(tail)
 
 
 def _choices(level: int) -> dict[int, list[int]]:
@@ -155,30 +170,28 @@ def _deal(rows: DataFrame, level: int) -> DataFrame:
     else:
         options = options[0]
     dealt = rows.select("fp", "vertex", F.explode(options).alias("mask"))
-    return dealt.withColumn("tile", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask")))).withColumn("level", F.lit(level).cast("long"))
+    return dealt.withColumn("tile", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))))
 
 
 def links(vertices: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Edges u, v that join the vertices (fp distinct, vertex) exactly as all links within the radius do."""
+    """Edges u, v that join the vertices (fp distinct, vertex) exactly as all links within the radius do.
+
+    Each level deals its rows once; the task that meets a tile too large for it
+    passes the tile's rows on to the next level as they come.
+    """
     if radius > 2:
         raise ValueError("blocks are dealt for a radius of at most 2")
-    found, rest = [], vertices.withColumn("mask", F.lit(0).cast("long"))
+    edges, rest = None, vertices.withColumn("mask", F.lit(0).cast("long"))
     for level in range(3):
-        dealt = _deal(rest, level)
-        if level == 2:
-            found.append(dealt)
-            break
-        large = dealt.groupBy("tile").count().where(F.col("count") > tile).select(F.col("tile").alias("large"))
-        split = written(dealt.join(large, F.col("tile") == F.col("large"), "left"))
-        found.append(split.where("large is null").drop("large"))
-        rest = split.where("large is not null").select("fp", "vertex", "mask")
+        dealt = _deal(rest, level).repartition("tile").sortWithinPartitions("tile", "fp", "vertex")
+        most = tile if level < 2 else None
+        found = written(dealt.mapInArrow(lambda batches, most=most: _forests(batches, radius, most), ", ".join(f"{c} long" for c in _FOUND)))
+        here = found.where("u is not null").select("u", "v")
+        edges = here if edges is None else edges.unionByName(here)
+        rest = found.where("fp is not null").select("fp", "vertex", "mask")
         if rest.isEmpty():
             break
-    rows = found[0]
-    for x in found[1:]:
-        rows = rows.unionByName(x)
-    rows = rows.select("level", "tile", "fp", "vertex").repartition("level", "tile").sortWithinPartitions("level", "tile", "fp", "vertex")
-    return rows.mapInArrow(lambda batches: _forests(batches, radius), "u long, v long")
+    return edges
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, tile: int = TILE) -> DataFrame:

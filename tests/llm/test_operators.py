@@ -135,6 +135,24 @@ def test_simhash_tiles_lose_no_link(spark):
     assert [got.get(k, k) for k in range(len(fps))] == want
 
 
+def test_large_tiles_are_passed_on():
+    """Runs cut by batches at any place: small tiles give edges, large ones their rows, each row once."""
+    import pyarrow as pa
+
+    draw = np.random.default_rng(8)
+    tile = np.sort(np.concatenate([np.repeat(5, 40), np.repeat(9, 7), np.arange(20, 40), np.repeat(50, 12), np.repeat(60, 3)]))
+    rows = {"tile": tile, "fp": draw.integers(0, 1 << 62, len(tile)), "vertex": np.arange(len(tile)), "mask": np.full(len(tile), 3)}
+    for size in (1, 3, 10, 100):
+        batches = [pa.RecordBatch.from_pydict({c: v[k : k + size] for c, v in rows.items()}) for k in range(0, len(tile), size)]
+        out = pa.Table.from_batches(list(simhash._forests(iter(batches), 64, 10)))
+        kept = out.filter(out["fp"].is_valid())
+        assert sorted(kept["vertex"].to_pylist()) == sorted(rows["vertex"][(tile == 5) | (tile == 50)].tolist())
+        joined = out.filter(out["u"].is_valid())
+        got = components(len(tile), zip(joined["u"].to_pylist(), joined["v"].to_pylist(), strict=True))
+        small = [k for k in range(len(tile)) if tile[k] not in (5, 50)]
+        assert [got[k] for k in small] == [int(np.flatnonzero(tile == tile[k])[0]) for k in small]
+
+
 @pytest.mark.parametrize(("block", "kind"), [(1024, "float"), (16, "float"), (4, "double")])
 def test_cover_tree(spark, block, kind):
     draw = np.random.default_rng(5)
