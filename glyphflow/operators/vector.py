@@ -28,8 +28,8 @@ _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 _A, _B = np.int64(0x5E3779B1), np.int64(0x45EBCA77)
 #: Characters that tables have at least; all that is in common use, and few megabytes.
 _COMMON = 0x30000
-#: Characters that are worked on at once, about.
-CHARS = 1 << 19
+#: Bytes, and rows, that are worked on at once, at most, but that a row is never cut.
+CHARS, ROWS = 1 << 19, 1 << 13
 
 
 def codes_of(text: str) -> np.ndarray:
@@ -507,7 +507,7 @@ def is_long(texts: pa.Array) -> bool:
 
 
 def parts_of(texts: pa.Array):
-    """The array in slices of about CHARS bytes; nulls have no bytes in any of them."""
+    """The array in slices of at most CHARS bytes (but for single rows) and ROWS rows; nulls have no bytes in any of them."""
     if texts.null_count:
         texts = _without_null_bytes(texts)
     if not len(texts):
@@ -516,7 +516,7 @@ def parts_of(texts: pa.Array):
     offsets = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1]
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(offsets, int(offsets[at]) + CHARS, "right")) - 1)
+        to = min(max(at + 1, int(np.searchsorted(offsets, int(offsets[at]) + CHARS, "right")) - 1), at + ROWS)
         yield texts.slice(at, to - at)
         at = to
 

@@ -88,6 +88,8 @@ def test_configs_in_parts(config, monkeypatch):
     monkeypatch.setattr(vector, "CHARS", 64)
     assert compiled.convert(pa.array(rows, pa.string())).to_pylist() == want
     assert compiled.convert(pa.array(rows, pa.large_string())).to_pylist() == want
+    monkeypatch.setattr(vector, "ROWS", 3)
+    assert compiled.convert(pa.array(rows, pa.string())).to_pylist() == want
     monkeypatch.setattr(vector, "CHARS", 1)
     assert compiled.convert(pa.array(rows, pa.string())).to_pylist() == want
 
