@@ -309,12 +309,13 @@ class Stage:
 
     def meets_ascii(self, batch: Batch) -> bool:
         """Whether the batch may have a key that begins with ASCII."""
-        if self.ascii_single or not len(self.ascii_first):
-            return self.ascii_single
-        at = np.flatnonzero(batch.codes < 128)
-        if not self.ascii_first[batch.codes[at]].any():
-            return False
-        return bool(len(self.ascii_index.search(batch.codes, batch.room())[0]))
+        return self.ascii_single or bool(len(self.ascii_hits(batch)))
+
+    def ascii_hits(self, batch: Batch) -> np.ndarray:
+        """Where keys of several characters that begin with ASCII occur."""
+        if not len(self.ascii_first) or not self.ascii_first[batch.codes[batch.codes < 128]].any():
+            return np.zeros(0, np.int64)
+        return self.ascii_index.search(batch.codes, batch.room())[0]
 
     def matched(self, batch: Batch, hidden: np.ndarray | None):
         """(positions, lengths, values) of the leftmost matches but for plain single characters."""
@@ -439,10 +440,9 @@ class Compiled:
             and self.segmentation.keys == first.keys and (len(self.stages) == 1 or not self.segmentation.single.any())
         )
 
-    def batch(self, batch: Batch) -> Batch:
+    def batch(self, batch: Batch, fused: bool = False) -> Batch:
         if self.picking:
             return self.picking.convert(self.segmentation.segmented(batch)[0] if self.segmentation else batch)
-        fused = self.fused and not self.stages[0].meets_ascii(batch)
         if self.segmentation and not fused:
             batch = self.segmentation.segmented(batch)[0]
         for k, stage in enumerate(self.stages):
@@ -482,7 +482,20 @@ class Compiled:
     def _part(self, texts: pa.Array) -> pa.Array:
         if (self.plan.mode == "off" or not self.plan.model or self.picking) and not is_long(texts):
             try:
-                return strings_of(self.batch(batch_of(texts)), texts)
+                batch = batch_of(texts)
+                hits = self.stages[0].ascii_hits(batch) if self.fused else ()
+                if not len(hits):
+                    return strings_of(self.batch(batch, self.fused), texts)
+                # In the rows that have such a key, segments must be known before the first stage.
+                apart = np.zeros(len(texts), bool)
+                apart[np.searchsorted(batch.rows, hits, "right") - 1] = True
+                if apart.all():
+                    return strings_of(self.batch(batch), texts)
+                mask = pa.array(apart)
+                few, rest = texts.filter(mask), texts.filter(pc.invert(mask))
+                parts = strings_of(self.batch(batch_of(few)), few), strings_of(self.batch(batch_of(rest), True), rest)
+                order = np.argsort(np.concatenate([np.flatnonzero(apart), np.flatnonzero(~apart)]))
+                return pa.concat_arrays(parts).take(pa.array(order))
             except HashCollision:
                 pass
         return pa.array([None if t is None else self.plan.convert(t) for t in texts.to_pylist()], pa.string())
