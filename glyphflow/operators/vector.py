@@ -28,8 +28,10 @@ _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 _A, _B = np.int64(0x5E3779B1), np.int64(0x45EBCA77)
 #: Characters that tables have at least; all that is in common use, and few megabytes.
 _COMMON = 0x30000
-#: Bytes, and rows, that are worked on at once, at most, but that a row is never cut.
-CHARS, ROWS = 1 << 19, 1 << 13
+#: Bytes, and rows, that are worked on at once, at most, but that a row is never cut; arrays of so many stay in a core's cache.
+CHARS, ROWS = 1 << 18, 1 << 13
+#: A text of more bytes is walked character by character, as arrays of it would take some fifty times as many.
+LONG = 1 << 25
 
 
 def codes_of(text: str) -> np.ndarray:
@@ -516,7 +518,7 @@ def beyond_ascii(texts: pa.Array, run) -> pa.Array:
 
 def is_long(texts: pa.Array) -> bool:
     """Whether this is one text too long for arrays of it; such a text is walked character by character."""
-    return len(texts) == 1 and texts.nbytes > 64 * CHARS
+    return len(texts) == 1 and texts.nbytes > LONG
 
 
 def parts_of(texts: pa.Array):

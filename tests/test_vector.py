@@ -155,7 +155,11 @@ def test_routing_in_one_function(spark):
     assert all(r["t"] == r["x"] for r in kept)
 
 
-def test_long_text_is_walked(spark, monkeypatch):
-    df = spark.createDataFrame([("皇后的头发" * 50_000,)], "t string")
-    got = df.select(F.length(conversion.convert("t", "s2t", registry=REGISTRY)).alias("n"), conversion.convert("t", "s2t", registry=REGISTRY).alias("x")).first()
-    assert got["n"] == 250_000 and got["x"] == "皇后的頭髮" * 50_000
+def test_long_text_is_walked(monkeypatch):
+    compiled, text = vector.Compiled(configs.resolve("s2t", REGISTRY)), "皇后的头发" * 50_000
+    want = compiled.convert(pa.array([text, None])).to_pylist()
+    assert want == ["皇后的頭髮" * 50_000, None]
+    monkeypatch.setattr(vector, "LONG", 1000)
+    monkeypatch.setattr(vector, "strings_of", None)
+    assert compiled.convert(pa.array([text, None])).to_pylist() == want
+    assert "".join(x["seg"] for x in compiled.segments(pa.array([text]))[0].as_py()) == text
