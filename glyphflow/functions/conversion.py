@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable
 
 import numpy as np
@@ -62,19 +63,63 @@ def _convert_arrow(text: Column, plan: Plan) -> Column:
     return F.arrow_udf(run, "string")(text)
 
 
+def _longest_of(keys) -> str:
+    """A pattern of the longest key at a position; halves of the first characters by range, as alternatives would be tried one by one."""
+    by_first: dict[str, list[str]] = {}
+    for key in sorted(keys, key=len, reverse=True):
+        by_first.setdefault(key[0], []).append(key[1:])
+    quoted = lambda x: "\\Q" + x + "\\E" if x else ""
+
+    def among(firsts: list[str]) -> str:
+        if len(firsts) == 1:
+            return f"{firsts[0]}(?:{'|'.join(map(quoted, by_first[firsts[0]]))})"
+        half = len(firsts) // 2
+        return "|".join(f"(?=[\\x{{{ord(part[0]):x}}}-\\x{{{ord(part[-1]):x}}}])(?:{among(part)})" for part in (firsts[:half], firsts[half:]))
+
+    return f"(?:{among(sorted(by_first))})"
+
+
+def _any_of(chars) -> str:
+    """A class of the characters, halved by range too."""
+    chars = sorted(chars)
+    if len(chars) < 3:
+        return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in chars) + "]"
+    half = len(chars) // 2
+    return "[" + "".join(f"[\\x{{{ord(part[0]):x}}}-\\x{{{ord(part[-1]):x}}}&&{_any_of(part)}]" for part in (chars[:half], chars[half:])) + "]"
+
+
+def _pieces_of(keys) -> str:
+    """A pattern of one group: a key, or all that comes before the next one; most positions are passed by their first two characters."""
+    key, first = _longest_of(keys), _any_of({k[0] for k in keys})
+    pair = [] if any(len(k) == 1 for k in keys) else [f"(?!{first}{_any_of({k[1] for k in keys})})(?s:.)"]
+    return f"((?:{'|'.join([f'[^{first[1:]}++', *pair, f'(?!{key})(?s:.)'])})++|{key})"
+
+
+def _looked_up(key: Column, values: dict[str, str]) -> Column:
+    """The key's value, null if it has none. A map is gone through entry by entry, so there are many, by checksum."""
+    parts: list[list[str]] = [[] for _ in range(1 << len(values).bit_length())]
+    for k, v in values.items():
+        parts[zlib.crc32(k.encode()) % len(parts)] += [k, v]
+    maps = F.array(*(F.create_map(*map(F.lit, kv or ["", ""])) for kv in parts))
+    return F.element_at(maps, (F.crc32(key) % len(parts)).cast("int") + 1)[key]
+
+
 def _convert_regex(text: Column, plan: Plan) -> Column:
-    """Without Python workers: for one stage of one layer whose keys don't begin with ASCII."""
+    """Without Python workers: for one stage of one layer whose keys don't begin with ASCII.
+
+    The text is cut into keys and what lies between them, in which characters
+    that become one character are translated.
+    """
     values = plan.chain[0].layers[0].values
     if len(plan.chain) != 1 or len(plan.chain[0].layers) != 1 or any(k[0] < "\x80" for k in values):
         raise ValueError("the regex strategy is for one stage, without custom words or keys that begin with ASCII")
-    by_first: dict[str, list[str]] = {}
-    for key in sorted(values, key=len, reverse=True):
-        by_first.setdefault(key[0], []).append(key[1:])
-    quoted = lambda x: "\\Q" + x + "\\E" if x else ""
-    pattern = "|".join(f"{first}(?:{'|'.join(map(quoted, rests))})" for first, rests in by_first.items())
-    found = F.regexp_extract_all(text, F.lit(f"({pattern}|(?s:.))"), F.lit(1))
-    entries = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
-    return F.array_join(F.transform(found, lambda x: F.coalesce(entries[x], x)), "")
+    plain = {k: v for k, v in values.items() if len(k) == len(v) == 1}
+    others = {k: v for k, v in values.items() if k not in plain}
+    translated = lambda x: F.translate(x, "".join(plain), "".join(plain.values()))
+    if not others:
+        return translated(text)
+    found = F.regexp_extract_all(text, F.lit(_pieces_of(others)), F.lit(1))
+    return F.array_join(F.transform(found, lambda x: F.coalesce(_looked_up(x, others), translated(x))), "")
 
 
 def convert(text: Column | str, config: str, custom=None, ngrams: Ngrams | None = None, mode: str = "off", registry: Registry | None = None, strategy: str = "auto", priority: str = "merged") -> Column:

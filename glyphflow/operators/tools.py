@@ -10,11 +10,24 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def status(left: Column, right: Column) -> Column:
+    """pass, mismatch, or unsupported if only left has a value."""
+    return F.when(right.isNull(), "unsupported").when(left == right, "pass").otherwise("mismatch")
+
+
 def parity(left: DataFrame, right: DataFrame, keys: list[str], value: str = "converted") -> DataFrame:
-    """Counts by config and status (pass, mismatch, unsupported: only left has a value)."""
-    both = left.withColumnRenamed(value, "__l").join(right.withColumnRenamed(value, "__r"), keys, "left")
-    status = F.when(F.col("__r").isNull(), "unsupported").when(F.col("__l") == F.col("__r"), "pass").otherwise("mismatch")
-    return both.groupBy("config", status.alias("status")).agg(F.count("*").alias("n"))
+    """Counts by config and status of two tables' values; those are joined by their SHA-256, so that no text moves."""
+    left, right = (df.select(*keys, F.sha2(F.col(value), 256).alias(side)) for df, side in ((left, "__l"), (right, "__r")))
+    return _counted(left.join(right, keys, "left"))
+
+
+def parity_within(rows: DataFrame, left: Column, right: Column) -> DataFrame:
+    """As parity(), of two values that each row has itself; nothing but counts moves."""
+    return _counted(rows.select("config", left.alias("__l"), right.alias("__r")))
+
+
+def _counted(both: DataFrame) -> DataFrame:
+    return both.groupBy("config", status(F.col("__l"), F.col("__r")).alias("status")).agg(F.count("*").alias("n"))
 
 
 def strided(entries: DataFrame, stride: int, most: int, order: str = "ord") -> DataFrame:

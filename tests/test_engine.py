@@ -1,9 +1,11 @@
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from glyphflow.functions import conversion, detection
-from glyphflow.operators import matching
+from glyphflow.operators import matching, tools
 from glyphflow.plans import configs, queries, texts
 from glyphflow.sources import arpa, files
 from glyphflow.sources.dictionaries import MissingDictionary, Registry
@@ -151,3 +153,27 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).where(F.col("converted").isNotNull()).count() > 0
+
+
+def test_the_form_in_the_jvm_cuts_texts_into_pieces(spark):
+    """Random keys, longer and overlapping ones among them, over long texts: pieces, not characters, are looked up, and no stack overflows."""
+    draw, alphabet = random.Random(5), "汉字𠮷国の臺\nx"
+    for _ in range(6):
+        made = matching.Layer()
+        for _ in range(draw.randint(1, 60)):
+            key = draw.choice("汉字𠮷国臺") + "".join(draw.choices(alphabet, k=draw.randint(0, 3)))
+            made.add(key, ["".join(draw.choices(alphabet, k=draw.choice([1, 1, 2])))])
+        plan = configs.Plan(None, [matching.Group([made])])
+        rows = [None, "", *("".join(draw.choices(alphabet, k=draw.choice([3, 30, 300]))) for _ in range(40)), "国" * 200_000 + "の" * 200_000]
+        got = spark.createDataFrame(list(enumerate(rows)), "id int, t string").select("id", conversion.convert_with("t", plan, "regex").alias("r")).collect()
+        assert {r["id"]: r["r"] for r in got} == {k: t if t is None else plan.convert(t) for k, t in enumerate(rows)}
+
+
+def test_parity_moves_no_texts(spark):
+    """Both forms count alike, whatever is null, and the shuffle has digests and counts alone."""
+    rows = spark.createDataFrame([(k, draw[0], draw[1]) for k, draw in enumerate([("a", "a"), ("a", "b"), ("a", None), (None, "a"), ("", ""), ("a" * 9999, "a" * 9999)])], "id int, l string, r string").withColumn("config", F.lit("c"))
+    sides = [rows.select("config", "id", F.col(c).alias("converted")) for c in "lr"]
+    joined, within = tools.parity(*sides, ["config", "id"]), tools.parity_within(rows, F.col("l"), F.col("r"))
+    assert {tuple(r) for r in joined.collect()} == {tuple(r) for r in within.collect()} == {("c", "pass", 3), ("c", "mismatch", 2), ("c", "unsupported", 1)}
+    assert "sha2" in joined._jdf.queryExecution().optimizedPlan().toString() and "Join" not in within._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in queries.QUERIES["parity_report"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
