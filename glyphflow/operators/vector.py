@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from glyphflow.operators.matching import Group, Layer, Ngrams, context_of, first_characters, segments
+from glyphflow.operators.matching import CONTEXT, Group, Layer, Ngrams, first_characters, segments
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
@@ -379,12 +379,29 @@ class Stage:
         return Batch(moved, at[batch.rows], _marked(len(moved) + 1, at[batch.cuts])), at[position]
 
 
+#: Rounds in which picks are decided for all rows at once, before the rows left are gone through one pick after the other.
+_ROUNDS = 12
+
+
+def _bytes_of(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each code point's UTF-8 as one number, and its length."""
+    two, three, four = codes >= 0x80, codes >= 0x800, codes >= 0x10000
+    last, third, second = (codes & 63) | 128, ((codes >> 6) & 63) | 128, ((codes >> 12) & 63) | 128
+    out = np.where(two, (codes >> 6 | 0xC0) << 8 | last, codes)
+    out = np.where(three, (codes >> 12 | 0xE0) << 16 | third << 8 | last, out)
+    out = np.where(four, (codes >> 18 | 0xF0) << 24 | second << 16 | third << 8 | last, out)
+    return out, 1 + two.astype(np.int64) + three + four
+
+
 class Picking:
     """One stage in which a model picks among candidates by what was put out before.
 
-    Everything is converted by default values at once; then only the matches
-    that leave a choice are gone through, from left to right. Serves where no
-    pick changes a length.
+    Everything is converted by default values at once. A pick differs from the
+    default only after contexts that the model has, and these are few: contexts
+    are numbers (their UTF-8 below a leading 1), looked up for all picks whose
+    last character ends one. What a pick changes may be the context of the next
+    ones, so these are decided again until nothing changes; the only such state
+    is that of deciding from left to right. Serves where no pick changes a length.
     """
 
     def __init__(self, group: Group, model: Ngrams, mode: str):
@@ -394,10 +411,66 @@ class Picking:
         # Without a choice, too, it is the first candidate that counts here, even where a later row changed the default.
         first = Layer({k: c[0] for k, c in candidates.items()}, candidates)
         self.stage = Stage(Group([first]), frozenset(k for k in choices if len(k) == 1))
-        self.model, self.mode = model, mode
+        self.limit = CONTEXT[mode]
         #: Candidates, by number of the value; empty where there is no choice.
         self.candidates = [choices.get(k, ()) for k in [*self.stage.keys, *self.stage.odd]]
         self.open = np.array([bool(c) for c in self.candidates], bool)
+        if self.serves:
+            self._know(model)
+
+    def _know(self, model: Ngrams) -> None:
+        """Contexts that lead away from a default, with the choices after them."""
+        after: dict[str, set[str]] = {}
+        for before, c in model.orders[2]:
+            after.setdefault(c, set()).add(before)
+        made: list[str] = [c[0] if c else "" for c in self.candidates]  # defaults, then what is picked instead of them
+        special: dict[tuple[int, int], int] = {}
+        for v, options in enumerate(self.candidates):
+            firsts = first_characters(options)
+            for before in set().union(*(after.get(f, ()) for f in firsts)) if options else ():
+                picked = model.pick(before, firsts)
+                if picked == options[0][:1]:
+                    continue
+                made.append(picked + next(o for o in options if o.startswith(picked))[1:])
+                # No context at all is looked up as <s>, and so is that text.
+                for text in {before, ""} if before == "<s>" else {before} - {""}:
+                    data = text.encode("utf-8", "surrogatepass")
+                    if len(data) <= self.limit:
+                        special[int.from_bytes(b"\1" + data), v] = len(made) - 1
+        self.made = Flat(made)
+        self.contexts = np.array(sorted({c for c, _ in special}), np.int64)
+        keys = np.array([int(np.searchsorted(self.contexts, c)) * len(self.candidates) + v for c, v in special], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], np.array(list(special.values()), np.int64)[order]
+        ends = {ord(int(c).to_bytes(8, "big").lstrip(b"\0")[1:].decode("utf-8", "surrogatepass")[-1:] or "\0") for c in self.contexts.tolist()}
+        self.ends = np.zeros(max([_COMMON, *(e + 2 for e in ends)]), bool)  # the last place stands for all beyond
+        self.ends[list(ends)] = True
+        if (self.contexts == 1).any():  # no whole character fits: the last one has more bytes than the context may have
+            self.ends[0x10000:] = True
+
+    def _picked(self, codes: np.ndarray, at: np.ndarray, value: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """What is chosen at each pick, as a number in made, by what stands before it now."""
+        out = value.copy()
+        some = np.flatnonzero((at > begin) & self.ends[np.minimum(codes[np.maximum(at - 1, 0)], len(self.ends) - 1)])
+        if not len(some):
+            return out
+        at, begin = at[some], begin[some]
+        context, size, fits = np.zeros(len(some), np.int64), np.zeros(len(some), np.int64), np.ones(len(some), bool)
+        for k in range(1, self.limit + 1):
+            fits &= at - k >= begin
+            data, width = _bytes_of(codes[np.maximum(at - k, 0)])
+            fits &= size + width <= self.limit
+            if not fits.any():
+                break
+            context += np.where(fits, data << 8 * size, 0)
+            size += np.where(fits, width, 0)
+        context += np.int64(1) << 8 * size
+        known = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
+        key = known * len(self.candidates) + value[some]
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = (self.contexts[known] == context) & (self.keys[place] == key)
+        out[some[hit]] = self.values[place[hit]]
+        return out
 
     def convert(self, batch: Batch) -> Batch:
         if not len(batch.codes):
@@ -405,22 +478,37 @@ class Picking:
         position, length, value = self.stage.matched(batch, None)
         done, at = self.stage.replaced(batch, None, position, length, value)
         mine = np.flatnonzero(self.open[value])
-        if not len(mine):
-            return done
-        out, known = done.codes.tolist(), {}
-        begin = done.rows[np.searchsorted(done.rows, at[mine], "right") - 1]
-        for p, v, b in zip(at[mine].tolist(), value[mine].tolist(), begin.tolist(), strict=True):
-            if p == b:
-                continue  # nothing was put out before
-            c = out[p - 1]
-            before = (c,) if 0x800 <= c < 0x10000 and self.mode == "bigram" else tuple(out[max(b, p - 6) : p])
-            chosen = known.get((before, v))
-            if chosen is None:
-                options = self.candidates[v]
-                first = self.model.pick(context_of("".join(map(chr, before)), self.mode), first_characters(options))
-                chosen = known[before, v] = [ord(x) for x in first + next(o for o in options if o.startswith(first))[1:]]
-            out[p : p + len(chosen)] = chosen
-        return Batch(np.array(out, np.int64), done.rows, done.cuts)
+        if len(mine) and len(self.keys):
+            at, value = at[mine], value[mine]
+            self._decide(done.codes, at, value, done.rows[np.searchsorted(done.rows, at, "right") - 1])
+        return done
+
+    def _decide(self, codes: np.ndarray, at: np.ndarray, value: np.ndarray, begin: np.ndarray) -> None:
+        """Picks written into the codes, which have the defaults. A context has no more characters than bytes, so it has no more picks."""
+        chosen, open_ = value.copy(), np.arange(len(at))
+        for _ in range(_ROUNDS):
+            picked = self._picked(codes, at[open_], value[open_], begin[open_])
+            changed = picked != chosen[open_]
+            open_, picked = open_[changed], picked[changed]
+            if not len(open_):
+                return
+            chosen[open_] = picked
+            codes[_flat(at[open_], self.made.length[picked])] = self.made.take(picked)
+            near = _marked(len(at) + self.limit, *(open_ + k for k in range(1, self.limit + 1)))
+            open_ = near[near < len(at)]
+        # Long chains of picks that each hang on the last: from the first undecided one of each row on, one by one.
+        known: dict[tuple, list[int]] = {}
+        for start in open_[np.unique(begin[open_], return_index=True)[1]].tolist():
+            row, end = int(begin[start]), int(np.searchsorted(begin, begin[start], "right"))
+            to = int(at[end - 1] + self.made.length[value[end - 1]])
+            out = codes[row:to].tolist()
+            for p, v in zip((at[start:end] - row).tolist(), value[start:end].tolist(), strict=True):
+                before = tuple(out[max(p - self.limit, 0) : p])
+                if (picked := known.get((before, v))) is None:
+                    one = self._picked(np.array([*before, 0], np.int64), np.array([len(before)]), np.array([v]), np.zeros(1, np.int64))
+                    picked = known[before, v] = self.made.take(one).tolist()
+                out[p : p + len(picked)] = picked
+            codes[row:to] = out
 
 
 SEGMENTS = pa.list_(pa.struct([("seg_no", pa.int32()), ("seg", pa.string()), ("matched", pa.bool_())]))

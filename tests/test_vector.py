@@ -76,6 +76,19 @@ def test_random_models(seed):
     assert served > 100
 
 
+@pytest.mark.parametrize("mode", ["bigram", "trigram"])
+def test_picks_that_hang_on_picks(mode):
+    """Chains of every length, <s> as text and as no whole character, NUL, ASCII and astral contexts."""
+    draw = random.Random(mode)
+    model = matching.Ngrams()
+    for before, c in [("甲", "乙"), ("乙", "甲"), ("<s>", "乙"), ("甲乙", "乙"), ("乙甲", "甲"), ("a", "乙"), ("ab", "甲"), ("\0", "乙"), ("é", "乙"), ("𠮷", "乙"), ("ééé", "乙"), ("x甲", "甲")]:
+        model.orders[2][before, c] = -draw.random()
+    plan = Plan(None, [matching.Group([matching.layer_of(["丙\t甲 乙", "丁\t乙 甲", "丁丁戊\t甲甲甲 乙乙甲"])])], model, mode)
+    compiled = vector.Compiled(plan)
+    rows = ["丙" * 700, "丁" * 33 + "<s>丙" * 9, "𠮷丙" * 20, *("".join(draw.choices("丙丁戊甲乙aébx\0𠮷", weights=[9, 9, *[1] * 9], k=draw.randint(1, 200))) for _ in range(200)), *("".join(draw.choices(["<s>", "丙", "丁", "ab", "x甲"], k=9)) for _ in range(99))]
+    assert compiled.picking is not None and compiled.convert(pa.array(rows)).to_pylist() == [plan.convert(t) for t in rows]
+
+
 @pytest.mark.parametrize("config", list(configs.CONFIGS))
 def test_configs_in_parts(config, monkeypatch):
     """All 16 pipelines over mixed texts, also cut into small parts and beyond the length for arrays."""
