@@ -89,6 +89,22 @@ def test_picks_that_hang_on_picks(mode):
     assert compiled.picking is not None and compiled.convert(pa.array(rows)).to_pylist() == [plan.convert(t) for t in rows]
 
 
+def test_picks_are_not_gone_through_one_by_one(monkeypatch):
+    """The model is asked when a plan is compiled, not while texts are converted; few rounds decide the registered queries' texts."""
+    from glyphflow.plans import queries
+    from glyphflow.sources import arpa
+
+    for mode in ("bigram", "trigram"):
+        compiled = vector.Compiled(configs.resolve_json('{"conversion_chain": [{"dict": {"type": "text", "file": "own.txt"}}]}', configs.Registry(extra={"own": queries._NGRAM_DICT}), model=arpa.parse(queries.ARPA), mode=mode))
+        rows, rounds = ["与弁麺台煙演国出" * 3000], []
+        want = [compiled.plan.convert(t) for t in rows]
+        real = vector.Picking._picked
+        monkeypatch.setattr(vector.Picking, "_picked", lambda *a: rounds.append(1) or real(*a))
+        monkeypatch.setattr(matching.Ngrams, "pick", None)
+        assert compiled.convert(pa.array(rows)).to_pylist() == want and len(rounds) <= vector._ROUNDS
+        monkeypatch.undo()
+
+
 @pytest.mark.parametrize("config", list(configs.CONFIGS))
 def test_configs_in_parts(config, monkeypatch):
     """All 16 pipelines over mixed texts, also cut into small parts and beyond the length for arrays."""
