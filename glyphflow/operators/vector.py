@@ -546,8 +546,11 @@ class Compiled:
         looked up without a model; such texts stay as they are.
         """
         if self.plan.mode != "off" and self.plan.model:
-            return pa.concat_arrays([self._part(part) for part in parts_of(texts)])
-        return beyond_ascii(texts, lambda some: pa.concat_arrays([self._part(part) for part in parts_of(some)]))
+            return self._whole(texts)
+        return beyond_ascii(texts, self._whole)
+
+    def _whole(self, texts: pa.Array) -> pa.Array:
+        return joined((self._part(part) for part in parts_of(texts)), texts)
 
     def segments(self, texts: pa.Array) -> pa.Array:
         """Per text a list of seg_no, seg and whether it matched; null stays null."""
@@ -604,6 +607,25 @@ def beyond_ascii(texts: pa.Array, run) -> pa.Array:
     return pc.replace_with_mask(texts if texts.type == done.type else texts.cast(done.type), mask, done)
 
 
+def joined(parts, texts: pa.Array) -> pa.Array:
+    """One array of the parts of strings, null where texts is null; no part stays once its bytes are copied, so that a batch's output is held once."""
+    data, used, offsets = np.empty(texts.nbytes * 9 // 8 + 64, np.uint8), 0, [np.zeros(1, np.int64)]
+    for part in parts:
+        at = np.frombuffer(part.buffers()[1], np.int64 if pa.types.is_large_string(part.type) else np.int32)[part.offset : part.offset + len(part) + 1].astype(np.int64)
+        size = int(at[-1] - at[0])
+        if used + size > len(data):
+            more = np.empty((used + size) * 3 // 2, np.uint8)
+            more[:used] = data[:used]
+            data = more
+        if size:
+            data[used : used + size] = np.frombuffer(part.buffers()[2], np.uint8)[at[0] : at[-1]]
+        offsets.append(at[1:] - at[0] + used)
+        used += size
+    valid = None if texts.null_count == 0 else pa.array(np.asarray(texts.is_valid())).buffers()[1]
+    kind, width = (pa.StringArray, np.int32) if used < 1 << 31 else (pa.LargeStringArray, np.int64)
+    return kind.from_buffers(len(texts), pa.py_buffer(np.concatenate(offsets).astype(width)), pa.py_buffer(data[:used]), valid)
+
+
 def is_long(texts: pa.Array) -> bool:
     """Whether this is one text too long for arrays of it; such a text is walked character by character."""
     return len(texts) == 1 and texts.nbytes > LONG

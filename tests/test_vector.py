@@ -2,6 +2,7 @@
 
 import pickle
 import random
+import weakref
 
 import pyarrow as pa
 import pytest
@@ -105,6 +106,28 @@ def test_picks_are_not_gone_through_one_by_one(monkeypatch):
         monkeypatch.undo()
 
 
+@pytest.mark.parametrize("config", ["s2hk"])
+def test_a_batch_is_not_held_in_parts(config, monkeypatch):
+    """While a part is converted, those before it are gone; values that are longer than the keys grow the one array that is kept."""
+    plan = configs.resolve(config, REGISTRY, [("爲", "因為什麼" * 40)])
+    compiled, made, alive = vector.Compiled(plan), [], []
+    real = vector.Compiled._part
+
+    def part(self, texts):
+        alive.append(sum(r() is not None for r in made))
+        out = real(self, texts)
+        made.append(weakref.ref(out))
+        return out
+
+    monkeypatch.setattr(vector, "CHARS", 200)
+    monkeypatch.setattr(vector.Compiled, "_part", part)
+    rows = [None, *texts.SEEDS, None, "", "爲" * 300, *texts.SEEDS * 20]
+    for kind in (pa.string(), pa.large_string()):
+        assert compiled.convert(pa.array(rows, kind)).to_pylist() == [t and plan.convert(t) for t in rows]
+    assert len(made) > 20 and max(alive) <= 1
+    assert compiled.convert(pa.array([], pa.string())).to_pylist() == []
+
+
 @pytest.mark.parametrize("config", list(configs.CONFIGS))
 def test_configs_in_parts(config, monkeypatch):
     """All 16 pipelines over mixed texts, also cut into small parts and beyond the length for arrays."""
