@@ -106,7 +106,7 @@ def test_picks_are_not_gone_through_one_by_one(monkeypatch):
         monkeypatch.undo()
 
 
-@pytest.mark.parametrize("config", ["s2hk"])
+@pytest.mark.parametrize("config", ["s2hk", "tw2sp"])
 def test_a_batch_is_not_held_in_parts(config, monkeypatch):
     """While a part is converted, those before it are gone; values that are longer than the keys grow the one array that is kept."""
     plan = configs.resolve(config, REGISTRY, [("爲", "因為什麼" * 40)])
