@@ -5,10 +5,14 @@ from __future__ import annotations
 import html
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from glyphflow.operators import vector
+
 
 def status(left: Column, right: Column) -> Column:
     """pass, mismatch, or unsupported if only left has a value."""
@@ -56,36 +60,83 @@ def of_bytes_column(text: Column, size: int) -> Column:
     return F.coalesce(*cuts)
 
 
-def only_cjk(text: Column) -> Column:
-    return F.regexp_replace(text, "[^一-鿿]", "")
+AGREEMENT = "struct<agreement:double,of_bytes:double,lost:string>"
+
+
+def agreement(a: Column, b: Column) -> Column:
+    """How far two texts agree in their Han characters (U+4E00 to U+9FFF), null counting as empty.
+
+    agreement: share of positions, of the longer text's, at which the
+    characters agree; of_bytes: the same over their UTF-8 bytes; lost: distinct
+    characters that only the first text has, in order.
+    """
+
+    def run(xs: pa.Array, ys: pa.Array) -> pa.Array:
+        return agreed(xs, ys)
+
+    return F.arrow_udf(run, AGREEMENT)(a, b)
+
+
+def agreed(xs: pa.Array, ys: pa.Array) -> pa.Array:
+    """agreement() of whole batches, part by part."""
+    found, at = [], 0
+    for part in vector.parts_of(xs.fill_null("")):
+        found.append(_agreed(part, ys.slice(at, len(part)).fill_null("")))
+        at += len(part)
+    same, of_bytes, lost = (np.concatenate(x) if k < 2 else [t for part in x for t in part] for k, x in enumerate(zip(*found, strict=True)))
+    return pa.StructArray.from_arrays([pa.array(same), pa.array(of_bytes), pa.array(lost, pa.string())], ["agreement", "of_bytes", "lost"])
+
+
+def _agreed(xs: pa.Array, ys: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    (x, x_row, x_size), (y, y_row, y_size) = _only_cjk(xs), _only_cjk(ys)
+    # Each position that both texts have: the first of the row's characters on, as many as the shorter text has.
+    both = np.minimum(x_size, y_size)
+    p = vector._flat(np.cumsum(x_size) - x_size, both)
+    q = vector._flat(np.cumsum(y_size) - y_size, both)
+    row, p, q = np.repeat(np.arange(len(both)), both), x[p], y[q]
+    # Han characters have three bytes: the upper four bits, and twice six.
+    count = lambda equal: np.bincount(row[equal], minlength=len(both))
+    bytes_ = count(p >> 12 == q >> 12) + count((p >> 6) & 63 == (q >> 6) & 63) + count(p & 63 == q & 63)
+    most = np.maximum(x_size, y_size)
+    share = lambda n, of: np.where(of == 0, 1.0, n / np.maximum(of, 1))
+    # Characters by row: a table of flags of some rows at a time.
+    lost, step = [""] * len(both), 256
+    x_rows, y_rows = (np.searchsorted(r, np.arange(0, len(both) + step, step)) for r in (x_row, y_row))
+    for k in range(0, len(both), step):
+        flags = np.zeros((min(step, len(both) - k), _HAN[1] - _HAN[0]), bool)
+        i = k // step
+        flags[x_row[x_rows[i] : x_rows[i + 1]] - k, x[x_rows[i] : x_rows[i + 1]] - _HAN[0]] = True
+        flags[y_row[y_rows[i] : y_rows[i + 1]] - k, y[y_rows[i] : y_rows[i + 1]] - _HAN[0]] = False
+        for r, code in np.argwhere(flags).tolist():
+            lost[k + r] += chr(code + _HAN[0])
+    return share(count(p == q), most), share(bytes_, 3 * most), lost
+
+
+#: Code points from U+4E00 to before U+A000.
+_HAN = (0x4E00, 0xA000)
+
+
+def _only_cjk(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The Han characters of all texts, the row of each, and how many each row has."""
+    batch = vector.batch_of(texts)
+    han = (batch.codes >= _HAN[0]) & (batch.codes < _HAN[1])
+    row = np.repeat(np.arange(len(texts)), np.diff(batch.rows))[han]
+    return batch.codes[han], row, np.bincount(row, minlength=len(texts))
 
 
 def cjk_agreement(a: Column, b: Column) -> Column:
     """Share of positions, of the longer text's, at which the Han characters agree."""
-    x, y = F.split(only_cjk(a), ""), F.split(only_cjk(b), "")
-    same = F.aggregate(F.arrays_zip(x.alias("x"), y.alias("y")), F.lit(0), lambda n, z: n + F.when((z["x"] == z["y"]) & (z["x"] != ""), 1).otherwise(0))
-    most = F.greatest(F.length(only_cjk(a)), F.length(only_cjk(b)))
-    return F.when(most == 0, 1.0).otherwise(same / most)
+    return agreement(a, b)["agreement"]
 
 
 def byte_agreement(a: Column, b: Column) -> Column:
     """As cjk_agreement, over the UTF-8 bytes of the Han characters."""
-
-    def share(x, y):
-        x, y = (x or "").encode(), (y or "").encode()
-        return sum(p == q for p, q in zip(x, y, strict=False)) / max(len(x), len(y)) if x or y else 1.0
-
-    @F.pandas_udf("double")
-    def run(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        return pd.Series([share(x, y) for x, y in zip(xs, ys, strict=True)])
-
-    return run(only_cjk(a), only_cjk(b))
+    return agreement(a, b)["of_bytes"]
 
 
 def lost_cjk(before: Column, after: Column) -> Column:
     """Distinct Han characters that only the first text has, sorted."""
-    chars = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit("([一-鿿])"), F.lit(1)))
-    return F.array_sort(F.array_except(chars(before), chars(after)))
+    return F.regexp_extract_all(agreement(before, after)["lost"], F.lit("(.)"), F.lit(1))
 
 
 def pass_matrix(cases: DataFrame, modes: list[str]) -> DataFrame:

@@ -1,11 +1,12 @@
 import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from glyphflow.functions import conversion, detection
-from glyphflow.operators import matching, tools
+from glyphflow.operators import matching, tools, vector
 from glyphflow.plans import configs, queries, texts
 from glyphflow.sources import arpa, files
 from glyphflow.sources.dictionaries import MissingDictionary, Registry
@@ -177,3 +178,23 @@ def test_parity_moves_no_texts(spark):
     assert {tuple(r) for r in joined.collect()} == {tuple(r) for r in within.collect()} == {("c", "pass", 3), ("c", "mismatch", 2), ("c", "unsupported", 1)}
     assert "sha2" in joined._jdf.queryExecution().optimizedPlan().toString() and "Join" not in within._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in queries.QUERIES["parity_report"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_agreement_of_whole_batches(spark, monkeypatch):
+    """Against a count of positions, bytes and characters, whatever the lengths; texts are neither split nor gone through in lambdas."""
+    draw = random.Random(9)
+    rows = [tuple(None if draw.random() < 0.05 else "".join(draw.choices("一丁七龥鿿ꀀ𠮷a，\n汉", k=draw.choice([0, 1, 5, 60]))) for _ in "ab") for _ in range(700)]
+    plain = []
+    for a, b in rows:
+        x, y = ([c for c in t or "" if "一" <= c <= "鿿"] for t in (a, b))
+        share = lambda p, q: sum(c == d for c, d in zip(p, q, strict=False)) / max(len(p), len(q)) if len(p) or len(q) else 1.0
+        plain.append({"agreement": share(x, y), "of_bytes": share("".join(x).encode(), "".join(y).encode()), "lost": "".join(sorted(set(x) - set(y)))})
+    arrays = [pa.array([r[k] for r in rows], pa.string()) for k in range(2)]
+    assert tools.agreed(*arrays).to_pylist() == plain and tools.agreed(*(a.slice(0, 0) for a in arrays)).to_pylist() == []
+    monkeypatch.setattr(vector, "CHARS", 100)
+    assert tools.agreed(*(pa.concat_arrays([pa.array(["一"]), a]).slice(1) for a in arrays)).to_pylist() == plain
+    df = spark.createDataFrame(rows[:50], "a string, b string")
+    got = df.select(tools.cjk_agreement(F.col("a"), F.col("b")), tools.byte_agreement(F.col("a"), F.col("b")), F.array_join(tools.lost_cjk(F.col("a"), F.col("b")), "")).collect()
+    assert [tuple(r) for r in got] == [tuple(x.values()) for x in plain[:50]]
+    plan = queries.QUERIES["cjk_agreement"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "split(" not in plan
