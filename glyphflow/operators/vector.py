@@ -53,6 +53,15 @@ def _level(n: int) -> np.ndarray:
     return np.array([n], np.uint64) * _SPREAD
 
 
+def _pair(a: np.ndarray, b: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """Places of pairs in a table of flags, whose size is a power of two; pairs may share one."""
+    out = a * _A
+    out += b * _B
+    out >>= 15
+    out &= np.int64(len(flags) - 1)
+    return out
+
+
 def _marked(size: int, *positions: np.ndarray) -> np.ndarray:
     """The positions, each once and in order."""
     flags = np.zeros(size, bool)
@@ -80,7 +89,6 @@ class Index:
         self.keys = Flat(keys)
         self.longest = int(self.keys.length.max(initial=0))
         bits = max(12, min(22, int(len(keys)).bit_length() + 5))
-        self._pairs = np.int64((1 << bits) - 1)
         self._begins = np.zeros(1 << bits, bool)
         hashes, found, more = [], [], []
         left = np.arange(len(keys))
@@ -90,7 +98,7 @@ class Index:
             left, h = left[here], h[here]
             h = h * _M + self.keys.codes[self.keys.start[left] + n - 1].astype(np.uint64)
             if n == 2:
-                self._begins[self._pair(self.keys.codes[self.keys.start[left]], self.keys.codes[self.keys.start[left] + 1])] = True
+                self._begins[_pair(self.keys.codes[self.keys.start[left]], self.keys.codes[self.keys.start[left] + 1], self._begins)] = True
             mixed, at = np.unique(h + _level(n), return_inverse=True)
             key, goes_on = np.full(len(mixed), -1, np.int64), np.zeros(len(mixed), bool)
             whole = self.keys.length[left] == n
@@ -120,13 +128,6 @@ class Index:
     def _slot(self, h: np.ndarray) -> np.ndarray:
         return ((h * _SPREAD) >> self._slot_shift).astype(np.int64)
 
-    def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = a * _A
-        out += b * _B
-        out >>= 15
-        out &= self._pairs
-        return out
-
     def _entry(self, h: np.ndarray) -> np.ndarray:
         """Entries of the hashes; -1 where there is none."""
         slot = self._slot(h)
@@ -147,7 +148,7 @@ class Index:
         """
         if self.longest < 2 or len(codes) < 2:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.flatnonzero(self._begins[self._pair(codes[:-1], codes[1:])])
+        at = np.flatnonzero(self._begins[_pair(codes[:-1], codes[1:], self._begins)])
         if hidden is not None:
             at = at[~hidden[at]]
         left = room[at] - at
@@ -323,18 +324,20 @@ class Stage:
         """(positions, lengths, values) of the leftmost matches but for plain single characters."""
         position, key = self.index.search(batch.codes, batch.room(), hidden)
         length = self.index.keys.length[key]
-        if self.odd:
-            value = self.odd_at[self._places(batch.codes)]
-            alone = value >= 0 if hidden is None else (value >= 0) & ~hidden
-            alone[position] = False
-            alone = np.flatnonzero(alone)
-            position = np.concatenate([position, alone])
-            order = np.argsort(position, kind="stable")
-            position = position[order]
-            key = np.concatenate([key, value[alone]])[order]
-            length = np.concatenate([length, np.ones(len(alone), np.int64)])[order]
         taken = leftmost(position, length)
-        return position[taken], length[taken], key[taken]
+        position, length, key = position[taken], length[taken], key[taken]
+        if not self.odd:
+            return position, length, key
+        # A single character keeps no longer key from being taken, so those that are left after the longer keys are taken.
+        value = self.odd_at[self._places(batch.codes)]
+        if hidden is not None:
+            value[hidden] = -1
+        value[_flat(position, length)] = -1
+        value[position] = key
+        every = np.flatnonzero(value >= 0)
+        sizes = np.ones(len(every), np.int64)
+        sizes[np.searchsorted(every, position)] = length
+        return every, sizes, value[every].astype(np.int64)
 
     def segmented(self, batch: Batch) -> tuple[Batch, np.ndarray]:
         """The batch with cuts around every match, single characters among them, and the matches' positions; ASCII isn't passed over here."""
@@ -398,8 +401,8 @@ class Picking:
 
     Everything is converted by default values at once. A pick differs from the
     default only after contexts that the model has, and these are few: contexts
-    are numbers (their UTF-8 below a leading 1), looked up for all picks whose
-    last character ends one. What a pick changes may be the context of the next
+    are numbers (their UTF-8 below a leading 1), looked up for all picks before
+    which stands a character that ends one of their own. What a pick changes may be the context of the next
     ones, so these are decided again until nothing changes; the only such state
     is that of deciding from left to right. Serves where no pick changes a length.
     """
@@ -442,16 +445,16 @@ class Picking:
         keys = np.array([int(np.searchsorted(self.contexts, c)) * len(self.candidates) + v for c, v in special], np.int64)
         order = np.argsort(keys)
         self.keys, self.values = keys[order], np.array(list(special.values()), np.int64)[order]
-        ends = {ord(int(c).to_bytes(8, "big").lstrip(b"\0")[1:].decode("utf-8", "surrogatepass")[-1:] or "\0") for c in self.contexts.tolist()}
-        self.ends = np.zeros(max([_COMMON, *(e + 2 for e in ends)]), bool)  # the last place stands for all beyond
-        self.ends[list(ends)] = True
-        if (self.contexts == 1).any():  # no whole character fits: the last one has more bytes than the context may have
-            self.ends[0x10000:] = True
+        # Without a whole character the last one has more bytes than the context may have; one stands for all of these.
+        last = [ord(c.to_bytes(8, "big").lstrip(b"\0")[1:].decode("utf-8", "surrogatepass")[-1:] or "\U00010000") for c, _ in special]
+        self.ends = np.zeros(1 << max(12, min(22, len(special).bit_length() + 5)), bool)
+        self.ends[_pair(np.array(last, np.int64), np.array([v for _, v in special], np.int64), self.ends)] = True
 
     def _picked(self, codes: np.ndarray, at: np.ndarray, value: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """What is chosen at each pick, as a number in made, by what stands before it now."""
         out = value.copy()
-        some = np.flatnonzero((at > begin) & self.ends[np.minimum(codes[np.maximum(at - 1, 0)], len(self.ends) - 1)])
+        last = codes[np.maximum(at - 1, 0)]
+        some = np.flatnonzero((at > begin) & self.ends[_pair(last if self.limit > 3 else np.minimum(last, 0x10000), value, self.ends)])
         if not len(some):
             return out
         at, begin = at[some], begin[some]

@@ -106,6 +106,25 @@ def test_picks_are_not_gone_through_one_by_one(monkeypatch):
         monkeypatch.undo()
 
 
+def test_only_what_may_differ_is_looked_up(monkeypatch):
+    """No context is put together where none of a pick's own can end, and single characters aren't gone through to tell which matches are taken."""
+    from glyphflow.plans import queries
+    from glyphflow.sources import arpa
+
+    source = '{"segmentation": {"dict": {"type": "inline", "entries": {"国弁": "國辯"}}}, "conversion_chain": [{"dict": {"type": "text", "file": "own.txt"}}]}'
+    real, lengths = vector.leftmost, []
+    monkeypatch.setattr(vector, "leftmost", lambda position, length: lengths.extend(length.tolist()) or real(position, length))
+    for mode in ("bigram", "trigram"):
+        compiled = vector.Compiled(configs.resolve_json(source, configs.Registry(extra={"own": queries._NGRAM_DICT}), model=arpa.parse(queries.ARPA), mode=mode))
+        rows = ["的弁麺床，出国国弁弁麺台" * 50, "与弁"]
+        assert compiled.convert(pa.array(rows)).to_pylist() == [compiled.plan.convert(t) for t in rows]
+        rows = ["的弁麺出，麺床弁" * 50, "演弁", "b出"]
+        with monkeypatch.context() as without:
+            without.setattr(vector, "_bytes_of", None)
+            assert compiled.convert(pa.array(rows)).to_pylist() == [compiled.plan.convert(t) for t in rows]
+    assert lengths and min(lengths) > 1
+
+
 @pytest.mark.parametrize("config", ["s2hk", "tw2sp"])
 def test_a_batch_is_not_held_in_parts(config, monkeypatch):
     """While a part is converted, those before it are gone; values that are longer than the keys grow the one array that is kept."""
